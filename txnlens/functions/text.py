@@ -20,7 +20,6 @@ W_CHARS = r"\p{L}\p{N}_"
 S_CHARS = r"\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}"
 W = f"[{W_CHARS}]"
 S = f"[{S_CHARS}]"
-NOT_WORD_OR_BLANK = f"[^{W_CHARS}{S_CHARS}]"
 
 _TITLE_MARK = "\u0001 "
 
@@ -48,10 +47,12 @@ def title_case(col: Column | str) -> Column:
 
 
 def clean_description(col: Column | str = "description") -> Column:
-    """lower -> non word/blank chars to blank -> blank runs to one -> trim."""
-    lowered = F.lower(_c(col))
-    no_punct = F.regexp_replace(lowered, NOT_WORD_OR_BLANK, " ")
-    return F.trim(F.regexp_replace(no_punct, f"{S}+", " "))
+    """lower -> non word/blank chars to blank -> blank runs to one -> trim.
+
+    Both replacement steps fold into one: every run of non-word characters
+    (blanks and punctuation alike) becomes a single space.
+    """
+    return F.trim(F.regexp_replace(F.lower(_c(col)), f"[^{W_CHARS}]+", " "))
 
 
 def merchant_pattern(prefixes: Sequence[str] = schema.MERCHANT_PREFIXES,
@@ -74,28 +75,33 @@ def extract_merchant(col: Column | str = "description_clean",
     """
     d = _c(col)
     pat = merchant_pattern(prefixes, stops)
-    found = F.trim(F.regexp_extract(d, pat, 1))
+    # one regex pass: the first match's group (empty array = no match)
+    hits = F.regexp_extract_all(d, F.lit(pat), 1)
+    found = F.trim(F.get(hits, 0))
     words = F.split(d, " ")
     return (
         F.when(d.isNull(), F.lit(unknown))
-        .when(d.rlike(pat) & ~found.isin(*generic), title_case(found))
+        .when((F.size(hits) > 0) & ~found.isin(*generic), title_case(found))
         .when((F.size(words) > 1) & F.get(words, 0).isin("to", "from"), title_case(F.get(words, 1)))
         .otherwise(title_case(F.array_join(F.slice(words, 1, 2), " ")))
     )
 
 
-def keyword_alternation(keywords: Sequence[str]) -> str:
-    return "(?i)(?:" + "|".join(regex_quote(k) for k in keywords) + ")"
-
-
 def categorize(col: Column | str = "description_clean",
                vocabulary: Sequence[tuple[str, Sequence[str]]] = schema.CATEGORY_KEYWORDS,
                default: str = schema.DEFAULT_CATEGORY) -> Column:
-    """Keyword category; the *last* matching group wins (so the CASE is reversed)."""
-    d = _c(col)
+    """Keyword category; the *last* matching group wins (so the CASE is reversed).
+
+    Keywords are literals matched case-insensitively as substrings: plain
+    ``contains`` on the lower-cased text, no regex engine per row.
+    """
+    d = F.lower(_c(col))
     expr = None
     for category, keywords in reversed(list(vocabulary)):
-        cond = d.rlike(keyword_alternation(keywords))
+        cond = None
+        for k in keywords:
+            c = d.contains(k.lower())
+            cond = c if cond is None else (cond | c)
         expr = F.when(cond, F.lit(category)) if expr is None else expr.when(cond, F.lit(category))
     return expr.otherwise(F.lit(default)) if expr is not None else F.lit(default)
 
