@@ -52,12 +52,16 @@ def _ts(s: Column, fmt: str) -> Column:
 # Statement assembly and app detection
 # ---------------------------------------------------------------------------
 
-def assemble_statement_text(pages: DataFrame, id_col: str = "statement_id") -> DataFrame:
-    """Page texts joined with a newline in page order, one row per statement."""
+def assemble_statement_text(pages: DataFrame, id_col: str = "statement_id", carry: Sequence[str] = ()) -> DataFrame:
+    """Page texts joined with a newline in page order, one row per statement.
+
+    A statement is one document (one source file), so its pages are gathered
+    into one row; ``carry`` columns are constant per statement (e.g. ``path``).
+    """
     return (
-        pages.groupBy(id_col)
+        pages.groupBy(id_col, *carry)
         .agg(F.array_sort(F.collect_list(F.struct("page_no", "text"))).alias("_p"))
-        .select(id_col, F.array_join(F.transform("_p", lambda p: p["text"]), "\n").alias("text"))
+        .select(id_col, *carry, F.array_join(F.transform("_p", lambda p: p["text"]), "\n").alias("text"))
     )
 
 
