@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,17 +26,17 @@ def distinct_rows(df: DataFrame) -> DataFrame:
 def dedupe_near(df: DataFrame, keys: Sequence[str] = (), subset: Sequence[str] = NEAR_DUP_SUBSET,
                 order_by: Sequence[str] = ("line_no",)) -> DataFrame:
     """Keep the first row (lowest ``order_by``, ties broken by the remaining
-    columns in order) of each ``keys + subset`` group.
+    columns in order, nulls first) of each ``keys + subset`` group.
 
-    Expressed as ``min(struct(order..., rest...))`` per group rather than a
-    window, so a hot group collapses in the map-side partial aggregate instead
-    of landing whole in one task.  Null group values compare equal.
+    ``row_number() == 1`` over the group: Spark plans it with a partial
+    ``WindowGroupLimit`` before the shuffle, so every map task sends at most one
+    row per group and a hot group of copies never lands whole in one task.
+    Null group values compare equal.
     """
     group = [*keys, *[c for c in subset if c not in keys]]
     rest = [c for c in df.columns if c not in group and c not in order_by]
-    first = F.min(F.struct(*[F.col(c) for c in (*order_by, *rest)])).alias("_first")
-    out = df.groupBy(*group).agg(first)
-    return out.select(*group, *[F.col(f"_first.{c}").alias(c) for c in (*order_by, *rest)]).select(*df.columns)
+    w = Window.partitionBy(*group).orderBy(*[F.col(c).asc_nulls_first() for c in (*order_by, *rest)])
+    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
 
 
 def abs_amount(df: DataFrame, col: str = "amount") -> DataFrame:
