@@ -291,8 +291,11 @@ def group_small_categories(df: DataFrame, col: str, keys: Sequence[str] = (),
     """Levels holding less than ``min_percentage`` % of the key's rows become
     ``other``.  Null rows count in the denominator and stay null."""
     levels = df.groupBy(*keys, col).agg(F.count(F.lit(1)).alias("_n"))
-    total = F.sum("_n").over(_pb(keys))
-    small = (levels.withColumn("_share", F.col("_n") / total * 100)
+    # per-key totals joined back on the keys (one row per key, broadcast by AQE
+    # when small): a window over the key would hold all of a key's levels in one task
+    totals = levels.groupBy(*keys).agg(F.sum("_n").alias("_total"))
+    small = (_join_on_keys(levels, totals, keys, "inner")
+             .withColumn("_share", F.col("_n") / F.col("_total") * 100)
              .filter(F.col(col).isNotNull() & (F.col("_share") < F.lit(min_percentage)))
              .select(*keys, col, F.lit(True).alias("_small")))
     j = df.join(small, [*keys, col], "left")
