@@ -52,7 +52,7 @@ def clean_desc(x: str) -> str:
 
 
 def title(x: str) -> str:
-    marked = f"regexp_replace({x}, '([\\p{{N}}_])(\\p{{L}})', '\\1' || chr(1) || ' \\2', 'g')"
+    marked = f"regexp_replace({x}, '([^\\p{{Lu}}\\p{{Ll}}\\p{{Lt}} ])(\\p{{L}})', '\\1' || chr(1) || ' \\2', 'g')"
     words = f"list_transform(string_split({marked}, ' '), lambda w: upper(w[1]) || lower(w[2:]))"
     return f"replace(array_to_string({words}, ' '), chr(1) || ' ', '')"
 

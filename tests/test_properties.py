@@ -66,8 +66,7 @@ def test_clean_text(spark, values):
 
 
 @settings(max_examples=6, deadline=None)
-@given(st.lists(st.lists(st.text(alphabet=LETTERS + "0123456789_", max_size=6), max_size=5).map(" ".join),
-                min_size=1, max_size=200))
+@given(st.lists(st.text(alphabet=LETTERS + OTHER + BLANKS + "中文", max_size=30), min_size=1, max_size=200))
 def test_title_case(spark, values):
     assert _spark_map(spark, values, tx.title_case) == [v.title() for v in values]
 

@@ -39,10 +39,11 @@ def collapse_blanks(col: Column | str) -> Column:
 
 
 def title_case(col: Column | str) -> Column:
-    """Python ``str.title()`` for word/blank text: a letter after a digit or
-    underscore also starts a word ("7eleven" -> "7Eleven"), which ``initcap``
-    alone does not do."""
-    marked = F.regexp_replace(_c(col), r"([\p{N}_])(\p{L})", "$1" + _TITLE_MARK + "$2")
+    """Python ``str.title()``: a letter is upper-cased when the character before
+    it is not a cased letter ("7eleven" -> "7Eleven", "o'neil" -> "O'Neil").
+    ``initcap`` only starts words after a space, so a marker space is put
+    after every other non-cased character that precedes a letter, and removed."""
+    marked = F.regexp_replace(_c(col), r"([^\p{Lu}\p{Ll}\p{Lt} ])(\p{L})", "$1" + _TITLE_MARK + "$2")
     return F.replace(F.initcap(marked), F.lit(_TITLE_MARK), F.lit(""))
 
 
