@@ -59,6 +59,12 @@ def test_clean_description_merchant_category(spark, values):
     assert _spark_map(spark, cleaned, tx.categorize) == [spec_category(v) for v in cleaned]
 
 
+@settings(max_examples=6, deadline=None)
+@given(texts)
+def test_merchant_on_raw_text(spark, values):
+    assert _spark_map(spark, values, tx.extract_merchant) == [spec_merchant(v) for v in values]
+
+
 @settings(max_examples=6, deadline=None)
 @given(texts)
 def test_clean_text(spark, values):

@@ -38,6 +38,11 @@ def collapse_blanks(col: Column | str) -> Column:
     return F.regexp_replace(_c(col), f"{S}+", " ")
 
 
+def strip_blanks(col: Column | str) -> Column:
+    """Python ``str.strip()``: Unicode blanks removed at both ends (``trim`` only removes spaces)."""
+    return F.regexp_replace(_c(col), f"^{S}+|{S}+$", "")
+
+
 def title_case(col: Column | str) -> Column:
     """Python ``str.title()``: a letter is upper-cased when the character before
     it is not a cased letter ("7eleven" -> "7Eleven", "o'neil" -> "O'Neil").
@@ -60,7 +65,7 @@ def merchant_pattern(prefixes: Sequence[str] = schema.MERCHANT_PREFIXES,
                      stops: Sequence[str] = schema.MERCHANT_STOPS) -> str:
     alt = "|".join(regex_quote(p) for p in prefixes)
     stop = "|".join(f"{S}+{regex_quote(s)}" for s in stops)
-    return f"(?i)(?:{alt}){S}+([a-z{S_CHARS}&]+?)(?:{stop}|$)"
+    return f"(?id)(?:{alt}){S}+([a-z{S_CHARS}&]+?)(?:{stop}|$)"
 
 
 def extract_merchant(col: Column | str = "description_clean",
@@ -78,8 +83,8 @@ def extract_merchant(col: Column | str = "description_clean",
     pat = merchant_pattern(prefixes, stops)
     # one regex pass: the first match's group (empty array = no match)
     hits = F.regexp_extract_all(d, F.lit(pat), 1)
-    found = F.trim(F.get(hits, 0))
-    words = F.split(d, " ")
+    found = strip_blanks(F.get(hits, 0))
+    words = F.split(collapse_blanks(strip_blanks(d)), " ")  # str.split(): runs of any blank
     return (
         F.when(d.isNull(), F.lit(unknown))
         .when((F.size(hits) > 0) & ~found.isin(*generic), title_case(found))
