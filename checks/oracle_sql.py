@@ -137,16 +137,16 @@ LINE = (f"CASE app_source WHEN 'paytm' THEN strftime(datetime, '%d/%m/%Y %H:%M:%
         f"ELSE strftime(datetime, '%d-%m-%Y %H:%M') || ' ' || description || ' ' || {AMT_TXT} END")
 
 STATEMENT_CTES = f"""txn AS ({TXN}),
-r AS (SELECT account_id * 1000 + dayofyear(date) AS statement_id, account_id, app_source, line_no, datetime,
-  description, amount, transaction_type, {LINE} AS line FROM txn),
+r AS (SELECT account_id * 1048576 + line_no // 65536 AS statement_id, CAST((line_no % 65536) // 4096 + 1 AS INTEGER)
+  AS page_no, account_id, app_source, line_no, datetime, description, amount, transaction_type, {LINE} AS line FROM txn),
 pages AS (
-  SELECT statement_id, hour(datetime) + 1 AS page_no, string_agg(line, {NL} ORDER BY datetime, line_no) AS text
+  SELECT statement_id, page_no, string_agg(line, {NL} ORDER BY datetime, line_no) AS text
   FROM r GROUP BY 1, 2
   UNION ALL
   SELECT DISTINCT statement_id, 0 AS page_no, CASE app_source WHEN 'paytm' THEN 'Paytm statement'
     WHEN 'gpay' THEN 'Google Pay statement' ELSE 'Phonepe statement' END AS text FROM r),
 statements AS (SELECT statement_id, string_agg(text, {NL} ORDER BY page_no) AS text FROM pages GROUP BY 1),
-rec AS (SELECT *, row_number() OVER (PARTITION BY statement_id ORDER BY datetime, line_no) - 1 AS k FROM r),
+rec AS (SELECT *, row_number() OVER (PARTITION BY statement_id ORDER BY page_no, datetime, line_no) - 1 AS k FROM r),
 expected AS (
   SELECT statement_id, account_id, k, app_source,
     CASE app_source WHEN 'paytm' THEN date_trunc('second', datetime) ELSE date_trunc('minute', datetime) END AS datetime,

@@ -151,7 +151,7 @@ def parse_statements(spark, d):
 
 @query
 def assemble_transactions(spark, d):
-    st = statements(spark, d).withColumn("account_id", (F.col("statement_id") / 1000).cast("long"))
+    st = statements(spark, d).withColumn("account_id", F.expr(f"statement_id div {fx.STATEMENTS_PER_ACCOUNT}"))
     t = ps.assemble_transactions(ps.parse_statements(st, as_of=_as_of(), carry=("account_id",)))
     return out(t.drop("chunk_no"))
 

@@ -2,8 +2,16 @@
 
 ``txn`` projects ``events`` onto the transactions schema, ``txn_big`` projects
 ``lineitem`` joined with ``part``.  ``statement_pages`` renders ``txn`` as
-payment-app statement text (one statement per account and day, one page per
-hour), so the parsers run over text whose expected rows are known.
+payment-app statement text, so the parsers run over text whose expected rows
+are known.
+
+A rendered statement holds one account's transactions within one block of
+``STATEMENT_SPAN`` consecutive event ids, a page those within one block of
+``PAGE_SPAN`` ids.  ``event_id`` is unique, so a statement never holds more
+than ``STATEMENT_SPAN`` transactions and a page never more than ``PAGE_SPAN``,
+however the rows are spread over accounts or days: a hot account yields more
+statements, not a bigger one.  (Real statement files are bounded the same way
+by the file size limit.)
 """
 
 from __future__ import annotations
@@ -23,6 +31,9 @@ TXN_DESCRIPTIONS = (
     "Cola service centre", "Paid to Big Onion", "Uber ride -- auto", "to Dmart", "Spotify", "UPI",
 )
 APPS_BY_ACCOUNT = ("paytm", "gpay", "phonepe")
+STATEMENT_SPAN = 65536        # event ids per statement block (<= transactions per statement)
+PAGE_SPAN = 4096              # event ids per page block (<= transactions per page)
+STATEMENTS_PER_ACCOUNT = 1 << 20   # statement_id = account_id * this + statement block
 STATEMENT_HEADERS = {"paytm": "Paytm statement", "gpay": "Google Pay statement", "phonepe": "Phonepe statement"}
 
 
@@ -91,16 +102,18 @@ def render_line(app: str = "app_source") -> F.Column:
 
 
 def statement_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(statement_id, page_no, text)``: page 0 is the header, page h+1 holds hour h.
+    """``(statement_id, page_no, text)``: page 0 is the header, page b+1 holds
+    the statement's transactions of page block b, in time order.
 
-    A page is bounded by one account-hour; no statement is gathered whole here.
+    Pages are gathered per (statement, page block): at most ``PAGE_SPAN`` lines.
     """
     t = txn(spark, sf_dir).select(
-        (F.col("account_id") * 1000 + F.dayofyear("date")).alias("statement_id"),
+        F.expr(f"account_id * {STATEMENTS_PER_ACCOUNT} + line_no div {STATEMENT_SPAN}").alias("statement_id"),
+        F.expr(f"CAST((line_no % {STATEMENT_SPAN}) div {PAGE_SPAN} + 1 AS INT)").alias("page_no"),
         "account_id", "app_source", "line_no", "datetime", render_line().alias("line"),
     )
     body = (
-        t.groupBy("statement_id", (F.hour("datetime") + 1).alias("page_no"))
+        t.groupBy("statement_id", "page_no")
         .agg(F.array_sort(F.collect_list(F.struct("datetime", "line_no", "line"))).alias("ls"))
         .select("statement_id", "page_no", F.array_join(F.transform("ls", lambda x: x["line"]), "\n").alias("text"))
     )
