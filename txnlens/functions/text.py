@@ -68,6 +68,33 @@ def merchant_pattern(prefixes: Sequence[str] = schema.MERCHANT_PREFIXES,
     return f"(?id)(?:{alt}){S}+([a-z{S_CHARS}&]+?)(?:{stop}|$)"
 
 
+def merchant_parts(col: Column | str = "description_clean",
+                   prefixes: Sequence[str] = schema.MERCHANT_PREFIXES,
+                   stops: Sequence[str] = schema.MERCHANT_STOPS) -> tuple[Column, Column]:
+    """The two costly pieces of the merchant rule, each evaluated once per row:
+    the group of the leftmost prefix match ("" when none: the group is never
+    empty in a match) and the description's words (``str.split()``)."""
+    d = _c(col)
+    first = F.regexp_extract(d, merchant_pattern(prefixes, stops), 1)
+    words = F.split(collapse_blanks(strip_blanks(d)), " ")  # str.split(): runs of any blank
+    return first, words
+
+
+def merchant_from_parts(d: Column, first: Column, words: Column,
+                        generic: Sequence[str] = schema.MERCHANT_GENERIC,
+                        unknown: str = schema.MERCHANT_UNKNOWN) -> Column:
+    found = strip_blanks(first)
+    rule = (
+        F.when(d.isNull(), F.lit(unknown))
+        .when((first != "") & ~found.isin(*generic), title_case(found))
+        .when((F.size(words) > 1) & F.get(words, 0).isin("to", "from"), title_case(F.get(words, 1)))
+        .otherwise(title_case(F.array_join(F.slice(words, 1, 2), " ")))
+    )
+    # never null by contract; saying so lets Catalyst drop inferred
+    # ``isnotnull(merchant)`` filters on joins (which would re-run the rule)
+    return F.coalesce(rule, F.lit(unknown))
+
+
 def extract_merchant(col: Column | str = "description_clean",
                      prefixes: Sequence[str] = schema.MERCHANT_PREFIXES,
                      stops: Sequence[str] = schema.MERCHANT_STOPS,
@@ -78,19 +105,12 @@ def extract_merchant(col: Column | str = "description_clean",
     Leftmost ``<prefix> <letters and blanks>`` ending before a stop word or the
     end, title-cased unless generic; else the word after a leading to/from;
     else the first two words.  Substring semantics (no word boundaries) are kept.
+    As one expression; ``clean.with_merchant`` stages the parts as columns so
+    each regex runs once per row.
     """
     d = _c(col)
-    pat = merchant_pattern(prefixes, stops)
-    # one regex pass: the first match's group (empty array = no match)
-    hits = F.regexp_extract_all(d, F.lit(pat), 1)
-    found = strip_blanks(F.get(hits, 0))
-    words = F.split(collapse_blanks(strip_blanks(d)), " ")  # str.split(): runs of any blank
-    return (
-        F.when(d.isNull(), F.lit(unknown))
-        .when((F.size(hits) > 0) & ~found.isin(*generic), title_case(found))
-        .when((F.size(words) > 1) & F.get(words, 0).isin("to", "from"), title_case(F.get(words, 1)))
-        .otherwise(title_case(F.array_join(F.slice(words, 1, 2), " ")))
-    )
+    first, words = merchant_parts(d, prefixes, stops)
+    return merchant_from_parts(d, first, words, generic, unknown)
 
 
 def categorize(col: Column | str = "description_clean",

@@ -53,8 +53,16 @@ def with_description_clean(df: DataFrame, src: str = "description", out: str = "
     return df.withColumn(out, tx.clean_description(src))
 
 
-def with_merchant(df: DataFrame, src: str = "description_clean", out: str = "merchant", **kw) -> DataFrame:
-    return df.withColumn(out, tx.extract_merchant(src, **kw))
+def with_merchant(df: DataFrame, src: str = "description_clean", out: str = "merchant",
+                  prefixes=schema.MERCHANT_PREFIXES, stops=schema.MERCHANT_STOPS,
+                  generic=schema.MERCHANT_GENERIC, unknown: str = schema.MERCHANT_UNKNOWN) -> DataFrame:
+    """Merchant column.  The prefix match and the word split are projected
+    first: Catalyst keeps a costly expression that is read several times in
+    its own projection (both fuse into one codegen stage), so each runs once."""
+    first, words = tx.merchant_parts(src, prefixes, stops)
+    staged = df.withColumns({"_m_first": first, "_m_words": words})
+    merchant = tx.merchant_from_parts(F.col(src), F.col("_m_first"), F.col("_m_words"), generic, unknown)
+    return staged.withColumn(out, merchant).drop("_m_first", "_m_words")
 
 
 def with_category(df: DataFrame, src: str = "description_clean", out: str = "category",
@@ -94,10 +102,17 @@ def merchant_frequency(df: DataFrame, keys: Sequence[str] = (), merchant: str =
     merchant: a hot merchant would put all of its rows into one window task,
     while the join side is pre-aggregated and AQE may broadcast it (size
     checked at runtime) or split a skewed partition.
+
+    The match is null-safe (``<=>``), as the counts group nulls together; it
+    also keeps Catalyst from inferring ``isnotnull`` filters for the count side,
+    so both sides stay the same plan below the aggregate and the upstream
+    shuffle (e.g. the dedupe) is computed once and reused.
     """
     on = [*keys, merchant]
     counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias(out))
-    return df.join(counts, on=on, how="left").select(*df.columns, out)
+    counts = counts.select(*[F.col(c).alias(f"_mf_{c}") for c in on], out)
+    cond = [df[c].eqNullSafe(counts[f"_mf_{c}"]) for c in on]
+    return df.join(counts, on=cond, how="left").select(*[df[c] for c in df.columns], counts[out])
 
 
 CLEAN_TYPES = {
