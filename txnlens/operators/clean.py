@@ -103,16 +103,17 @@ def merchant_frequency(df: DataFrame, keys: Sequence[str] = (), merchant: str =
     while the join side is pre-aggregated and AQE may broadcast it (size
     checked at runtime) or split a skewed partition.
 
-    The match is null-safe (``<=>``), as the counts group nulls together; it
-    also keeps Catalyst from inferring ``isnotnull`` filters for the count side,
-    so both sides stay the same plan below the aggregate and the upstream
-    shuffle (e.g. the dedupe) is computed once and reused.
+    The rows meet their counts on one struct key.  A struct is never null,
+    so Catalyst infers no ``isnotnull`` filter for the count side (which it
+    would push below the dedupe and so split the plan in two); both sides stay
+    the same plan and the upstream shuffle is computed once and reused.  Null
+    fields compare equal, as in the grouping.  The count side is grouped by
+    exactly the join key, so a query that never reads the frequency drops
+    the join altogether.
     """
-    on = [*keys, merchant]
-    counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias(out))
-    counts = counts.select(*[F.col(c).alias(f"_mf_{c}") for c in on], out)
-    cond = [df[c].eqNullSafe(counts[f"_mf_{c}"]) for c in on]
-    return df.join(counts, on=cond, how="left").select(*[df[c] for c in df.columns], counts[out])
+    key = F.struct(*keys, merchant)
+    counts = df.groupBy(key.alias("_mf_key")).agg(F.count(F.lit(1)).alias(out))
+    return df.join(counts, key == counts["_mf_key"], "left").select(*[df[c] for c in df.columns], counts[out])
 
 
 CLEAN_TYPES = {

@@ -380,35 +380,92 @@ def summary_long(df: DataFrame, keys: Sequence[str] = (), top: int = 5) -> DataF
     return scal_rows.unionByName(cats).unionByName(tops).unionByName(types)
 
 
+# ---------------------------------------------------------------------------
+# One pass for several levels: summary, rules and insights
+# ---------------------------------------------------------------------------
+
+LEVELS = ("all", "category", "month", "merchant")
+
+
+def level_totals(df: DataFrame, keys: Sequence[str] = (), small_below: float = schema.SMALL_TXN_AMOUNT) -> DataFrame:
+    """Per key, the measures of four levels in one aggregation (GROUPING SETS).
+
+    ``level`` is ``all`` (one row per key), ``category``, ``month`` (``year``,
+    ``month``) or ``merchant``; the columns of the other levels are null.
+    Spark expands every clean row once per level and aggregates all levels in
+    one hash aggregate (partial + final around a single shuffle), so the clean
+    table is scanned and computed once, however many levels a result needs.
+    Sums are exact decimals; the ``*0`` sums are zero-filled.
+    """
+    debit, credit = _debit(), _credit()
+    amt = F.col("amount")
+    sets = [list(keys), [*keys, "category"], [*keys, "year", "month"], [*keys, "merchant"]]
+    level = (F.when(F.grouping("merchant") == 0, F.lit("merchant"))
+             .when(F.grouping("category") == 0, F.lit("category"))
+             .when(F.grouping("year") == 0, F.lit("month")).otherwise(F.lit("all")))
+    return df.groupingSets(sets, *keys, "category", "year", "month", "merchant").agg(
+        level.alias("level"),
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(debit).alias("n_debit"),
+        F.sum(amt).alias("amount"),
+        F.count(amt).alias("n_amount"),
+        F.sum(F.when(debit, amt)).alias("debit"),
+        _sum0(F.when(debit, amt)).alias("debit0"),
+        _sum0(F.when(credit, amt)).alias("credit0"),
+        _sum0(F.when(F.col("is_weekend"), amt)).alias("weekend0"),
+        _sum0(F.when(~F.col("is_weekend"), amt)).alias("weekday0"),
+        F.count_if(debit & (amt < F.lit(small_below))).alias("n_small"),
+    )
+
+
+def key_window(keys: Sequence[str]):
+    """A window over one key's ``all``, ``category`` and ``month`` rows of
+    ``level_totals``; every merchant row is a partition of its own, so no task
+    holds all merchants of a hot key."""
+    return Window.partitionBy(*keys, F.when(F.col("level") == "merchant", F.col("merchant")))
+
+
+def top_merchant_rows(totals: DataFrame, keys: Sequence[str], top: int, order: Sequence[Column] | None = None) -> DataFrame:
+    """``level_totals`` with the merchant rows cut to the key's top ``top``
+    (default: by count, then name); other rows pass.  The filter is a plain
+    ``row_number <= top`` (other rows are single-row partitions), so Spark
+    plans a partial WindowGroupLimit before the shuffle."""
+    order = order or [F.col("n").desc(), F.col("merchant").asc()]
+    other = F.when(F.col("level") != "merchant", F.struct("level", "category", "year", "month"))
+    rn = F.row_number().over(Window.partitionBy(*keys, other).orderBy(*order))
+    return totals.withColumn("_rn", rn).filter(F.col("_rn") <= top).drop("_rn")
+
+
 def spending_summary(df: DataFrame, keys: Sequence[str] = (), top: int = 5) -> DataFrame:
     """The bundle behind insights and prompts, as long rows ``(keys, metric, level, value)``.
 
-    Scalars (spent, received, n, avg, weekend/weekday), category spending
-    (all levels), spending per (year, month) and the top merchants by count.
+    Scalars (spent, received, n, avg, weekend/weekday, months with debits),
+    category spending (all levels), spending per (year, month) and the top
+    merchants by count: one ``level_totals`` pass, one top-k window, one
+    window over each key's small rows, then every row is unpivoted.
     """
-    spent = _sum0(F.when(_debit(), F.col("amount"))).cast("double")
-    received = _sum0(F.when(_credit(), F.col("amount"))).cast("double")
-    scal = df.groupBy(*keys).agg(
-        spent.alias("total_spent"), received.alias("total_received"),
-        F.count(F.lit(1)).cast("double").alias("transaction_count"),
-        _mean(F.sum("amount"), F.count("amount")).alias("avg_transaction"),
-        _sum0(F.when(F.col("is_weekend"), F.col("amount"))).cast("double").alias("weekend"),
-        _sum0(F.when(~F.col("is_weekend"), F.col("amount"))).cast("double").alias("weekday"),
-        F.count_distinct(F.when(_debit(), F.struct("year", "month"))).cast("double").alias("n_months"),
+    t = top_merchant_rows(level_totals(df, keys), keys, top)
+    lv = F.col("level")
+    n_months = F.count_if((lv == "month") & (F.col("n_debit") > 0)).over(key_window(keys))
+    t = t.withColumn("n_months", n_months)
+
+    def row(metric: str, level: Column | None, value: Column) -> Column:
+        return F.struct(F.lit(metric).alias("metric"),
+                        (level if level is not None else F.lit(None)).cast("string").alias("level"),
+                        value.cast("double").alias("value"))
+
+    scalars = F.array(
+        row("total_spent", None, F.col("debit0")), row("total_received", None, F.col("credit0")),
+        row("transaction_count", None, F.col("n")), row("avg_transaction", None, _mean(F.col("amount"), F.col("n_amount"))),
+        row("weekend", None, F.col("weekend0")), row("weekday", None, F.col("weekday0")),
+        row("n_months", None, F.col("n_months")),
     )
-    names = ["total_spent", "total_received", "transaction_count", "avg_transaction", "weekend", "weekday", "n_months"]
-    stack = ", ".join(f"'{n}', CAST(NULL AS STRING), {n}" for n in names)
-    scal_rows = scal.select(*keys, F.expr(f"stack({len(names)}, {stack}) as (metric, level, value)"))
-    cats = category_spending(df, keys).select(*keys, F.lit("category_spending").alias("metric"),
-                                              F.col("category").alias("level"),
-                                              F.col("amount").cast("double").alias("value"))
-    months = monthly_spending_ym(df, keys).select(
-        *keys, F.lit("monthly_spending").alias("metric"),
-        F.format_string("%04d-%02d", "year", "month").alias("level"), F.col("amount").cast("double").alias("value"))
-    tops = top_merchants_by_count(df, keys, top).select(*keys, F.lit("top_merchant").alias("metric"),
-                                                        F.col("merchant").alias("level"),
-                                                        F.col("n").cast("double").alias("value"))
-    return scal_rows.unionByName(cats).unionByName(months).unionByName(tops)
+    rows = (F.when(lv == "all", scalars)
+            .when(lv == "category", F.array(row("category_spending", F.col("category"), F.col("debit0"))))
+            .when((lv == "month") & (F.col("n_debit") > 0),
+                  F.array(row("monthly_spending", F.format_string("%04d-%02d", "year", "month"), F.col("debit"))))
+            .when(lv == "merchant", F.array(row("top_merchant", F.col("merchant"), F.col("n")))))
+    return t.select(*keys, F.explode(rows).alias("_r")).select(*keys, "_r.metric", "_r.level", "_r.value")
 
 
 def reindex_weekdays(agg: DataFrame, keys: Sequence[str] = (), day_col: str = "day_name",
