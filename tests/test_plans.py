@@ -96,3 +96,23 @@ def test_fixture_statements_and_pages_are_bounded(spark):
     per_stmt = fx.txn(spark, SF_CHECK).groupBy(
         F.expr(f"account_id * {fx.STATEMENTS_PER_ACCOUNT} + line_no div {fx.STATEMENT_SPAN}")).count()
     assert per_stmt.agg(F.max("count")).first()[0] <= fx.STATEMENT_SPAN
+
+
+def test_summary_maps_equal_long_form(spark):
+    c = cl.clean_transactions(fx.txn(spark, SF_CHECK), K)
+    wide = {row.account_id: row for row in m.summary_stats(c, K).collect()}
+    long = {}
+    for row in m.summary_long(c, K).collect():
+        long.setdefault(row.account_id, {})[(row.metric, row.level)] = row.value
+    assert set(wide) == set(long)
+    for acc, w in wide.items():
+        lf = long[acc]
+        assert lf[("total_transactions", None)] == w.total_transactions
+        assert lf[("total_amount", None)] == float(w.total_amount)
+        assert ("start_date", w.start_date.isoformat()) in lf
+        assert {k: float(v) for k, v in w.categories.items()} == \
+            {lv: v for (mt, lv), v in lf.items() if mt == "category_count"}
+        assert {k: float(v) for k, v in w.top_merchants.items()} == \
+            {lv: v for (mt, lv), v in lf.items() if mt == "top_merchant"}
+        assert {k: float(v) for k, v in w.transaction_types.items()} == \
+            {lv: v for (mt, lv), v in lf.items() if mt == "type_count"}

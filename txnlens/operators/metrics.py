@@ -334,64 +334,23 @@ def small_debit_count(df: DataFrame, keys: Sequence[str] = (), below: float = sc
     return df.groupBy(*keys).agg(F.count_if(_debit() & (F.col("amount") < F.lit(below))).alias("n_small"))
 
 
-def summary_stats(df: DataFrame, keys: Sequence[str] = (), top: int = 5) -> DataFrame:
-    """Scalars plus maps (category counts, top merchants, type counts), one row per key."""
-    scal = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("total_transactions"),
-        _sum0(F.col("amount")).alias("total_amount"),
-        _mean(F.sum("amount"), F.count("amount")).alias("avg_transaction"),
-        F.min("date").alias("start_date"), F.max("date").alias("end_date"),
-    )
-
-    def as_map(frame: DataFrame, level: str, name: str) -> DataFrame:
-        return frame.groupBy(*keys).agg(
-            F.map_from_entries(F.collect_list(F.struct(F.col(level), F.col("n")))).alias(name))
-
-    cats = as_map(category_counts(df, keys), "category", "categories")
-    tops = as_map(top_merchants_by_count(df, keys, top), "merchant", "top_merchants")
-    types = as_map(df.groupBy(*keys, "transaction_type").agg(F.count(F.lit(1)).alias("n")),
-                   "transaction_type", "transaction_types")
-    out = _join_on_keys(scal, cats, keys, "left")
-    out = _join_on_keys(out, tops, keys, "left")
-    return _join_on_keys(out, types, keys, "left")
-
-
-def summary_long(df: DataFrame, keys: Sequence[str] = (), top: int = 5) -> DataFrame:
-    """``summary_stats`` as rows ``(keys, metric, level, value)``; dates as ISO text levels."""
-    scal = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).cast("double").alias("total_transactions"),
-        _sum0(F.col("amount")).cast("double").alias("total_amount"),
-        _mean(F.sum("amount"), F.count("amount")).alias("avg_transaction"),
-        F.min("date").cast("string").alias("start_date"), F.max("date").cast("string").alias("end_date"),
-    )
-    scal_rows = scal.select(*keys, F.expr(
-        "stack(5, 'total_transactions', CAST(NULL AS STRING), total_transactions, "
-        "'total_amount', CAST(NULL AS STRING), total_amount, 'avg_transaction', CAST(NULL AS STRING), avg_transaction, "
-        "'start_date', start_date, CAST(NULL AS DOUBLE), 'end_date', end_date, CAST(NULL AS DOUBLE)) "
-        "as (metric, level, value)"))
-    cats = category_counts(df, keys).select(*keys, F.lit("category_count").alias("metric"),
-                                            F.col("category").alias("level"), F.col("n").cast("double").alias("value"))
-    tops = top_merchants_by_count(df, keys, top).select(*keys, F.lit("top_merchant").alias("metric"),
-                                                        F.col("merchant").alias("level"),
-                                                        F.col("n").cast("double").alias("value"))
-    types = df.groupBy(*keys, "transaction_type").agg(F.count(F.lit(1)).alias("n")).select(
-        *keys, F.lit("type_count").alias("metric"), F.col("transaction_type").alias("level"),
-        F.col("n").cast("double").alias("value"))
-    return scal_rows.unionByName(cats).unionByName(tops).unionByName(types)
-
-
 # ---------------------------------------------------------------------------
 # One pass for several levels: summary, rules and insights
 # ---------------------------------------------------------------------------
 
-LEVELS = ("all", "category", "month", "merchant")
+# Level name -> its grouping columns (besides the keys).
+LEVEL_COLUMNS = {"category": ("category",), "month": ("year", "month"), "merchant": ("merchant",),
+                 "type": ("transaction_type",)}
+DEFAULT_LEVELS = ("category", "month", "merchant")
 
 
-def level_totals(df: DataFrame, keys: Sequence[str] = (), small_below: float = schema.SMALL_TXN_AMOUNT) -> DataFrame:
-    """Per key, the measures of four levels in one aggregation (GROUPING SETS).
+def level_totals(df: DataFrame, keys: Sequence[str] = (), small_below: float = schema.SMALL_TXN_AMOUNT,
+                 levels: Sequence[str] = DEFAULT_LEVELS) -> DataFrame:
+    """Per key, the measures of several levels in one aggregation (GROUPING SETS).
 
-    ``level`` is ``all`` (one row per key), ``category``, ``month`` (``year``,
-    ``month``) or ``merchant``; the columns of the other levels are null.
+    ``level`` is ``all`` (one row per key) or one of ``levels``: ``category``,
+    ``month`` (``year``, ``month``), ``merchant``, ``type``
+    (``transaction_type``); the columns of the other levels are null.
     Spark expands every clean row once per level and aggregates all levels in
     one hash aggregate (partial + final around a single shuffle), so the clean
     table is scanned and computed once, however many levels a result needs.
@@ -399,11 +358,12 @@ def level_totals(df: DataFrame, keys: Sequence[str] = (), small_below: float = s
     """
     debit, credit = _debit(), _credit()
     amt = F.col("amount")
-    sets = [list(keys), [*keys, "category"], [*keys, "year", "month"], [*keys, "merchant"]]
-    level = (F.when(F.grouping("merchant") == 0, F.lit("merchant"))
-             .when(F.grouping("category") == 0, F.lit("category"))
-             .when(F.grouping("year") == 0, F.lit("month")).otherwise(F.lit("all")))
-    return df.groupingSets(sets, *keys, "category", "year", "month", "merchant").agg(
+    cols = [c for lv in levels for c in LEVEL_COLUMNS[lv]]
+    sets = [list(keys)] + [[*keys, *LEVEL_COLUMNS[lv]] for lv in levels]
+    level = F.lit("all")
+    for lv in reversed(levels):
+        level = F.when(F.grouping(LEVEL_COLUMNS[lv][0]) == 0, F.lit(lv)).otherwise(level)
+    return df.groupingSets(sets, *keys, *cols).agg(
         level.alias("level"),
         F.count(F.lit(1)).alias("n"),
         F.count_if(debit).alias("n_debit"),
@@ -415,6 +375,8 @@ def level_totals(df: DataFrame, keys: Sequence[str] = (), small_below: float = s
         _sum0(F.when(F.col("is_weekend"), amt)).alias("weekend0"),
         _sum0(F.when(~F.col("is_weekend"), amt)).alias("weekday0"),
         F.count_if(debit & (amt < F.lit(small_below))).alias("n_small"),
+        F.min("date").alias("min_date"),
+        F.max("date").alias("max_date"),
     )
 
 
@@ -431,7 +393,8 @@ def top_merchant_rows(totals: DataFrame, keys: Sequence[str], top: int, order: S
     ``row_number <= top`` (other rows are single-row partitions), so Spark
     plans a partial WindowGroupLimit before the shuffle."""
     order = order or [F.col("n").desc(), F.col("merchant").asc()]
-    other = F.when(F.col("level") != "merchant", F.struct("level", "category", "year", "month"))
+    rest = [c for lv, cs in LEVEL_COLUMNS.items() if lv != "merchant" for c in cs if c in totals.columns]
+    other = F.when(F.col("level") != "merchant", F.struct("level", *rest))
     rn = F.row_number().over(Window.partitionBy(*keys, other).orderBy(*order))
     return totals.withColumn("_rn", rn).filter(F.col("_rn") <= top).drop("_rn")
 
@@ -448,26 +411,83 @@ def spending_summary(df: DataFrame, keys: Sequence[str] = (), top: int = 5) -> D
     lv = F.col("level")
     n_months = F.count_if((lv == "month") & (F.col("n_debit") > 0)).over(key_window(keys))
     t = t.withColumn("n_months", n_months)
-
-    def row(metric: str, level: Column | None, value: Column) -> Column:
-        return F.struct(F.lit(metric).alias("metric"),
-                        (level if level is not None else F.lit(None)).cast("string").alias("level"),
-                        value.cast("double").alias("value"))
-
     scalars = F.array(
-        row("total_spent", None, F.col("debit0")), row("total_received", None, F.col("credit0")),
-        row("transaction_count", None, F.col("n")), row("avg_transaction", None, _mean(F.col("amount"), F.col("n_amount"))),
-        row("weekend", None, F.col("weekend0")), row("weekday", None, F.col("weekday0")),
-        row("n_months", None, F.col("n_months")),
+        _long_row("total_spent", None, F.col("debit0")), _long_row("total_received", None, F.col("credit0")),
+        _long_row("transaction_count", None, F.col("n")),
+        _long_row("avg_transaction", None, _mean(F.col("amount"), F.col("n_amount"))),
+        _long_row("weekend", None, F.col("weekend0")), _long_row("weekday", None, F.col("weekday0")),
+        _long_row("n_months", None, F.col("n_months")),
     )
     rows = (F.when(lv == "all", scalars)
-            .when(lv == "category", F.array(row("category_spending", F.col("category"), F.col("debit0"))))
+            .when(lv == "category", F.array(_long_row("category_spending", F.col("category"), F.col("debit0"))))
             .when((lv == "month") & (F.col("n_debit") > 0),
-                  F.array(row("monthly_spending", F.format_string("%04d-%02d", "year", "month"), F.col("debit"))))
-            .when(lv == "merchant", F.array(row("top_merchant", F.col("merchant"), F.col("n")))))
+                  F.array(_long_row("monthly_spending", F.format_string("%04d-%02d", "year", "month"), F.col("debit"))))
+            .when(lv == "merchant", F.array(_long_row("top_merchant", F.col("merchant"), F.col("n")))))
+    return _explode_long(t, keys, rows)
+
+
+def _long_row(metric: str, level: Column | None, value: Column | None) -> Column:
+    """One ``(metric, level, value)`` entry of a long-form result."""
+    return F.struct(F.lit(metric).alias("metric"),
+                    (level if level is not None else F.lit(None)).cast("string").alias("level"),
+                    (value if value is not None else F.lit(None)).cast("double").alias("value"))
+
+
+def _explode_long(t: DataFrame, keys: Sequence[str], rows: Column) -> DataFrame:
     return t.select(*keys, F.explode(rows).alias("_r")).select(*keys, "_r.metric", "_r.level", "_r.value")
 
 
+SUMMARY_LEVELS = ("category", "merchant", "type")
+
+
+def summary_stats(df: DataFrame, keys: Sequence[str] = (), top: int = 5) -> DataFrame:
+    """Scalars plus maps (category counts, top merchants, type counts), one row per key.
+
+    One ``level_totals`` pass and the top-merchant cut; the maps are then
+    gathered from each key's few level rows (categories, ``top`` merchants,
+    types), never from its transactions.
+    """
+    t = top_merchant_rows(level_totals(df, keys, levels=SUMMARY_LEVELS), keys, top)
+    lv = F.col("level")
+
+    def on_all(c: Column) -> Column:
+        return F.max(F.when(lv == "all", c))
+
+    def as_map(level: str, col: str) -> Column:
+        return F.map_from_entries(F.collect_list(F.when(lv == level, F.struct(F.col(col), F.col("n")))))
+
+    return t.groupBy(*keys).agg(
+        on_all(F.col("n")).alias("total_transactions"),
+        on_all(F.coalesce(F.col("amount"), F.lit(0).cast(schema.MONEY))).alias("total_amount"),
+        on_all(_mean(F.col("amount"), F.col("n_amount"))).alias("avg_transaction"),
+        on_all(F.col("min_date")).alias("start_date"), on_all(F.col("max_date")).alias("end_date"),
+        as_map("category", "category").alias("categories"),
+        as_map("merchant", "merchant").alias("top_merchants"),
+        as_map("type", "transaction_type").alias("transaction_types"),
+    )
+
+
+def summary_long(df: DataFrame, keys: Sequence[str] = (), top: int = 5) -> DataFrame:
+    """``summary_stats`` as rows ``(keys, metric, level, value)``; dates as ISO text levels.
+
+    One ``level_totals`` pass, the top-merchant cut, then every level row is
+    unpivoted: no per-level aggregate, no union of scans.
+    """
+    t = top_merchant_rows(level_totals(df, keys, levels=SUMMARY_LEVELS), keys, top)
+    lv, n = F.col("level"), F.col("n")
+    scalars = F.array(
+        _long_row("total_transactions", None, n),
+        _long_row("total_amount", None, F.coalesce(F.col("amount"), F.lit(0).cast(schema.MONEY))),
+        _long_row("avg_transaction", None, _mean(F.col("amount"), F.col("n_amount"))),
+        _long_row("start_date", F.col("min_date"), None), _long_row("end_date", F.col("max_date"), None),
+    )
+    rows = (F.when(lv == "all", scalars)
+            .when(lv == "category", F.array(_long_row("category_count", F.col("category"), n)))
+            .when(lv == "merchant", F.array(_long_row("top_merchant", F.col("merchant"), n)))
+            .when(lv == "type", F.array(_long_row("type_count", F.col("transaction_type"), n))))
+    return _explode_long(t, keys, rows)
+
+
 def reindex_weekdays(agg: DataFrame, keys: Sequence[str] = (), day_col: str = "day_name",
                      value: str = "amount") -> DataFrame:
     """Re-index a per-weekday aggregate onto Monday..Sunday (missing -> null).
