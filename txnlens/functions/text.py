@@ -84,12 +84,11 @@ def merchant_from_parts(d: Column, first: Column, words: Column,
                         generic: Sequence[str] = schema.MERCHANT_GENERIC,
                         unknown: str = schema.MERCHANT_UNKNOWN) -> Column:
     found = strip_blanks(first)
-    rule = (
-        F.when(d.isNull(), F.lit(unknown))
-        .when((first != "") & ~found.isin(*generic), title_case(found))
-        .when((F.size(words) > 1) & F.get(words, 0).isin("to", "from"), title_case(F.get(words, 1)))
-        .otherwise(title_case(F.array_join(F.slice(words, 1, 2), " ")))
-    )
+    # pick the text first, title-case once (one copy of the title-case code)
+    pick = (F.when((first != "") & ~found.isin(*generic), found)
+            .when((F.size(words) > 1) & F.get(words, 0).isin("to", "from"), F.get(words, 1))
+            .otherwise(F.array_join(F.slice(words, 1, 2), " ")))
+    rule = F.when(d.isNull(), F.lit(unknown)).otherwise(title_case(pick))
     # never null by contract; saying so lets Catalyst drop inferred
     # ``isnotnull(merchant)`` filters on joins (which would re-run the rule)
     return F.coalesce(rule, F.lit(unknown))

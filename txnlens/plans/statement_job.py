@@ -19,6 +19,7 @@ from ..operators import metrics as m
 from ..operators import parse as ps
 from ..operators import quality as qa
 from ..operators import rules as r
+from ..session import use_jit_sized_codegen
 from ..sources import files as fl
 
 
@@ -52,6 +53,7 @@ def run_statement_job(spark: SparkSession, input_path: str, output_dir: str, key
     out = {name: os.path.join(output_dir, name) for name in (
         "statement_status", "transactions_clean", "validation", "category_spending", "overview",
         "recommendations", "insights", "advice")}
+    use_jit_sized_codegen(spark)
     status, txns = ingest_statements(spark, input_path, glob, decode_fn, account_of)
     status.write.mode("overwrite").parquet(out["statement_status"])
     clean = cl.clean_transactions(txns, keys, order_by=("statement_id", "line_no"))

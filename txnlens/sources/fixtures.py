@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema
+from ..session import spread
 
 # Fixed description strings of the txn fixture, indexed by event_id % 16.
 TXN_DESCRIPTIONS = (
@@ -38,7 +39,9 @@ STATEMENT_HEADERS = {"paytm": "Paytm statement", "gpay": "Google Pay statement",
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    """A given table; a small single-row-group file is spread over the cores
+    (``session.spread``, a no-op on large inputs)."""
+    return spread(spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet")))
 
 
 def _pick(index, values):
