@@ -52,7 +52,10 @@ def clean_desc(x: str) -> str:
 
 
 def title(x: str) -> str:
-    marked = f"regexp_replace({x}, '([^\\p{{Lu}}\\p{{Ll}}\\p{{Lt}} ])(\\p{{L}})', '\\1' || chr(1) || ' \\2', 'g')"
+    # RE2 has no lookahead: a match consumes the letter it marks before, so a
+    # second pass marks the pairs the first one skipped (they never touch)
+    once = "regexp_replace({}, '([^\\p{{Lu}}\\p{{Ll}}\\p{{Lt}} ])(\\p{{L}})', '\\1' || chr(1) || ' \\2', 'g')"
+    marked = once.format(once.format(x))
     words = f"list_transform(string_split({marked}, ' '), lambda w: upper(w[1]) || lower(w[2:]))"
     return f"replace(array_to_string({words}, ' '), chr(1) || ' ', '')"
 

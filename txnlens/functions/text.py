@@ -48,7 +48,7 @@ def title_case(col: Column | str) -> Column:
     it is not a cased letter ("7eleven" -> "7Eleven", "o'neil" -> "O'Neil").
     ``initcap`` only starts words after a space, so a marker space is put
     after every other non-cased character that precedes a letter, and removed."""
-    marked = F.regexp_replace(_c(col), r"([^\p{Lu}\p{Ll}\p{Lt} ])(\p{L})", "$1" + _TITLE_MARK + "$2")
+    marked = F.regexp_replace(_c(col), r"([^\p{Lu}\p{Ll}\p{Lt} ])(?=\p{L})", "$1" + _TITLE_MARK)
     return F.replace(F.initcap(marked), F.lit(_TITLE_MARK), F.lit(""))
 
 
