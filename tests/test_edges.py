@@ -235,3 +235,12 @@ def test_model_failure_falls_back(spark):
     assert parsed.count() + rule.select("account_id").distinct().count() == 3
     advice = r.format_model_advice(parsed, ("account_id",)).collect()
     assert any(x["line"] == "- ok" for x in advice)
+
+
+def test_title_case_runs_of_uncased_letters(spark):
+    """Every letter after an uncased character starts a word, also inside a
+    run of uncased letters (Python ``str.title``)."""
+    vals = ["0中A", "中中中中a", "7eleven store", "o'neil", "aBC dEF", "x_y", "1a2b3c", "éa1b"]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "i int, s string")
+    got = [r[1] for r in sorted(df.select("i", tx.title_case("s")).collect())]
+    assert got == [v.title() for v in vals]
