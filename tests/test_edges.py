@@ -244,3 +244,13 @@ def test_title_case_runs_of_uncased_letters(spark):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "i int, s string")
     got = [r[1] for r in sorted(df.select("i", tx.title_case("s")).collect())]
     assert got == [v.title() for v in vals]
+
+
+def test_parse_separator_inside_description(spark):
+    """The one-pass group split keeps the free-text group last: a separator
+    character inside a description does not shift the other fields."""
+    rows = _parse(spark, "Paytm statement\n05/01/2024 10:15:00 Paid to A\u0001B ₹12.50")
+    assert len(rows) == 1
+    assert rows[0]["description"] == "Paid to A\u0001B"
+    assert float(rows[0]["amount"]) == 12.5
+    assert rows[0]["transaction_type"] == "debit"

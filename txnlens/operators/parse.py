@@ -96,36 +96,49 @@ def split_statement_lines(statements: DataFrame, id_col: str = "statement_id",
 # Layout parsers: match string -> fields
 # ---------------------------------------------------------------------------
 
-def _paytm_fields(m: Column) -> dict[str, Column]:
-    desc = F.regexp_extract(m, PAYTM, 3)
-    dt = _ts(F.concat_ws(" ", F.regexp_extract(m, PAYTM, 1), F.regexp_extract(m, PAYTM, 2)), "dd/MM/yyyy HH:mm:ss")
+# All groups of a match in one regex pass: ``regexp_replace`` of the match
+# string with its groups joined by SEP, then ``split``.  The free-text group
+# (description / name) goes last and the split is limited, so a SEP inside it
+# cannot shift the other fields (they are digits and blanks only).
+SEP = "\u0001"
+GROUP_ORDER = {"paytm": (1, 2, 4, 3), "gpay": (1, 3, 4, 2), "phonepe": (1, 2, 4, 3)}
+
+
+def match_parts(m: Column, app: str) -> Column:
+    order = GROUP_ORDER[app]
+    joined = F.regexp_replace(m, PATTERNS[app], SEP.join(f"${g}" for g in order))
+    return F.split(joined, SEP, len(order))
+
+
+def _paytm_fields(p: Column) -> dict[str, Column]:
+    date, time, amount, desc = (F.get(p, i) for i in range(4))
+    dt = _ts(F.concat_ws(" ", date, time), "dd/MM/yyyy HH:mm:ss")
     return {
         "datetime": dt,
         "description": F.substring(_strip(desc), 1, schema.DESCRIPTION_CHARS),
-        "amount": F.abs(_money(F.regexp_extract(m, PAYTM, 4))),
+        "amount": F.abs(_money(amount)),
         "transaction_type": F.when(F.lower(desc).contains("paid"), "debit").otherwise("credit"),
     }
 
 
-def _gpay_fields(m: Column) -> dict[str, Column]:
-    marker = F.regexp_extract(m, GPAY, 1)
-    name = F.regexp_extract(m, GPAY, 2)
+def _gpay_fields(p: Column) -> dict[str, Column]:
+    marker, when, amount, name = (F.get(p, i) for i in range(4))
     return {
-        "datetime": _ts(F.regexp_extract(m, GPAY, 3), "d MMM yyyy, h:mm a"),
+        "datetime": _ts(when, "d MMM yyyy, h:mm a"),
         "description": _strip(F.concat_ws(" ", marker, name)),
-        "amount": _money(F.regexp_extract(m, GPAY, 4)),
+        "amount": _money(amount),
         # case-sensitive test on a case-insensitive match: "PAID TO" is a credit
         "transaction_type": F.when(marker.contains("Paid"), "debit").otherwise("credit"),
     }
 
 
-def _phonepe_fields(m: Column) -> dict[str, Column]:
-    desc = F.regexp_extract(m, PHONEPE, 3)
-    dt = _ts(F.concat_ws(" ", F.regexp_extract(m, PHONEPE, 1), F.regexp_extract(m, PHONEPE, 2)), "dd-MM-yyyy HH:mm")
+def _phonepe_fields(p: Column) -> dict[str, Column]:
+    date, time, amount, desc = (F.get(p, i) for i in range(4))
+    dt = _ts(F.concat_ws(" ", date, time), "dd-MM-yyyy HH:mm")
     return {
         "datetime": dt,
         "description": F.substring(_strip(desc), 1, schema.DESCRIPTION_CHARS),
-        "amount": _money(F.regexp_extract(m, PHONEPE, 4)),
+        "amount": _money(amount),
         "transaction_type": F.when(F.lower(desc).contains("sent"), "debit").otherwise("credit"),
     }
 
@@ -139,10 +152,10 @@ def _generic_fields(m: Column, as_of: Column) -> dict[str, Column]:
     }
 
 
+PATTERNS = {"paytm": PAYTM, "gpay": GPAY, "phonepe": PHONEPE}
 PARSERS: dict[str, Callable[..., dict[str, Column]]] = {
     "paytm": _paytm_fields, "gpay": _gpay_fields, "phonepe": _phonepe_fields,
 }
-PATTERNS = {"paytm": PAYTM, "gpay": GPAY, "phonepe": PHONEPE}
 
 
 def _matches(text: Column, app: Column) -> Column:
@@ -155,8 +168,16 @@ def _matches(text: Column, app: Column) -> Column:
     return expr.otherwise(generic_lines)
 
 
-def _fields(m: Column, app: Column, as_of: Column) -> dict[str, Column]:
-    per_app = {name: fn(m) for name, fn in PARSERS.items()}
+def _parts(m: Column, app: Column) -> Column:
+    """The match's groups for its layout (null for generic lines)."""
+    expr = None
+    for name in PARSERS:
+        expr = F.when(app == name, match_parts(m, name)) if expr is None else expr.when(app == name, match_parts(m, name))
+    return expr
+
+
+def _fields(m: Column, app: Column, as_of: Column, parts: Column) -> dict[str, Column]:
+    per_app = {name: fn(parts) for name, fn in PARSERS.items()}
     per_app["generic"] = _generic_fields(m, as_of)
     out = {}
     for field in ("datetime", "description", "amount", "transaction_type"):
@@ -203,7 +224,9 @@ def parse_statements(statements: DataFrame, id_col: str = "statement_id", app: s
             if cap is not None:
                 cond = F.when(F.col("app_source") == name, F.col("line_no") < cap).otherwise(cond)
         exploded = exploded.filter(cond)
-    f = _fields(F.col("_m"), F.col("app_source"), as_of)
+    # the groups are staged as a column: one regex pass per match, read by every field
+    exploded = exploded.withColumn("_p", _parts(F.col("_m"), F.col("app_source")))
+    f = _fields(F.col("_m"), F.col("app_source"), as_of, F.col("_p"))
     rows = exploded.select(
         id_col, *carry, "chunk_no", F.col("line_no").cast("long").alias("line_no"),
         f["datetime"].alias("datetime"), f["description"].alias("description"),
