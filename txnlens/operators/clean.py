@@ -85,9 +85,7 @@ def amount_range(col: Column | str = "amount", edges: Sequence[float] = schema.A
 
 def derive_time_features(df: DataFrame, ts: str = "datetime") -> DataFrame:
     """hour, day_of_month, is_weekend (Saturday/Sunday)."""
-    return (df.withColumn("hour", F.hour(ts))
-              .withColumn("day_of_month", F.dayofmonth(ts))
-              .withColumn("is_weekend", F.weekday(ts) >= 5))
+    return df.withColumns({"hour": F.hour(ts), "day_of_month": F.dayofmonth(ts), "is_weekend": F.weekday(ts) >= 5})
 
 
 def with_amount_range(df: DataFrame, col: str = "amount", out: str = "amount_range", **kw) -> DataFrame:
@@ -146,6 +144,6 @@ def clean_transactions(df: DataFrame, keys: Sequence[str] = (), order_by: Sequen
     out = filter_valid_amounts(abs_amount(out), cap)
     out = with_merchant(with_description_clean(out))
     out = with_category(out, vocabulary=vocabulary)
-    out = with_amount_range(derive_time_features(out))
+    out = derive_time_features(out).withColumn("amount_range", amount_range("amount"))
     out = merchant_frequency(out, keys)
     return typed_projection(out)
