@@ -1,9 +1,10 @@
 """Statement text -> transaction rows, with native expressions only.
 
 Each app layout is one regex.  ``regexp_extract_all(text, p, 0)`` returns the
-whole matches in text order, ``posexplode`` numbers them, and the groups are
-re-extracted from each (short) match string.  Re-matching a match string gives
-the same groups because the patterns have no anchors or look-arounds.
+whole matches in text order, ``posexplode`` numbers them, and one
+``regexp_replace`` of each (short) match string yields all its groups.
+Re-matching a match string gives the same groups, and the match spans the
+whole string, because the patterns have no anchors or look-arounds.
 
 Blanks inside a matched date (non-breaking or narrow spaces, line breaks) are
 normalised to one space before parsing, as Python's ``strptime`` accepts them.
