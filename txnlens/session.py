@@ -89,6 +89,9 @@ def spread(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    split = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes", "128m"))
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    try:
+        split = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes", "128m"))
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # no JVM plan handle (e.g. Spark Connect): leave the input as it is
+        return df
     return df.repartition(cores) if size < split * cores else df
