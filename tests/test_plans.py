@@ -116,3 +116,38 @@ def test_summary_maps_equal_long_form(spark):
             {lv: v for (mt, lv), v in lf.items() if mt == "top_merchant"}
         assert {k: float(v) for k, v in w.transaction_types.items()} == \
             {lv: v for (mt, lv), v in lf.items() if mt == "type_count"}
+
+
+def test_spread_only_small_inputs(spark):
+    """A small one-row-group table is dealt over the cores; once the input is
+    larger than one split per core, nothing is added; filters still reach the scan."""
+    from txnlens.session import spread
+
+    path = f"{SF_CHECK}/lineitem.parquet"
+    small = spread(spark.read.parquet(path)).filter(F.col("l_quantity") > 10).select("l_orderkey")
+    plan = small._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobinPartitioning" in plan
+    # the filter still reaches the parquet scan below the exchange
+    assert "GreaterThan(l_quantity,10.0)" in plan
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+        big = spread(spark.read.parquet(path))
+        assert "RoundRobinPartitioning" not in big._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_jit_sized_codegen_respects_cluster_setting(spark):
+    from txnlens.session import JIT_METHOD_LIMIT, use_jit_sized_codegen
+
+    old = spark.conf.get("spark.sql.codegen.hugeMethodLimit")
+    try:
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", "65535")
+        use_jit_sized_codegen(spark)
+        assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == str(JIT_METHOD_LIMIT)
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", "20000")
+        use_jit_sized_codegen(spark)          # a limit the cluster chose is kept
+        assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "20000"
+    finally:
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", old)
