@@ -47,6 +47,18 @@ def test_statement_job(spark):
     assert [r["merchant"] for r in feb.collect()] == ["Netflix"]
     advice = spark.read.parquet(out["advice"])
     assert advice.select("account_id").distinct().count() == 2
+    # results derived from the written level table equal the direct operators on the clean table
+    from txnlens.operators import metrics as m
+    from txnlens.operators import rules as r
+    keys = ("account_id",)
+    for name, direct in (("category_spending", m.category_spending(clean, keys)),
+                         ("overview", m.overview_metrics(clean, keys)),
+                         ("recommendations", r.recommendations(clean, keys)),
+                         ("insights", r.rule_based_insights(clean, keys))):
+        got = spark.read.parquet(out[name])
+        cols = sorted(direct.columns)
+        assert sorted(got.columns) == cols, name
+        assert sorted(map(repr, got.select(*cols).collect())) == sorted(map(repr, direct.select(*cols).collect())), name
 
 
 def test_statement_stream(spark):

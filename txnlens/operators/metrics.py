@@ -380,6 +380,20 @@ def level_totals(df: DataFrame, keys: Sequence[str] = (), small_below: float = s
     )
 
 
+def category_spending_from_levels(t: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """``category_spending`` from a ``level_totals`` table."""
+    return t.filter(F.col("level") == "category").select(*keys, "category", F.col("debit0").alias("amount"))
+
+
+def overview_from_levels(t: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """``overview_metrics`` from a ``level_totals`` table."""
+    return t.filter(F.col("level") == "all").select(
+        *keys, F.col("n").alias("n_transactions"), F.col("debit0").alias("total_spent"),
+        F.col("credit0").alias("total_received"), (F.col("credit0") - F.col("debit0")).alias("net_flow"),
+        _mean(F.col("amount"), F.col("n_amount")).alias("avg_amount"),
+        F.col("min_date"), F.col("max_date"))
+
+
 def key_window(keys: Sequence[str]):
     """A window over one key's ``all``, ``category`` and ``month`` rows of
     ``level_totals``; every merchant row is a partition of its own, so no task

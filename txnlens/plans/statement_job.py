@@ -3,6 +3,9 @@
 Stages communicate through written tables under ``output_dir`` (a shared
 folder on a cluster), which also cuts the lineage: a lost executor never
 forces a re-parse of the statement files once the clean table is written.
+The per-account results (category spending, overview, recommendations,
+insights) come from one written ``level_totals`` table, so the clean table
+is aggregated once for all of them.
 """
 
 from __future__ import annotations
@@ -51,7 +54,7 @@ def run_statement_job(spark: SparkSession, input_path: str, output_dir: str, key
                       account_of: Callable[[Column], Column] = default_account) -> dict[str, str]:
     """Run the whole job; returns the written table paths."""
     out = {name: os.path.join(output_dir, name) for name in (
-        "statement_status", "transactions_clean", "validation", "category_spending", "overview",
+        "statement_status", "transactions_clean", "validation", "level_totals", "category_spending", "overview",
         "recommendations", "insights", "advice")}
     use_jit_sized_codegen(spark)
     status, txns = ingest_statements(spark, input_path, glob, decode_fn, account_of)
@@ -61,11 +64,14 @@ def run_statement_job(spark: SparkSession, input_path: str, output_dir: str, key
 
     stored = spark.read.parquet(out["transactions_clean"])
     qa.validate_transactions(stored, keys).write.mode("overwrite").parquet(out["validation"])
-    m.category_spending(stored, keys).write.mode("overwrite").parquet(out["category_spending"])
-    m.overview_metrics(stored, keys).write.mode("overwrite").parquet(out["overview"])
-    r.recommendations(stored, keys).write.mode("overwrite").parquet(out["recommendations"])
-    insights = r.rule_based_insights(stored, keys)
-    insights.write.mode("overwrite").parquet(out["insights"])
+    # one aggregate pass over the clean table for every level the results need;
+    # the (much smaller) level table is written once and shared
+    m.level_totals(stored, keys).write.mode("overwrite").parquet(out["level_totals"])
+    levels = spark.read.parquet(out["level_totals"])
+    m.category_spending_from_levels(levels, keys).write.mode("overwrite").parquet(out["category_spending"])
+    m.overview_from_levels(levels, keys).write.mode("overwrite").parquet(out["overview"])
+    r.recommendations_from_levels(levels, keys).write.mode("overwrite").parquet(out["recommendations"])
+    r.insights_from_levels(levels, keys).write.mode("overwrite").parquet(out["insights"])
     r.format_advice(spark.read.parquet(out["insights"]), keys).write.mode("overwrite").parquet(out["advice"])
     return out
 
