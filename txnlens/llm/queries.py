@@ -27,6 +27,22 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the row of its text that stays, from a fresh digest index."""
+    from .exact_dedup import dedup
+
+    return dedup(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@query
+def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 2048 tokens."""
+    from .packing import pack, tokenize
+
+    return pack(tokenize(table(spark, sf_dir, "documents")))
+
+
 @query
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: its near-duplicate class, the class's size and the document's verified links."""
@@ -36,4 +52,16 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), "class_id", "class_size", F.col("representative").alias("kept"), "n_links")
 
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_exact_dedup": r"""
+        WITH keyed AS (
+          SELECT doc_id, length(coalesce(text, '')) AS n_chars,
+                 sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256
+          FROM documents),
+        ranked AS (
+          SELECT *, first_value(doc_id) OVER w AS keep_id, row_number() OVER w AS place,
+                 count(*) OVER (PARTITION BY text_sha256) AS group_size
+          FROM keyed
+          WINDOW w AS (PARTITION BY text_sha256 ORDER BY n_chars DESC, doc_id NULLS LAST))
+        SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM ranked""",
+}
