@@ -19,6 +19,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a record of an archive, written and read back."""
+    from .warc import page_of, round_trip
+
+    pages = table(spark, sf_dir, "pages")
+    kind = pages.schema["page_id"].dataType
+
+    def number(record_id):
+        text = page_of(record_id)
+        return F.when(text != "None", text).cast(kind)
+
+    return round_trip(pages).select(
+        number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        number("refers_to").alias("refers_to"), "url")
+
+
 @query
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of documents that align with a benchmark item."""
@@ -27,6 +44,25 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every whole document."""
+    from .token_counts import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; learned where crc32(doc_id) mod 4 is not 2."""
+    from . import langid
+
+    docs = table(spark, sf_dir, "documents")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 4
+    return langid.predict(docs, langid.fit(docs.filter(fold != 2))).select(
+        "doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the row of its text that stays, from a fresh digest index."""
@@ -52,6 +88,19 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), "class_id", "class_size", F.col("representative").alias("kept"), "n_links")
 
 
+@query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; labels are learned where crc32(doc_id) mod 5 is not 0."""
+    from . import toxicity
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 5
+    model = toxicity.fit(docs, labels.filter(fold != 0))
+    return toxicity.score(docs, model).select(
+        "doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", "predicted",
+        F.col("evidence.example").alias("evidence"))
+
+
 ORACLE_SQL: dict[str, str] = {
     "op6_exact_dedup": r"""
         WITH keyed AS (
