@@ -44,6 +44,19 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; labels are learned where crc32(doc_id) mod 3 is not 1."""
+    from . import quality
+    from .scratch import write
+
+    fold = F.crc32(F.col("doc_id").cast("string")) % 3
+    described = write(quality.describe(table(spark, sf_dir, "documents")), "statistics")
+    model = quality.fit(described, table(spark, sf_dir, "labels").filter(fold != 1))
+    return quality.score(described, model).select(
+        "doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 @query
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every whole document."""
@@ -79,6 +92,14 @@ def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(tokenize(table(spark, sf_dir, "documents")))
 
 
+@query
+def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that documents share."""
+    from .suffix_dedup import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: its near-duplicate class, the class's size and the document's verified links."""

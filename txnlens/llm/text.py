@@ -84,19 +84,41 @@ def _word_bytes(data: np.ndarray) -> np.ndarray:
     return inside
 
 
+def hash_ranges(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of each byte range; ranges ascend and don't overlap."""
+    out = np.empty(len(start), dtype=np.uint64)
+    i = 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(end, start[i] + BLOCK, side="right")))
+        lo, hi = start[i], end[j - 1]
+        up, down = _power_tables(int(hi - lo) + 1)
+        total = np.zeros(hi - lo + 1, dtype=np.uint64)
+        np.cumsum(_BYTE_VALUE[data[lo:hi]] * up[:hi - lo], out=total[1:])
+        out[i:j] = (total[end[i:j] - lo] - total[start[i:j] - lo]) * down[start[i:j] - lo]
+        i = j
+    return mix(out + (end - start).astype(np.uint64))
+
+
+def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of the texts (null: empty) and the n + 1 offsets of the texts in them."""
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    n, buffers = len(texts), texts.buffers()
+    offsets = np.frombuffer(buffers[1], dtype=np.int64, count=n + 1 + texts.offset)[texts.offset:] if n else np.zeros(1, np.int64)
+    if buffers[2] is None or offsets[-1] == offsets[0]:
+        return np.zeros(0, np.uint8), np.zeros(n + 1, np.int64)
+    return np.frombuffer(buffers[2], dtype=np.uint8)[offsets[0]:offsets[-1]], offsets - offsets[0]
+
+
 def words(texts: pa.Array) -> Words:
     """Words of every text of an Arrow string array."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    lower = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
-    n = len(lower)
-    buffers = lower.buffers()
-    offsets = np.frombuffer(buffers[1], dtype=np.int64, count=n + 1 + lower.offset)[lower.offset:]
-    if n == 0 or buffers[2] is None or offsets[-1] == offsets[0]:
+    data, offsets = utf8(pc.utf8_lower(texts.cast(pa.large_string())))
+    if not len(data):
         none = np.zeros(0, dtype=np.int64)
-        return Words(none.astype(np.uint64), none, none, np.zeros(n + 1, dtype=np.int64), np.zeros(0, np.uint8))
-    data = np.frombuffer(buffers[2], dtype=np.uint8)[offsets[0]:offsets[-1]]
-    offsets = offsets - offsets[0]
+        return Words(none.astype(np.uint64), none, none, offsets, data)
     inside = _word_bytes(data)
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
@@ -110,17 +132,7 @@ def words(texts: pa.Array) -> Words:
     inner = inner[inner > 0]
     ends[inner] = inside[inner - 1]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends)
-    out = np.empty(len(start), dtype=np.uint64)
-    i = 0
-    while i < len(start):
-        j = max(i + 1, int(np.searchsorted(end, start[i] + BLOCK, side="right")))
-        lo, hi = start[i], end[j - 1]
-        up, down = _power_tables(int(hi - lo) + 1)
-        total = np.zeros(hi - lo + 1, dtype=np.uint64)
-        np.cumsum(_BYTE_VALUE[data[lo:hi]] * up[:hi - lo], out=total[1:])
-        out[i:j] = (total[end[i:j] - lo] - total[start[i:j] - lo]) * down[start[i:j] - lo]
-        i = j
-    return Words(mix(out + (end - start).astype(np.uint64)), start, end,
+    return Words(hash_ranges(data, start, end), start, end,
                  np.searchsorted(start, offsets).astype(np.int64), data)
 
 
