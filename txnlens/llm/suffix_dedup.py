@@ -5,7 +5,7 @@
 2. Suffixes start at anchors only.  Anchors whose k-gram occurs nowhere else are dropped.
 3. A suffix carries the words from its anchor on, and those before it, up to ``least`` words either
    way, as 24-bit word hashes.  All suffixes are sorted by their words (range partitioning, so any
-   number of equal suffixes is spread over tasks) and each is compared with its neighbours.
+   number of equal suffixes is spread over tasks) and each is compared with its next neighbours.
 4. The common prefix, extended to the left by the common words before the anchors, is a repeated
    passage if it has ``least`` words.  Passages of a text that overlap are joined, so a long one
    is found whole, anchor by anchor.
@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from . import text as tx
 from .scratch import write
 
-LEAST, GRAM, WINDOW = 50, 8, 32
+LEAST, GRAM, WINDOW, NEAR = 50, 8, 32, 8
 WORD_BYTES = 3
 
 
@@ -104,55 +105,97 @@ def _suffixes(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Reco
                                           pa.array(before, pa.binary())], ["owner", "place", "after", "before"])
 
 
-def _common(a: np.ndarray, b: np.ndarray) -> int:
-    """Leading words that two byte strings of word hashes share."""
-    n = min(len(a), len(b)) // WORD_BYTES * WORD_BYTES
-    other = np.flatnonzero(a[:n] != b[:n])
-    return (int(other[0]) if len(other) else n) // WORD_BYTES
+def _words_matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Byte strings of word hashes as rows of ``width`` words (padded), and their lengths in words."""
+    column = column.cast(pa.large_binary())
+    length = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+    out = np.zeros((len(column), width * WORD_BYTES), dtype=np.uint8)
+    out[np.arange(width * WORD_BYTES) < length[:, None]] = np.frombuffer(b"".join(column.to_pylist()), np.uint8)
+    return out, length // WORD_BYTES
 
 
-def _meet(last: tuple, now: tuple, least: int) -> list[tuple]:
-    """Passages (owner, start, end, other owner) of two neighbouring suffixes (owner, place, after, before)."""
-    if last[0] == now[0] and last[1] == now[1]:
-        return []
-    right = _common(np.frombuffer(last[2], np.uint8), np.frombuffer(now[2], np.uint8))
-    if not right:
-        return []
-    left = _common(np.frombuffer(last[3], np.uint8), np.frombuffer(now[3], np.uint8))
-    if left + right < least:
-        return []
-    return [(a[0], a[1] - left, a[1] + right, b[0]) for a, b in ((last, now), (now, last))]
+def _common(a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Leading words that the rows of two matrices share, at most ``most``."""
+    other = a != b
+    first = np.where(other.any(axis=1), other.argmax(axis=1) // WORD_BYTES, a.shape[1] // WORD_BYTES)
+    return np.minimum(first, most)
 
 
-_FOUND = "owner bigint, start bigint, end bigint, other bigint, part int, edge int, place int, after binary, before binary"
+def _passages(rows: pa.Table, least: int, near: int, new_from: int = 0) -> np.ndarray:
+    """(owner, start, end, other owner) from sorted suffixes and their next ``near`` followers.
+
+    Followers before ``new_from`` were compared earlier.
+    """
+    owner, place = (rows.column(c).to_numpy().astype(np.int64) for c in ("owner", "place"))
+    after, right = _words_matrix(rows.column("after").combine_chunks(), least)
+    before, left = _words_matrix(rows.column("before").combine_chunks(), least)
+    out = []
+    for k in range(1, min(near, len(owner) - 1) + 1):
+        i = np.arange(max(0, new_from - k), len(owner) - k)
+        j = i + k
+        r = _common(after[i], after[j], np.minimum(right[i], right[j]))
+        some = r > 0
+        i, j, r = i[some], j[some], r[some]
+        both = _common(before[i], before[j], np.minimum(left[i], left[j]))
+        good = (both + r >= least) & ((owner[i] != owner[j]) | (place[i] != place[j]))
+        i, j, r, both = i[good], j[good], r[good], both[good]
+        for x, y in ((i, j), (j, i)):
+            out.append(np.stack([owner[x], place[x] - both, place[x] + r, owner[y]], axis=1))
+    return np.concatenate(out) if out else np.zeros((0, 4), np.int64)
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Sorted suffixes -> passages, and the partition's first and last suffix (edge 0 and 1)."""
-    part, first, last = TaskContext.get().partitionId(), None, None
-    for batch in batches:
-        rows = list(zip(*(batch.column(c).to_pylist() for c in ("owner", "place", "after", "before")), strict=True))
-        found = []
-        for now in rows:
-            if last is None:
-                first = now
-            else:
-                found += _meet(last, now, least)
-            last = now
-        if found:
-            yield _batch([(*f, None, None, None, None, None) for f in found])
-    if first is not None:
-        yield _batch([(r[0], None, None, None, part, edge, r[1], r[2], r[3]) for edge, r in enumerate((first, last))])
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
+_FOUND = "owner bigint, start bigint, end bigint, other bigint, part int, edge int, place int, after binary, before binary"
+_SUFFIX = ("owner", "place", "after", "before")
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch], least: int, near: int) -> Iterator[pa.RecordBatch]:
+    """Sorted suffixes -> passages, and the partition's first and last ``near`` suffixes (edge from 0 on, and before -1)."""
+    part, head, tail = TaskContext.get().partitionId(), None, None
+    for whole in batches:
+        for at in range(0, whole.num_rows, 20_000):
+            batch = pa.table(whole.slice(at, 20_000)).select(_SUFFIX)
+            rows = batch if tail is None else pa.concat_tables([tail, batch])
+            found = _passages(rows, least, near, 0 if tail is None else tail.num_rows)
+            found = np.unique(found, axis=0)
+            if len(found):
+                yield _batch([pa.array(found[:, k]) for k in range(4)], len(found))
+            head = rows.slice(0, near) if head is None or head.num_rows < near else head
+            tail = rows.slice(max(0, rows.num_rows - near))
+    if head is not None:
+        for rows, first in ((head, 0), (tail, -tail.num_rows)):
+            n = rows.num_rows
+            yield _batch([rows.column("owner"), None, None, None, pa.array([part] * n, pa.int32()),
+                          pa.array(range(first, first + n), pa.int32()), *(rows.column(c) for c in ("place", "after", "before"))], n)
+
+
+def _batch(columns: list, n: int) -> pa.RecordBatch:
     kinds = [pa.int64()] * 4 + [pa.int32()] * 3 + [pa.binary()] * 2
-    names = [f.split()[0] for f in _FOUND.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(len(names))], names)
+    columns = [*columns, *[None] * (len(kinds) - len(columns))]
+    full = [pa.nulls(n, kind) if c is None else (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c).cast(kind)
+            for c, kind in zip(columns, kinds, strict=True)]
+    return pa.RecordBatch.from_arrays(full, [f.split()[0] for f in _FOUND.split(", ")])
+
+
+def _across(edges: list, least: int, near: int) -> list[tuple]:
+    """Passages of neighbours that lie in different partitions."""
+    parts: dict[int, dict[int, list]] = {}
+    for r in edges:
+        side = parts.setdefault(r["part"], {0: [], 1: []})
+        side[r["edge"] < 0].append((r["edge"], {c: bytes(r[c]) if c in ("after", "before") else r[c] for c in _SUFFIX}))
+    found, tail = set(), []
+    for part in sorted(parts):
+        head = [x for _, x in sorted(parts[part][0], key=lambda e: e[0])]
+        if tail:
+            rows = pa.Table.from_pylist(tail + head, schema=pa.schema(
+                [("owner", pa.int64()), ("place", pa.int32()), ("after", pa.binary()), ("before", pa.binary())]))
+            found.update(map(tuple, _passages(rows, least, near, len(tail)).tolist()))
+        last = [x for _, x in sorted(parts[part][1], key=lambda e: e[0])]
+        tail = (tail + last)[-near:] if len(last) < near else last
+    return sorted(found)
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, gram: int = GRAM,
-                      window: int = WINDOW) -> DataFrame:
+                      window: int = WINDOW, near: int = NEAR) -> DataFrame:
     """Every maximal run of words of a row that lies in passages of ``least`` or more words that occur elsewhere.
 
     doc_id, start_word, end_word (words of ``text.words``, end excluded), n_words, other_id (a row that
@@ -181,10 +224,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                      .mapInArrow(lambda it: _suffixes(it, least), "owner bigint, place int, after binary, before binary"), "suffixes")
     order = ["after", "before", "owner", "place"]
     compared = write(suffixes.repartitionByRange(*order).sortWithinPartitions(*order)
-                     .mapInArrow(lambda it: _neighbours(it, least), _FOUND), "compared")
-    edges = sorted(compared.filter("edge is not null").collect(), key=lambda r: (r["part"], r["edge"]))   # two rows a partition
-    ends = [(r["owner"], r["place"], bytes(r["after"]), bytes(r["before"])) for r in edges]
-    across = [x for a, b in zip(ends[1::2], ends[2::2], strict=False) for x in _meet(a, b, least)]
+                     .mapInArrow(lambda it: _neighbours(it, least, near), _FOUND), "compared")
+    edges = compared.filter("edge is not null").select("part", "edge", *_SUFFIX).collect()    # 2 * near rows a partition
+    across = _across(edges, least, near)
     spans = (compared.filter("edge is null").select("owner", "start", "end", "other")
              .unionByName(spark.createDataFrame(across, "owner bigint, start bigint, end bigint, other bigint")))
     whole = (owners.filter((F.col("copies") > 1) & (F.col("n_words") >= least))
