@@ -14,6 +14,7 @@ from __future__ import annotations
 import heapq
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +26,9 @@ from .scratch import write
 from .text import slices
 
 MAX_LENGTH, TOKENIZER, END_ID = 2048, "word_bpe_49k.json", 1
-CACHE = 300_000          # chunks of text whose ids a task remembers
+CACHE = 800_000          # chunks of text whose ids a worker remembers
 PIECES_PER_PART = 20_000
+MARK, GROUP = "\x02", 50  # a character that is no part of a word, and chunks that are encoded together
 
 
 def tokenizer_path(name: str) -> str:
@@ -50,21 +52,48 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache, self.limit = {}, cache
+        self.cache: dict[str, bytes] = {}        # chunks met lately
+        self.old: dict[str, bytes] = {}          # those before; half of the limit each
+        self.limit = cache // 2
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _chunk_ids(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks, encoded some at a time with a mark between them that is a token of its own."""
+        mark = self._ids([MARK])[0]
+        out = dict.fromkeys(chunks, b"")
+        alone = len(mark) != 4
+        odd = [c for c in chunks if alone or MARK in c]
+        even = [] if alone else [c for c in chunks if MARK not in c]
+        groups = [even[i:i + GROUP] for i in range(0, len(even), GROUP)]
+        for group, ids in zip(groups, self._ids([f" {MARK} ".join(g) for g in groups]), strict=True):
+            at = 4 * np.flatnonzero(np.frombuffer(ids, "<u4") == np.frombuffer(mark, "<u4"))
+            out.update(zip(group, map(ids.__getitem__, map(slice, [0, *(at + 4)], [*at, len(ids)])), strict=True))
+        out.update(zip(odd, self._ids(odd), strict=True))
+        return [out[c] for c in chunks]
+
+    def _learn(self, chunks: set[str]) -> None:
+        if len(self.cache) + len(chunks) > self.limit:
+            self.old, self.cache = self.cache, {}
+        new = []
+        for c in chunks:
+            ids = self.old.get(c)
+            if ids is None:
+                new.append(c)
+            else:
+                self.cache[c] = ids
+        self.cache.update(zip(new, self._chunk_ids(new), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         odd = {i for i, t in enumerate(texts) if t and any(c in t for c in "\x1c\x1d\x1e\x1f")}
         chunks = [[] if not t or i in odd else t.split() for i, t in enumerate(texts)]
         new = {c for x in chunks for c in x if c not in self.cache}
-        if len(self.cache) + len(new) > self.limit:
-            self.cache = {}
-            new = {c for x in chunks for c in x}
-        new = list(new)
-        self.cache.update(zip(new, self._ids(new), strict=True))
+        if new:
+            if len(self.cache) + len(new) > self.limit:
+                new = {c for x in chunks for c in x}
+            self._learn(new)
         get = self.cache.__getitem__
         out = [b"".join(map(get, x)) for x in chunks]
         for i in odd:
@@ -72,6 +101,16 @@ class Encoder:
         return out
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The worker's encoder, kept from task to task with what it has met."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def cut(ids: bytes, end_id: int, max_length: int) -> list[tuple[int, bytes]]:
     """(start, ids) of the pieces of one document, with its end token."""
     ids += int(end_id).to_bytes(4, "little")
@@ -80,10 +119,10 @@ def cut(ids: bytes, end_id: int, max_length: int) -> list[tuple[int, bytes]]:
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, end_id: int, max_length: int, with_ids: bool):
-    encoder = Encoder(tokenizer_path(path))
+    known = encoder(tokenizer_path(path))
     for batch in slices(batches, "text"):
         row, start, size, crc, total, ids = [], [], [], [], [], []
-        for i, whole in enumerate(encoder.encode(batch.column("text").to_pylist())):
+        for i, whole in enumerate(known.encode(batch.column("text").to_pylist())):
             for at, piece in cut(whole, end_id, max_length):
                 row.append(i)
                 start.append(at)
