@@ -1,25 +1,55 @@
-"""Corpus preparation from raw documents to packed training sequences."""
+"""Corpus preparation from raw documents to packed training sequences.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept.  All but the
+last return the columns of ``documents``; the last returns pieces of documents in sequences.  Null
+texts count as empty; rows with null ids are kept or dropped by their text like any others.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from txnlens.llm import near_dedup
+from txnlens.llm import decontaminate, exact_dedup, near_dedup, packing, toxicity
 from txnlens.llm.scratch import write
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is 0.5 or more go."""
+    return toxicity.keep_clean(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that are equal but for blanks one stays."""
+    return exact_dedup.keep_first(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every near-duplicate class stays."""
     return near_dedup.keep_one(docs)
 
 
-STAGES = [("near_dedup", near_duplicates)]
-ORACLE_SQL = None
+def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage go."""
+    return decontaminate.remove_contaminated(docs, _table(spark, sf_dir, "benchmark"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 2048 tokens."""
+    return packing.pack(packing.tokenize(docs))
+
+
+STAGES = [("toxicity", toxic), ("exact_dedup", exact_copies), ("near_dedup", near_copies),
+          ("decontamination", leaks), ("packing", packed)]
+ORACLE_SQL = None        # scores, alignment and tokens are beyond SQL; tests compare with brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each stage's rows are written and read again by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = _table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = write(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -127,6 +127,8 @@ class Index:
         bound = weight @ self.most[term]
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
+        if not len(order):
+            return np.zeros(0, np.int64), np.zeros(0)
         found, score, floor, i, step = [], [], 0.0, 0, 4
         while i < len(order) and bound[order[i]] >= floor - 1e-9:
             opened = order[i:i + step]
