@@ -149,7 +149,7 @@ def _verify(pairs: DataFrame, nodes: DataFrame, keyed: DataFrame, shingle: int)
     need = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     need = write(nodes.select("node", "id", F.col("tk.x").alias("x"), F.col("tk.y").alias("y")).join(need, "node"), "needed")
     rows = keyed.select(F.col("id").alias("id_"), F.col("tk.x").alias("x"), F.col("tk.y").alias("y"), "text")
-    texts = write(rows.join(need, (rows.x == need.x) & (rows.y == need.y) & rows.id_.eqNullSafe(need.id))
+    texts = write(rows.join(need.hint("merge"), (rows.x == need.x) & (rows.y == need.y) & rows.id_.eqNullSafe(need.id))
                   .select("node", "text"), "texts")
     both = (pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
             .join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b"))
