@@ -1,9 +1,12 @@
 """DuckDB SQL oracles, one per SQL-expressible query key.
 
-Written independently of the Spark code: dedupe is a ``row_number`` window,
+The SQL is written apart from the Spark code; only the Unicode character classes (lists of code
+points, themselves checked against Python's ``re`` in ``tests/test_properties.py``) are shared.
+Fixed values (descriptions, keyword groups, message texts, patterns) stand here a second time on
+purpose, so that a slip in one copy shows.  Dedupe is a ``row_number`` window,
 parsers are checked against a projection of the source rows, top-k and mode
 are windows, zero-filled levels come from ``GROUP BY`` with ``CASE``.
-Tables ``events lineitem part orders customer documents`` are views.
+Tables ``events lineitem part orders customer documents conversations`` are views.
 """
 
 from __future__ import annotations
@@ -46,6 +49,16 @@ TXN_BIG = """SELECT l_suppkey AS statement_id, l_suppkey AS account_id, l_orderk
 FROM lineitem JOIN part ON l_partkey = p_partkey"""
 
 
+TXN_DIRTY = f"""SELECT statement_id, account_id, line_no * 2 + copy AS line_no, date, datetime,
+  CASE WHEN account_id % 4 = 1 AND line_no % 3 = 0 THEN NULL
+       WHEN account_id % 5 = 2 AND line_no % 4 <> 1 THEN 'Swiggy dinner order'
+       WHEN account_id % 6 = 3 AND line_no % 8 = 5 THEN 'Monthly SIP mutual fund' ELSE description END AS description,
+  CASE WHEN line_no % 17 = 4 THEN NULL WHEN line_no % 11 = 3 THEN CAST(0 AS DECIMAL(18,2))
+       WHEN line_no % 7 = 2 THEN -amount ELSE amount END AS amount,
+  transaction_type, app_source, month, year
+FROM (SELECT *, unnest(CASE WHEN line_no % 5 = 0 THEN [0, 1] ELSE [0] END) AS copy FROM ({TXN}))"""
+
+
 def clean_desc(x: str) -> str:
     inner = f"regexp_replace(lower({x}), '[^{W_CHARS}{S_CHARS}]', ' ', 'g')"
     return f"trim(regexp_replace({inner}, '{S}+', ' ', 'g'), ' ')"
@@ -74,6 +87,7 @@ def merchant(x: str) -> str:
             f"ELSE {title(f'array_to_string({words}[1:2], chr(32))')} END")
 
 
+# The keyword groups, as alternations.
 VOCAB = (
     ("Food & Dining", "zomato|swiggy|restaurant|food|dining|pizza|dominos|kfc"),
     ("Transportation", "uber|ola|cab|metro|bus|auto|fuel|petrol|rapido"),
@@ -86,8 +100,11 @@ VOCAB = (
 )
 
 
-def category(x: str) -> str:
-    whens = " ".join(f"WHEN regexp_matches({x}, '(?i)(?:{kw})') THEN {q(c)}" for c, kw in reversed(VOCAB))
+INVESTING = (("Investment", "sip|mutual fund"),)
+
+
+def category(x: str, more: tuple = ()) -> str:
+    whens = " ".join(f"WHEN regexp_matches({x}, '(?i)(?:{kw})') THEN {q(c)}" for c, kw in reversed(VOCAB + more))
     return f"CASE {whens} ELSE 'Others' END"
 
 
@@ -100,17 +117,20 @@ def amount_range(a: str) -> str:
 DEDUP_ORDER = ("line_no NULLS FIRST, statement_id NULLS FIRST, datetime NULLS FIRST, transaction_type NULLS FIRST, "
                "app_source NULLS FIRST, month NULLS FIRST, year NULLS FIRST")
 
-CLEAN_CTES = f"""c_dedup AS (
+def clean_ctes(more: tuple = ()) -> str:
+    return f"""c_dedup AS (
   SELECT * EXCLUDE (_rn) FROM (
     SELECT *, row_number() OVER (PARTITION BY account_id, date, amount, description ORDER BY {DEDUP_ORDER}) AS _rn
     FROM src) WHERE _rn = 1),
 c_amt AS (SELECT * REPLACE (abs(amount) AS amount) FROM c_dedup WHERE abs(amount) > 0 AND abs(amount) <= 100000),
 c_desc AS (SELECT *, {clean_desc('description')} AS description_clean FROM c_amt),
-c_enr AS (SELECT *, {merchant('description_clean')} AS merchant, {category('description_clean')} AS category,
+c_enr AS (SELECT *, {merchant('description_clean')} AS merchant, {category('description_clean', more)} AS category,
   CAST(hour(datetime) AS INTEGER) AS hour, CAST(day(datetime) AS INTEGER) AS day_of_month,
   isodow(datetime) >= 6 AS is_weekend, {amount_range('amount')} AS amount_range FROM c_desc),
 clean AS (SELECT *, count(*) OVER (PARTITION BY account_id, merchant) AS merchant_frequency FROM c_enr)"""
 
+CLEAN_CTES = clean_ctes()
+
 CLEAN_COLS = ("statement_id, account_id, line_no, date, datetime, description, CAST(amount AS DOUBLE) AS amount, "
               "transaction_type, app_source, month, year, description_clean, merchant, category, hour, day_of_month, "
               "is_weekend, amount_range, merchant_frequency")
@@ -128,6 +148,10 @@ def on_txn(body: str) -> str:
     return f"WITH txn AS ({TXN})\n{body}"
 
 
+def on_dirty(body: str) -> str:
+    return f"WITH txn AS ({TXN_DIRTY})\n{body}"
+
+
 def on_txn_big(body: str) -> str:
     return f"WITH txn AS ({TXN_BIG})\n{body}"
 
@@ -170,9 +194,12 @@ def on_statements(body: str) -> str:
 
 
 def detect(text: str) -> str:
-    h = f"lower(substr({text}, 1, 1000))"
-    return (f"CASE WHEN contains({h}, 'paytm') THEN 'paytm' WHEN contains({h}, 'google pay') OR contains({h}, 'gpay') "
-            f"THEN 'gpay' WHEN contains({h}, 'phonepe') OR contains({h}, 'phone pe') THEN 'phonepe' ELSE 'generic' END")
+    def at(*words: str) -> str:
+        return "least(" + ", ".join(f"coalesce(nullif(strpos(lower({text}), {q(w)}), 0), 1e18)" for w in words) + ", 1e18)"
+
+    p, g, o = at("paytm"), at("google pay", "gpay"), at("phonepe", "phone pe")
+    return (f"CASE WHEN least({p}, {g}, {o}) = 1e18 THEN 'generic' WHEN {p} = least({p}, {g}, {o}) THEN 'paytm' "
+            f"WHEN {g} = least({g}, {o}) THEN 'gpay' ELSE 'phonepe' END")
 
 
 def top_n(src: str, part: str, order: str, n: int, cols: str = "*") -> str:
@@ -215,29 +242,53 @@ SQL["parse_statements"] = on_statements(f"SELECT {PARSED_COLS} FROM expected")
 SQL["union_parsed"] = SQL["parse_statements"]
 SQL["parse_generic"] = on_statements(f"""SELECT statement_id, CAST(k AS BIGINT) AS line_no,
   TIMESTAMP '2024-02-01 00:00:00' AS datetime,
-  substr(CASE app_source WHEN 'gpay' THEN {AMT_TXT} ELSE {LINE} END, 1, 100) AS description,
+  CASE app_source WHEN 'gpay' THEN {AMT_TXT} ELSE {LINE} END AS description,
   CAST(amount AS DOUBLE) AS amount, 'debit' AS transaction_type, 'generic' AS app_source FROM rec""")
 SQL["assemble_transactions"] = on_statements("""SELECT statement_id, account_id, CAST(k AS BIGINT) AS line_no,
   CAST(datetime AS DATE) AS date, datetime, description, CAST(amount AS DOUBLE) AS amount, transaction_type,
   app_source, CAST(month(datetime) AS INTEGER) AS month, CAST(year(datetime) AS INTEGER) AS year FROM expected""")
-SQL["parse_status"] = on_statements("""SELECT statement_id, 'ok' AS status, count(*) AS n_transactions
-  FROM expected GROUP BY statement_id""")
-SQL["max_per_chunk"] = on_statements("""SELECT statement_id, CAST(chunk_no AS INTEGER) AS chunk_no,
-  CAST(line_no2 AS BIGINT) AS line_no, datetime, description, CAST(amount AS DOUBLE) AS amount, transaction_type,
-  app_source FROM (
-  SELECT *, row_number() OVER (PARTITION BY statement_id, chunk_no ORDER BY k) - 1 AS line_no2 FROM (
-    SELECT *, first_line // 1000 AS chunk_no FROM (
-      SELECT *, CASE WHEN app_source = 'gpay' THEN 1 + 3 * k ELSE 1 + k END AS first_line,
-        CASE WHEN app_source = 'gpay' THEN 3 + 3 * k ELSE 1 + k END AS last_line FROM expected)
-    WHERE first_line // 1000 = last_line // 1000))
-WHERE app_source = 'gpay' OR line_no2 < 50""")
-
-# --- 2.3 projections -------------------------------------------------------------
-
-SQL["abs_amount"] = on_txn("SELECT account_id, line_no, CAST(abs(amount) AS DOUBLE) AS amount FROM txn")
-SQL["clean_description"] = on_txn(f"SELECT line_no, {clean_desc('description')} AS description_clean FROM txn")
-SQL["extract_merchant"] = on_txn(f"SELECT line_no, {merchant(clean_desc('description'))} AS merchant FROM txn")
-SQL["categorize"] = on_txn(f"SELECT line_no, {category(clean_desc('description'))} AS category FROM txn")
+# Statement files: every seventh undecodable, every eleventh blank, every thirteenth without a transaction.
+FILE_CTES = f"""{STATEMENT_CTES},
+files AS (SELECT statement_id, 'statements/' || statement_id || '.pdf' AS path, statement_id % 1001 % 7 = 1 AS broken,
+  CASE WHEN statement_id % 1001 % 11 = 3 THEN 'blank' WHEN statement_id % 1001 % 13 = 5 THEN 'none' ELSE 'full' END AS kind
+  FROM statements)"""
+SQL["read_statement_pages"] = f"""WITH {FILE_CTES}
+SELECT path, 0 AS page_no, CAST(NULL AS VARCHAR) AS text, 'failed: UnicodeDecodeError' AS status FROM files WHERE broken
+UNION ALL SELECT path, 0, CASE kind WHEN 'blank' THEN ' ' || chr(10) ELSE 'Paytm statement' || chr(10) || 'nothing here' END, 'ok'
+  FROM files WHERE NOT broken AND kind <> 'full'
+UNION ALL SELECT path, CAST(row_number() OVER (PARTITION BY statement_id ORDER BY page_no) - 1 AS INTEGER), text, 'ok'
+  FROM files JOIN pages USING (statement_id) WHERE NOT broken AND kind = 'full'"""
+# Amounts whose whole part ends in 9 were made unreadable: rejected, or no match at all in the layout that wants cents.
+SQL["parse_status"] = f"""WITH {FILE_CTES}
+SELECT path, CASE WHEN broken OR kind = 'blank' THEN 'failed: no text' WHEN yes = 0 THEN 'failed: no transactions' ELSE 'ok' END
+  AS status, yes AS n_transactions, no AS n_rejected FROM (
+  SELECT path, broken, kind,
+    count(*) FILTER (WHERE NOT broken AND kind = 'full' AND floor(amount) % 10 <> 9) AS yes,
+    count(*) FILTER (WHERE NOT broken AND kind = 'full' AND floor(amount) % 10 = 9 AND app_source <> 'gpay') AS no
+  FROM files JOIN expected USING (statement_id) GROUP BY path, broken, kind)"""
+
+MS = "date_trunc('milliseconds', datetime)"
+SQL["load_table"] = on_txn(f"SELECT * REPLACE ({MS} AS datetime, CAST(amount AS DOUBLE) AS amount) FROM txn")
+SQL["save_table"] = on_clean(f"SELECT * REPLACE ({MS} AS datetime) FROM (SELECT {CLEAN_COLS} FROM clean)")
+SQL["export_clean_csv"] = SQL["save_table"]
+
+# --- 2.3 projections (text rules over descriptions, whole documents and whole conversation turns)
+
+
+def on_texts(body: str) -> str:
+    return f"""WITH texts AS (
+  SELECT 'txn' AS src, CAST(line_no AS VARCHAR) AS id, description FROM ({TXN_DIRTY})
+  UNION ALL SELECT 'doc', CAST(doc_id AS VARCHAR), text FROM documents
+  UNION ALL SELECT 'turn', conv_id || '-' || turn, text FROM conversations)
+{body}"""
+
+
+# -------------------------------------------------------------
+
+SQL["abs_amount"] = on_dirty("SELECT account_id, line_no, CAST(abs(amount) AS DOUBLE) AS amount FROM txn")
+SQL["clean_description"] = on_texts(f"SELECT src, id, {clean_desc('description')} AS description_clean FROM texts")
+SQL["extract_merchant"] = on_texts(f"SELECT src, id, {merchant(clean_desc('description'))} AS merchant FROM texts")
+SQL["categorize"] = on_texts(f"SELECT src, id, {category(clean_desc('description'))} AS category FROM texts")
 SQL["derive_time_features"] = on_txn("""SELECT line_no, CAST(hour(datetime) AS INTEGER) AS hour,
   CAST(day(datetime) AS INTEGER) AS day_of_month, isodow(datetime) >= 6 AS is_weekend FROM txn""")
 SQL["amount_range"] = on_txn_big(f"""SELECT account_id, line_no, CAST(abs(amount) AS DOUBLE) AS amount,
@@ -293,7 +344,9 @@ def small_levels(col: str) -> str:
   ON s.account_id = c.account_id AND s.{col} = c.{col}""")
 
 
-SQL["replace_small_levels"] = small_levels("category")
+SQL["replace_small_levels"] = on_clean("""SELECT account_id, line_no,
+  CASE WHEN category IN (SELECT category FROM clean GROUP BY 1 HAVING count(*) * 100.0 / (SELECT count(*) FROM clean) < 5)
+    THEN 'Others' ELSE category END AS category FROM clean""")
 SQL["group_small_categories"] = small_levels("merchant")
 
 # --- 2.6 aggregations ---------------------------------------------------------------------
@@ -322,7 +375,8 @@ UNION ALL SELECT account_id, 'type_count', transaction_type, CAST(count(*) AS DO
 
 CAT_SPEND = f"SELECT account_id, category, {SPENT} AS amount FROM clean GROUP BY account_id, category"
 SQL["category_spending"] = on_clean(f"SELECT account_id, category, CAST(amount AS DOUBLE) AS amount FROM ({CAT_SPEND})")
-SQL["sort_by_metric"] = SQL["category_spending"]
+SQL["sort_by_metric"] = on_clean(f"""SELECT account_id, category, CAST(amount AS DOUBLE) AS amount,
+  CAST(row_number() OVER (PARTITION BY account_id ORDER BY amount, category) AS INTEGER) AS place FROM ({CAT_SPEND})""")
 
 _SEL = f"{DEBIT} AND category IN ('Food & Dining', 'Groceries', 'Transfer')"
 SQL["category_stats"] = on_clean(f"""SELECT account_id, category,
@@ -400,7 +454,7 @@ UNION ALL SELECT account_id, 'top_merchant', merchant, CAST(n AS DOUBLE) FROM ({
 
 # --- 2.7 windows ------------------------------------------------------------------------------
 
-SQL["dedupe_near"] = on_txn_big(f"""SELECT account_id, line_no, date, CAST(amount AS DOUBLE) AS amount, description,
+SQL["dedupe_near"] = on_dirty(f"""SELECT account_id, line_no, date, CAST(amount AS DOUBLE) AS amount, description,
   transaction_type FROM (SELECT *, row_number() OVER (PARTITION BY account_id, date, amount, description
   ORDER BY {DEDUP_ORDER}) AS _rn FROM txn) WHERE _rn = 1""")
 SQL["recurring_merchants"] = on_clean(f"""SELECT account_id, merchant, count(*) AS n FROM clean WHERE {DEBIT}
@@ -422,7 +476,7 @@ SQL["top_category"] = on_clean(f"SELECT account_id, category, CAST(amount AS DOU
 
 # --- 2.9 set operations ------------------------------------------------------------------------------
 
-SQL["distinct_rows"] = on_txn("""SELECT account_id, date, datetime, description, CAST(amount AS DOUBLE) AS amount,
+SQL["distinct_rows"] = on_dirty("""SELECT account_id, date, datetime, description, CAST(amount AS DOUBLE) AS amount,
   transaction_type, app_source, month, year FROM (
   SELECT DISTINCT account_id, date, datetime, description, amount, transaction_type, app_source, month, year FROM txn)""")
 
@@ -463,13 +517,15 @@ SQL["cut_text"] = "SELECT doc_id, substr(text, 1, 100) AS head100, substr(text,
 REQ = ("date", "amount", "description", "transaction_type")
 _NULLS = ", ".join(f"count(*) FILTER (WHERE {c} IS NULL) AS null_{c}" for c in REQ)
 _HIGH = ", ".join(f"CASE WHEN null_{c} > n_rows * 0.1 THEN '{c}' END" for c in REQ)
-SQL["validate_transactions"] = on_txn(f"""SELECT *, n_rows > 0 AS is_valid, '' AS missing_columns,
+SQL["validate_transactions"] = on_dirty(f"""SELECT *, n_rows > 0 AS is_valid, '' AS missing_columns,
   concat_ws(',', {_HIGH}) AS high_null_columns FROM (
   SELECT account_id, count(*) AS n_rows, {_NULLS}, count(*) FILTER (WHERE amount < 0) AS n_negative,
     count(*) FILTER (WHERE amount = 0) AS n_zero, CAST(coalesce(sum(amount), 0) AS DOUBLE) AS total_amount,
     min(date) AS start_date, max(date) AS end_date FROM txn GROUP BY account_id)""")
-SQL["check_not_empty"] = on_txn("SELECT account_id, count(*) AS n_rows, count(*) > 0 AS not_empty FROM txn GROUP BY 1")
-SQL["check_null_share"] = on_txn(" UNION ALL ".join(
+SQL["check_not_empty"] = on_dirty("""SELECT account_id, coalesce(n, 0) AS n_rows, coalesce(n, 0) > 0 AS not_empty
+  FROM (SELECT DISTINCT c_custkey AS account_id FROM customer)
+  LEFT JOIN (SELECT account_id, count(*) AS n FROM txn GROUP BY 1) USING (account_id)""")
+SQL["check_null_share"] = on_dirty(" UNION ALL ".join(
     f"SELECT account_id, '{c}' AS column, count(*) FILTER (WHERE {c} IS NULL) AS n_null, "
     f"count(*) FILTER (WHERE {c} IS NULL) > count(*) * 0.1 AS warn FROM txn GROUP BY account_id" for c in REQ))
 SQL["check_amount_signs"] = """SELECT c_mktsegment, count(*) FILTER (WHERE c_acctbal < 0) AS n_negative,
@@ -550,10 +606,11 @@ INSIGHTS = {
             f"'Monthly spending average: ₹' || {money_txt('spent / greatest(n_months, 1)')}")
         + " UNION ALL " + ins("budget_recommendations", 2, "save_share", "NULL", q("Try to save 20% of income"))),
 }
+ON_DIRTY = f"WITH src AS ({TXN_DIRTY}),\n{clean_ctes(INVESTING)},\nbase AS ({BASE})"
 for _k, _v in INSIGHTS.items():
-    SQL[_k] = f"WITH src AS ({TXN}),\n{CLEAN_CTES},\nbase AS ({BASE})\n{_v}"
+    SQL[_k] = f"{ON_DIRTY}\n{_v}"
 ALL_INSIGHTS = "\nUNION ALL ".join(INSIGHTS.values())
-SQL["rule_based_insights"] = f"WITH src AS ({TXN}),\n{CLEAN_CTES},\nbase AS ({BASE})\n{ALL_INSIGHTS}"
+SQL["rule_based_insights"] = f"{ON_DIRTY}\n{ALL_INSIGHTS}"
 
 TIPS = (
     "💡 Track your daily expenses to identify spending patterns",
@@ -563,15 +620,46 @@ TIPS = (
     "📊 Review your spending weekly to stay on track",
 )
 TIP_VALUES = ", ".join(f"({i}, {q(t)})" for i, t in enumerate(TIPS))
-SQL["format_advice"] = f"""WITH src AS ({TXN}),
-{CLEAN_CTES},
-base AS ({BASE}),
+SQL["format_advice"] = f"""{ON_DIRTY},
 ins AS ({ALL_INSIGHTS})
 SELECT a.account_id, CAST(t.seq AS INTEGER) AS seq, t.line FROM (SELECT DISTINCT account_id FROM ins) a
   CROSS JOIN (VALUES {TIP_VALUES}) t(seq, line)
 UNION ALL
 SELECT account_id, CAST(seq + 4 AS INTEGER) AS seq, text AS line FROM ins WHERE section = 'improvement_areas'"""
 
+PROMPT_HEAD = "You review the payments of one account. The figures below cover the whole period."
+PROMPT_TAIL = ("Answer with one JSON object and nothing else. Its fields: key_insights, improvement_areas, positive_habits and "
+               "budget_recommendations are lists of short sentences; additional_notes is a single text. "
+               "Refer to amounts where they matter, and suggest only what the figures support.")
+SQL["build_insight_prompt"] = on_clean(f"""SELECT account_id, concat_ws({NL}, {q(PROMPT_HEAD)}, 'spent: ₹' || {money_txt('spent')},
+  'received: ₹' || {money_txt('received')}, 'mean payment: ₹' || {money_txt('avg')}, 'payments: ' || n,
+  'spent by category: ' || cats, 'payments at the busiest merchants: ' || tops, {q(PROMPT_TAIL)}) AS prompt FROM (
+  SELECT account_id, CAST({SPENT} AS DOUBLE) AS spent, CAST({RECEIVED} AS DOUBLE) AS received, {AVG} AS avg, count(*) AS n
+  FROM clean GROUP BY account_id)
+JOIN (SELECT account_id, string_agg(category || ' = ' || {money_txt('CAST(amount AS DOUBLE)')}, '; ' ORDER BY category) AS cats
+  FROM ({CAT_SPEND}) GROUP BY 1) USING (account_id)
+JOIN (SELECT account_id, string_agg(merchant || ' = ' || n, '; ' ORDER BY merchant) AS tops FROM ({TOP_MERCH}) GROUP BY 1)
+  USING (account_id)""")
+
+ANSWERS = """SELECT conv_id || '-' || turn AS answer_id, (conv_id + turn) % 5 AS kind, replace(replace(text, '{', ''), '}', '') AS prose,
+  coalesce(trim(regexp_replace(text, '[^A-Za-z0-9 ]', '', 'g')), '') AS said FROM conversations"""
+RAW = """CASE kind WHEN 2 THEN '{"key_insights": ["' || said || '"' WHEN 3 THEN said WHEN 4 THEN prose END"""
+SQL["parse_insight_response"] = f"""SELECT answer_id, CASE kind WHEN 0 THEN said || '|b' ELSE '' END AS key_insights,
+  '' AS improvement_areas, CASE kind WHEN 0 THEN said ELSE '' END AS positive_habits,
+  CASE kind WHEN 1 THEN '{{"n":1}}|' || said ELSE '' END AS budget_recommendations,
+  CASE kind WHEN 0 THEN said ELSE '' END AS additional_notes, {RAW} AS llm_analysis,
+  CASE WHEN kind < 2 THEN 'model_generated' ELSE 'fallback' END AS insights_type FROM ({ANSWERS})"""
+ADVICE_ROWS = {
+    0: [(0, q("🔍 Key Insights:")), (1, "'- ' || said"), (2, "'- b'"), (2000, f"{NL} || '👍 Positive Habits:'"), (2001, "'- ' || said")],
+    1: [(3000, f"{NL} || '💰 Budget Recommendations:'"), (3001, """'- {"n":1}'"""), (3002, "'- ' || said")],
+}
+SQL["format_model_advice"] = " UNION ALL ".join(
+    [f"SELECT answer_id, CAST({seq} AS INTEGER) AS seq, {line} AS line FROM ({ANSWERS}) WHERE kind = {kind}"
+     for kind, rows in ADVICE_ROWS.items() for seq, line in rows]
+    + [f"SELECT answer_id, 9000, {NL} || '📝 Additional Notes: ' || said FROM ({ANSWERS}) WHERE kind = 0 AND length(said) > 0",
+       f"SELECT answer_id, 0, 'Based on AI analysis of your spending patterns:' FROM ({ANSWERS}) WHERE kind >= 2",
+       f"SELECT answer_id, 1, substr({RAW}, 1, 500) || '...' FROM ({ANSWERS}) WHERE kind >= 2"])
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)

@@ -74,19 +74,42 @@ def test_generic_lines(spark):
 
 
 def test_detect_app(spark):
-    st = spark.createDataFrame([(1, "x" * 995 + "paytm"), (2, "x" * 996 + "paytm"), (3, "Phone Pe"), (4, "GPAY")],
+    st = spark.createDataFrame([(1, "x" * 5000 + "paytm"), (2, "x"), (3, "Phone Pe"), (4, "GPAY"), (5, None),
+                                (6, "Google Pay statement\nPaid to Paytm"), (7, "PhonePe and gpay and paytm")],
                                "statement_id long, text string")
     got = dict(ps.detect_app_source(st).collect())
-    assert got == {1: "paytm", 2: "generic", 3: "phonepe", 4: "gpay"}
+    assert got == {1: "paytm", 2: "generic", 3: "phonepe", 4: "gpay", 5: "generic", 6: "gpay", 7: "phonepe"}
 
 
-def test_chunk_cap_drops_like_reference(spark):
-    lines = ["Paytm statement"] + [f"05/01/2024 10:{i % 60:02d}:00 item ₹{i + 1}" for i in range(120)]
-    st = spark.createDataFrame([(1, "\n".join(lines))], "statement_id long, text string")
-    full = ps.parse_statements(st)
-    capped = ps.parse_statements(st, chunk_lines=100, max_per_chunk={})
-    assert full.count() == 120
-    assert capped.count() == 50 + 21
+def test_late_marker_and_long_descriptions(spark):
+    late = "terms and conditions " * 80 + "\nPaytm\n05/01/2024 10:15:00 Received from Ravi ₹10"
+    assert [(x["app_source"], x["transaction_type"]) for x in _parse(spark, late)] == [("paytm", "credit")]
+    same = "Paid to " + "a" * 120
+    rows = _parse(spark, f"Paytm\n05/01/2024 10:15:00 {same}b ₹10\n05/01/2024 10:15:00 {same}c ₹10")
+    assert [x["description"] for x in rows] == [same + "b", same + "c"]
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Kolkata"])
+def test_hours_do_not_depend_on_the_session_zone(spark, zone):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        paytm = _parse(spark, "Paytm\n10/03/2024 02:30:00 Paid to X ₹1\n03/11/2024 01:30:00 Paid to X ₹1")
+        gpay = _parse(spark, "Google Pay\nPaid to X\n10 Mar 2024, 2:30 AM\n₹1.00")
+        phonepe = _parse(spark, "PhonePe\n10-03-2024 02:30 Paid to X ₹1")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert [x["datetime"] for x in paytm] == [dt.datetime(2024, 3, 10, 2, 30), dt.datetime(2024, 11, 3, 1, 30)]
+    assert [x["datetime"] for x in gpay + phonepe] == [dt.datetime(2024, 3, 10, 2, 30)] * 2
+
+
+def test_rejected_matches_are_counted(spark):
+    rows = [(1, "Paytm\n05/01/2024 10:15:00 Paid to X ₹1\n31/02/2024 10:15:00 Paid to X ₹2\n05/01/2024 10:15:00 Paid to X ₹,"),
+            (2, None), (3, " "), (4, "Paytm nothing")]
+    st = spark.createDataFrame(rows, "statement_id long, text string")
+    got = {x["statement_id"]: (x["status"], x["n_transactions"], x["n_rejected"])
+           for x in ps.parse_status(st, ps.match_statements(st)).collect()}
+    assert got == {1: ("ok", 1, 2), 2: ("failed: no text", 0, 0), 3: ("failed: no text", 0, 0), 4: ("failed: no transactions", 0, 0)}
 
 
 @pytest.mark.parametrize("desc,merchant", [
@@ -227,7 +250,7 @@ def test_model_failure_falls_back(spark):
     c = _clean_rows(spark)
 
     def flaky(prompt):
-        if "Transaction Count: 20" in prompt:
+        if "payments: 20" in prompt:
             raise RuntimeError("down")
         return '{"key_insights": ["ok"]}'
 
@@ -237,6 +260,33 @@ def test_model_failure_falls_back(spark):
     assert any(x["line"] == "- ok" for x in advice)
 
 
+def test_unsteady_model_is_called_once_a_key(spark):
+    import random
+    import tempfile
+
+    calls = tempfile.mkdtemp(prefix="txnlens-calls-")
+
+    def unsteady(prompt):
+        tempfile.mkstemp(dir=calls)
+        if random.random() < 0.5:
+            raise RuntimeError("down")
+        return "{}"
+
+    import os
+    parsed, rule = r.model_insights(_clean_rows(spark), unsteady, ("account_id",))
+    a = {x["account_id"] for x in parsed.collect()}
+    b = {x["account_id"] for x in rule.collect()}
+    assert a | b == {0, 1, 2} and not a & b
+    assert len(os.listdir(calls)) == 3
+
+
+def test_raw_answer_length_is_a_parameter(spark):
+    df = spark.createDataFrame([(1, "x" * 900)], "account_id long, response string")
+    parsed = r.parse_insight_response(df, ("account_id",))
+    lengths = [max(len(x["line"]) for x in r.format_model_advice(parsed, ("account_id",), n).collect()) for n in (500, 700, None)]
+    assert lengths == [503, 703, 900]
+
+
 def test_title_case_runs_of_uncased_letters(spark):
     """Every letter after an uncased character starts a word, also inside a
     run of uncased letters (Python ``str.title``)."""

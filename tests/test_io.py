@@ -18,6 +18,11 @@ def test_scan_and_read_pages(spark):
         f.write(b"x")
     st = {os.path.basename(x["path"]): x["status"] for x in fl.scan_statement_files(spark, d).collect()}
     assert st == {"a.pdf": "valid", "b.pdf": "valid", "c.txt": "File is not a PDF"}
+    limited = {os.path.basename(x["path"]): x["status"] for x in fl.scan_statement_files(spark, d, max_mb=1e-5).collect()}
+    assert limited == {"a.pdf": "too big", "b.pdf": "valid", "c.txt": "File is not a PDF"}
+    expected = spark.createDataFrame([(f"file:{d}/a.pdf",), (f"file:{d}/gone.pdf",)], "path string")
+    absent = {os.path.basename(x["path"]): x["status"] for x in fl.scan_statement_files(spark, d, expected=expected).collect()}
+    assert absent["gone.pdf"] == "missing" and absent["a.pdf"] == "valid" and len(absent) == 4
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(d)
     pages = fl.read_statement_pages(files).orderBy("path", "page_no").collect()
     assert [(os.path.basename(p["path"]), p["page_no"], p["status"]) for p in pages] == [
@@ -35,7 +40,7 @@ def test_save_load_roundtrip(spark):
     arr = os.path.join(d, "arr.json")
     with open(arr, "w") as f:
         f.write('[{"k": 1}, {"k": 2}]')
-    assert fl.load_table(spark, arr).count() == 2
+    assert fl.load_table(spark, arr, json_array=True).count() == 2
     try:
         fl.load_table(spark, os.path.join(d, "x.xlsx"))
         raise AssertionError("expected ValueError")

@@ -30,23 +30,39 @@ def _inputs():
     _write(d, "acct2/jan.pdf", GPAY)
     _write(d, "acct2/empty.pdf", "nothing to see")
     _write(d, "acct2/notes.txt", "ignored")
+    _write(d, "b1/acct/s.pdf", "Paytm\n05/01/2024 10:15:00 Paid to Zomato ₹75\n31/02/2024 10:15:00 Paid to X ₹1")
+    _write(d, "b2/acct/s.pdf", "Paytm\n05/01/2024 10:15:00 Paid to Zomato ₹75")     # another person's account
+    _write(d, "acct3/big.pdf", "Paytm\n" + "05/01/2024 10:15:00 Paid to Zomato ₹80\n" + " " * (6 << 20))
+    p = os.path.join(d, "acct3/bad.pdf")
+    with open(p, "wb") as f:
+        f.write(b"\xff\xfe\xfa")
     return d
 
 
 def test_statement_job(spark):
     d = _inputs()
-    out = run_statement_job(spark, d, tempfile.mkdtemp(prefix="txnlens-out-"))
-    status = {"/".join(r["path"].split("/")[-2:]): (r["status"], r["n_transactions"])
+    calls = tempfile.mkdtemp(prefix="txnlens-calls-")
+
+    def counted(content):
+        tempfile.mkstemp(dir=calls)
+        return content.decode("utf-8").split("\f")
+
+    out = run_statement_job(spark, d, tempfile.mkdtemp(prefix="txnlens-out-"), decode_fn=counted)
+    status = {r["path"].split(os.path.basename(d) + "/")[1]: (r["status"], r["n_transactions"], r["n_rejected"])
               for r in spark.read.parquet(out["statement_status"]).collect()}
-    assert status == {"acct1/jan.pdf": ("ok", 4), "acct2/jan.pdf": ("ok", 2),
-                      "acct2/empty.pdf": ("failed: no transactions", 0)}
+    assert status == {"acct1/jan.pdf": ("ok", 4, 0), "acct2/jan.pdf": ("ok", 2, 0),
+                      "acct2/empty.pdf": ("failed: no transactions", 0, 0), "acct2/notes.txt": ("File is not a PDF", 0, 0),
+                      "b1/acct/s.pdf": ("ok", 1, 1), "b2/acct/s.pdf": ("ok", 1, 0), "acct3/big.pdf": ("ok", 1, 0),
+                      "acct3/bad.pdf": ("failed: UnicodeDecodeError", 0, 0)}
+    assert len(os.listdir(calls)) == 7                  # one call a PDF
     clean = spark.read.parquet(out["transactions_clean"])
-    assert clean.count() == 3 + 2
+    assert clean.count() == 3 + 2 + 1 + 1 + 1
+    assert clean.filter("amount = 75").select("account_id").distinct().count() == 2
     assert {r["merchant"] for r in clean.collect()} >= {"Zomato", "Netflix", "Ola Cabs", "Asha"}
     feb = read_clean(spark, os.path.dirname(out["transactions_clean"]), "2024-02-01", "2024-02-29")
     assert [r["merchant"] for r in feb.collect()] == ["Netflix"]
     advice = spark.read.parquet(out["advice"])
-    assert advice.select("account_id").distinct().count() == 2
+    assert advice.select("account_id").distinct().count() == 5
     # results derived from the written level table equal the direct operators on the clean table
     from txnlens.operators import metrics as m
     from txnlens.operators import rules as r
@@ -54,6 +70,13 @@ def test_statement_job(spark):
     for name, direct in (("category_spending", m.category_spending(clean, keys)),
                          ("overview", m.overview_metrics(clean, keys)),
                          ("recommendations", r.recommendations(clean, keys)),
+                         ("daily_spending", m.daily_spending(clean, keys)),
+                         ("monthly_spending", m.monthly_spending(clean, keys)),
+                         ("day_of_week_spending", m.day_of_week_spending(clean, keys)),
+                         ("hourly_pattern", m.hourly_pattern(clean, keys)),
+                         ("amount_histogram", m.amount_histogram(clean, keys)),
+                         ("merchant_stats", m.merchant_stats(clean, keys)),
+                         ("merchant_spending_trends", m.merchant_spending_trends(clean, keys)),
                          ("insights", r.rule_based_insights(clean, keys))):
         got = spark.read.parquet(out[name])
         cols = sorted(direct.columns)
@@ -67,6 +90,7 @@ def test_statement_stream(spark):
     ck = tempfile.mkdtemp(prefix="txnlens-ckpt-")
     q = start_statement_stream(spark, d + "/*", out, ck)
     q.awaitTermination(120)
-    rows = spark.read.parquet(out)
-    assert rows.count() == 4 + 2
+    rows = spark.read.parquet(out + "/transactions")
+    assert rows.count() == 4 + 2 + 1
+    assert spark.read.parquet(out + "/files").count() == 6
     assert rows.filter(F.col("app_source") == "gpay").count() == 2

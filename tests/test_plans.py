@@ -118,36 +118,43 @@ def test_summary_maps_equal_long_form(spark):
             {lv: v for (mt, lv), v in lf.items() if mt == "type_count"}
 
 
-def test_spread_only_small_inputs(spark):
-    """A small one-row-group table is dealt over the cores; once the input is
-    larger than one split per core, nothing is added; filters still reach the scan."""
-    from txnlens.session import spread
-
-    path = f"{SF_CHECK}/lineitem.parquet"
-    small = spread(spark.read.parquet(path)).filter(F.col("l_quantity") > 10).select("l_orderkey")
-    plan = small._jdf.queryExecution().executedPlan().toString()
-    assert "RoundRobinPartitioning" in plan
-    # the filter still reaches the parquet scan below the exchange
-    assert "GreaterThan(l_quantity,10.0)" in plan
-    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+def test_text_rules_run_once_below_the_dedupe(spark):
+    c = cl.clean_transactions(fx.txn_big(spark, SF_CHECK), K)
+    df = cl.typed_projection(c)
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
-        big = spread(spark.read.parquet(path))
-        assert "RoundRobinPartitioning" not in big._jdf.queryExecution().executedPlan().toString()
+        plan = _plan(cl.typed_projection(cl.clean_transactions(fx.txn_big(spark, SF_CHECK), K)))
     finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.set("spark.sql.adaptive.enabled", old)
+    assert "ReusedExchange" in plan
+    assert plan.count("paid to|sent to") <= 2          # one projection: the test and the extraction of one rule
+    assert df.columns == c.columns
 
 
-def test_jit_sized_codegen_respects_cluster_setting(spark):
-    from txnlens.session import JIT_METHOD_LIMIT, use_jit_sized_codegen
+def test_insights_and_rules_build_only_the_levels_they_read(spark):
+    c = cl.clean_transactions(fx.txn(spark, SF_CHECK), K)
+    insights = r.rule_based_insights(c, K)._jdf.queryExecution().optimizedPlan().toString()
+    assert "merchant" not in insights.split("Expand")[0]
+    rules = r.recommendations(c, K)._jdf.queryExecution().optimizedPlan().toString()
+    assert "month" not in rules.split("Expand")[0]
 
-    old = spark.conf.get("spark.sql.codegen.hugeMethodLimit")
-    try:
-        spark.conf.set("spark.sql.codegen.hugeMethodLimit", "65535")
-        use_jit_sized_codegen(spark)
-        assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == str(JIT_METHOD_LIMIT)
-        spark.conf.set("spark.sql.codegen.hugeMethodLimit", "20000")
-        use_jit_sized_codegen(spark)          # a limit the cluster chose is kept
-        assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "20000"
-    finally:
-        spark.conf.set("spark.sql.codegen.hugeMethodLimit", old)
+
+def test_histogram_joins_counts_not_rows(spark):
+    c = cl.clean_transactions(fx.txn(spark, SF_CHECK), K)
+    for keys in (K, ()):
+        df = m.amount_histogram(c, keys)
+        assert df.agg(F.sum("n")).first()[0] == c.count()
+        plan = _plan(df)
+        assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
+def test_dirty_rows_exercise_the_cleaning_rules(spark):
+    t = fx.txn_dirty(spark, SF_CHECK)
+    n = t.count()
+    assert cl.dedupe_near(t, K).count() < n
+    assert cl.distinct_rows(t.drop("line_no", "statement_id")).count() < n
+    s = t.agg(*[F.count_if(F.expr(x)) for x in ("amount < 0", "amount = 0", "amount is null", "description is null")]).first()
+    assert min(s) > 0
+    rejected = cl.rejected_amounts(t, K).agg(F.sum("n_null"), F.sum("n_zero")).first()
+    assert rejected[0] == s[2] and rejected[1] == s[1]

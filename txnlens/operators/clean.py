@@ -49,6 +49,13 @@ def filter_valid_amounts(df: DataFrame, cap: float = schema.AMOUNT_CAP, col: str
     return df.filter((a > 0) & (a <= F.lit(cap)))
 
 
+def rejected_amounts(df: DataFrame, keys: Sequence[str] = (), cap: float = schema.AMOUNT_CAP, col: str = "amount") -> DataFrame:
+    """Per key, the rows that ``filter_valid_amounts`` drops after ``abs``: null, zero and above the cap."""
+    a = F.abs(F.col(col))
+    return df.groupBy(*keys).agg(F.count_if(a.isNull()).alias("n_null"), F.count_if(a == 0).alias("n_zero"),
+                                 F.count_if(a > F.lit(cap)).alias("n_above_cap"))
+
+
 def with_description_clean(df: DataFrame, src: str = "description", out: str = "description_clean") -> DataFrame:
     return df.withColumn(out, tx.clean_description(src))
 
@@ -88,10 +95,6 @@ def derive_time_features(df: DataFrame, ts: str = "datetime") -> DataFrame:
     return df.withColumns({"hour": F.hour(ts), "day_of_month": F.dayofmonth(ts), "is_weekend": F.weekday(ts) >= 5})
 
 
-def with_amount_range(df: DataFrame, col: str = "amount", out: str = "amount_range", **kw) -> DataFrame:
-    return df.withColumn(out, amount_range(col, **kw))
-
-
 def merchant_frequency(df: DataFrame, keys: Sequence[str] = (), merchant: str = "merchant",
                        out: str = "merchant_frequency") -> DataFrame:
     """Row count of each row's merchant, mapped back onto every row.
@@ -136,14 +139,17 @@ def typed_projection(df: DataFrame, types: dict | None = None) -> DataFrame:
 
 def clean_transactions(df: DataFrame, keys: Sequence[str] = (), order_by: Sequence[str] = ("line_no",),
                        cap: float = schema.AMOUNT_CAP, vocabulary=schema.CATEGORY_KEYWORDS) -> DataFrame:
-    """dedupe -> amounts -> description/merchant -> category -> features -> types.
+    """description/merchant/category -> dedupe -> amounts -> features -> types.
 
-    The dedupe runs before ``abs`` so -50 and 50 stay different rows.
+    What depends on the description alone is computed below the dedupe shuffle:
+    the description is one of its keys, and both sides of the frequency join
+    read that shuffle, so the text rules run once per row.  The dedupe runs
+    before ``abs`` so -50 and 50 stay different rows.  ``rejected_amounts``
+    counts what the amount window drops.
     """
-    out = dedupe_near(df, keys, order_by=order_by)
+    out = with_category(with_merchant(with_description_clean(df)), vocabulary=vocabulary)
+    out = dedupe_near(out, keys, order_by=order_by)
     out = filter_valid_amounts(abs_amount(out), cap)
-    out = with_merchant(with_description_clean(out))
-    out = with_category(out, vocabulary=vocabulary)
     out = derive_time_features(out).withColumn("amount_range", amount_range("amount"))
     out = merchant_frequency(out, keys)
     return typed_projection(out)

@@ -36,11 +36,16 @@ def _mean(s: Column, n: Column) -> Column:
 
 
 def _join_on_keys(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
-    """Equi-join on the tenant keys; with no keys both sides are one group
-    (``b`` is a global aggregate of exactly one row), joined on a constant."""
+    """Equi-join of a small aggregate with its per-key aggregate; with no keys
+    ``b`` has exactly one row, met on a key that is 0 in every row (computed
+    from the row, so that the plan stays an equi-join)."""
     if keys:
         return a.join(b, list(keys), how)
-    return a.withColumn("_g", F.lit(0)).join(b.withColumn("_g", F.lit(0)), "_g", how).drop("_g")
+
+    def zero(df: DataFrame) -> Column:
+        return F.pmod(F.xxhash64(*df.columns), F.lit(1))
+
+    return a.withColumn("_g", zero(a)).join(b.withColumn("_g", zero(b)), "_g", how).drop("_g")
 
 
 def _pb(keys: Sequence[str]):
@@ -201,16 +206,17 @@ def hourly_pattern(df: DataFrame, keys: Sequence[str] = (), lo=None, hi=None) ->
 def amount_histogram(df: DataFrame, keys: Sequence[str] = (), bins: int = 30, lo=None, hi=None) -> DataFrame:
     """Equal-width bins between the key's min and max, last bin closed.
 
-    The per-key bounds are a one-row-per-key aggregate joined back on the keys
-    (AQE broadcasts it when small), not a window over the key.
+    Rows are first counted per (key, amount), with map-side combine; bounds
+    and bins come from those counts, never from a join of the rows.
     """
     d = filter_by_amount_range(df, lo, hi).select(*keys, F.col("amount").cast("double").alias("a"))
-    bounds = d.groupBy(*keys).agg(F.min("a").alias("mn"), F.max("a").alias("mx"))
-    j = _join_on_keys(d, bounds, keys, "inner")
+    counts = d.groupBy(*keys, "a").agg(F.count(F.lit(1)).alias("_n"))
+    bounds = counts.groupBy(*keys).agg(F.min("a").alias("mn"), F.max("a").alias("mx"))
+    j = _join_on_keys(counts, bounds, keys, "inner")
     width = (F.col("mx") - F.col("mn")) / F.lit(bins)
     b = F.when(width == 0, F.lit(0)).otherwise(
         F.least(F.floor((F.col("a") - F.col("mn")) / width), F.lit(bins - 1))).cast("int")
-    out = j.groupBy(*keys, b.alias("bin"), "mn", "mx").agg(F.count(F.lit(1)).alias("n"))
+    out = j.groupBy(*keys, b.alias("bin"), "mn", "mx").agg(F.sum("_n").alias("n"))
     w = (F.col("mx") - F.col("mn")) / F.lit(bins)
     return out.select(*keys, "bin", (F.col("mn") + F.col("bin") * w).alias("lo"),
                       (F.col("mn") + (F.col("bin") + 1) * w).alias("hi"), "n")
@@ -259,8 +265,12 @@ def semi_join_top_merchants(df: DataFrame, keys: Sequence[str] = (), k: int = 5)
 
 
 def merchant_spending_trends(df: DataFrame, keys: Sequence[str] = (), k: int = 5) -> DataFrame:
-    top_rows = semi_join_top_merchants(df, keys, k)
-    return top_rows.groupBy(*keys, "merchant", "date").agg(F.sum("amount").alias("amount"))
+    """Daily totals of the key's top k merchants: rows are aggregated once, to
+    (key, merchant, date); the totals and the top k come from those sums."""
+    daily = df.groupBy(*keys, "merchant", "date").agg(F.sum("amount").alias("amount"))
+    totals = daily.groupBy(*keys, "merchant").agg(F.sum("amount").alias("total_amount"))
+    top = top_k(totals, k, [F.col("total_amount").desc(), F.col("merchant").asc()], keys)
+    return daily.join(top.select(*keys, "merchant"), [*keys, "merchant"], "left_semi")
 
 
 def weekend_vs_weekday(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -286,24 +296,32 @@ def top_category(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return top_k(category_spending(df, keys), 1, [F.col("amount").desc(), F.col("category").asc()], keys)
 
 
-def group_small_categories(df: DataFrame, col: str, keys: Sequence[str] = (),
-                           min_percentage: float = schema.SMALL_LEVEL_PCT, other: str = "Others") -> DataFrame:
-    """Levels holding less than ``min_percentage`` % of the key's rows become
-    ``other``.  Null rows count in the denominator and stay null."""
+def small_levels(df: DataFrame, col: str, keys: Sequence[str] = (),
+                 min_percentage: float = schema.SMALL_LEVEL_PCT) -> DataFrame:
+    """Levels (keys, ``col``) that hold less than ``min_percentage`` % of the
+    key's rows.  Null rows count in the denominator and are no level."""
     levels = df.groupBy(*keys, col).agg(F.count(F.lit(1)).alias("_n"))
     # per-key totals joined back on the keys (one row per key, broadcast by AQE
     # when small): a window over the key would hold all of a key's levels in one task
     totals = levels.groupBy(*keys).agg(F.sum("_n").alias("_total"))
-    small = (_join_on_keys(levels, totals, keys, "inner")
-             .withColumn("_share", F.col("_n") / F.col("_total") * 100)
-             .filter(F.col(col).isNotNull() & (F.col("_share") < F.lit(min_percentage)))
-             .select(*keys, col, F.lit(True).alias("_small")))
-    j = df.join(small, [*keys, col], "left")
+    return (_join_on_keys(levels, totals, keys, "inner")
+            .filter(F.col(col).isNotNull() & (F.col("_n") / F.col("_total") * 100 < F.lit(min_percentage)))
+            .select(*keys, col))
+
+
+def replace_small_levels(df: DataFrame, col: str, small: DataFrame, keys: Sequence[str] = (),
+                         other: str = "Others") -> DataFrame:
+    """``df`` with the levels of the lookup table ``small`` (keys, ``col``) replaced by ``other``; nulls stay."""
+    marked = small.select(*keys, col).distinct().withColumn("_small", F.lit(True))
+    j = df.join(marked, [*keys, col], "left")
     return j.select(*[F.when(F.col("_small"), F.lit(other)).otherwise(F.col(c)).alias(c) if c == col else F.col(c)
                       for c in df.columns])
 
 
-replace_small_levels = group_small_categories
+def group_small_categories(df: DataFrame, col: str, keys: Sequence[str] = (),
+                           min_percentage: float = schema.SMALL_LEVEL_PCT, other: str = "Others") -> DataFrame:
+    """Levels holding less than ``min_percentage`` % of the key's rows become ``other``."""
+    return replace_small_levels(df, col, small_levels(df, col, keys, min_percentage), keys, other)
 
 
 def recurring_merchants(df: DataFrame, keys: Sequence[str] = (), min_count: int = schema.SUBSCRIPTION_MIN_COUNT,

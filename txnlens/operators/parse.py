@@ -24,7 +24,7 @@ from ..functions.text import S, S_CHARS, W, collapse_blanks
 D2 = "[0-9]{2}"
 AMOUNT_RUN = "[0-9,]+\\.?[0-9]*"
 
-# Layout patterns (Java syntax).  (?d): '.' stops at '\n' only.
+# The layouts of the statements (Java syntax).  (?d): '.' stops at '\n' only.
 PAYTM = f"(?d)({D2}/{D2}/[0-9]{{4}}){S}+({D2}:{D2}:{D2}){S}+(.*?){S}+(₹{S}*{AMOUNT_RUN})"
 GPAY = (f"(?id)(Paid to|Received from){S}*(.*?){S}*"
         f"([0-9]{{1,2}}{S}{W}{{3}}{S}[0-9]{{4}},{S}[0-9]{{1,2}}:{D2}{S}[AP]M){S}*"
@@ -32,9 +32,6 @@ GPAY = (f"(?id)(Paid to|Received from){S}*(.*?){S}*"
 PHONEPE = f"(?d)({D2}-{D2}-[0-9]{{4}}){S}+({D2}:{D2}){S}+(.*?){S}+(₹{S}*{AMOUNT_RUN})"
 GENERIC_AMOUNT = f"₹{S}*({AMOUNT_RUN})"
 
-# Per-chunk match caps of the chunked mode (None = no cap).
-CHUNK_CAPS = {"paytm": 50, "phonepe": 50, "generic": 30, "gpay": None}
-
 
 def _strip(c: Column) -> Column:
     """Python ``str.strip()``: remove Unicode blanks at both ends."""
@@ -46,15 +43,22 @@ def _money(c: Column) -> Column:
 
 
 def _ts(s: Column, fmt: str) -> Column:
-    return F.try_to_timestamp(collapse_blanks(s), F.lit(fmt)).cast(T.TimestampNTZType())
+    """Wall-clock time: read as UTC and taken apart in UTC, whatever the session's time zone
+    (a zoned parse would shift hours that a clock change skips)."""
+    instant = F.try_to_timestamp(F.concat(collapse_blanks(s), F.lit(" Z")), F.lit(f"{fmt} X"))
+    seconds = F.unix_seconds(instant).cast(T.DecimalType(18, 6))
+    zero = F.lit(0)
+    return F.lit("1970-01-01").cast(T.TimestampNTZType()) + F.make_dt_interval(zero, zero, zero, seconds)
 
 
 # ---------------------------------------------------------------------------
 # Statement assembly and app detection
 # ---------------------------------------------------------------------------
 
-def assemble_statement_text(pages: DataFrame, id_col: str = "statement_id", carry: Sequence[str] = ()) -> DataFrame:
-    """Page texts joined with a newline in page order, one row per statement.
+def assemble_statement_text(pages: DataFrame, id_col: str = "statement_id", carry: Sequence[str] = (),
+                            separator: str = "\n") -> DataFrame:
+    """Page texts joined in page order, one row per statement, for pages that
+    come as rows.  Files are joined without a shuffle (``files.decode_files``).
 
     A statement is one document (one source file), so its pages are gathered
     into one row; ``carry`` columns are constant per statement (e.g. ``path``).
@@ -62,22 +66,16 @@ def assemble_statement_text(pages: DataFrame, id_col: str = "statement_id", carr
     return (
         pages.groupBy(id_col, *carry)
         .agg(F.array_sort(F.collect_list(F.struct("page_no", "text"))).alias("_p"))
-        .select(id_col, *carry, F.array_join(F.transform("_p", lambda p: p["text"]), "\n").alias("text"))
+        .select(id_col, *carry, F.array_join(F.transform("_p", lambda p: p["text"]), separator).alias("text"))
     )
 
 
-def detect_app(text: Column | str = "text", chars: int = schema.APP_DETECT_CHARS,
-               markers=schema.APP_MARKERS, generic: str = schema.GENERIC_APP) -> Column:
-    """First marker found in the lower-cased first ``chars`` characters."""
-    head = F.lower(F.substring(F.col(text) if isinstance(text, str) else text, 1, chars))
-    expr = None
-    for app, words in markers:
-        cond = None
-        for w in words:
-            c = head.contains(w)
-            cond = c if cond is None else (cond | c)
-        expr = F.when(cond, F.lit(app)) if expr is None else expr.when(cond, F.lit(app))
-    return expr.otherwise(F.lit(generic))
+def detect_app(text: Column | str = "text", markers=schema.APP_MARKERS, generic: str = schema.GENERIC_APP) -> Column:
+    """The app whose marker stands first in the whole lower-cased text."""
+    low = F.lower(F.col(text) if isinstance(text, str) else text)
+    found = [F.struct(F.instr(low, w).alias("at"), F.lit(app).alias("app")) for app, words in markers for w in words]
+    first = F.array_min(F.filter(F.array(*found), lambda x: x["at"] > 0))
+    return F.coalesce(first["app"], F.lit(generic))
 
 
 def detect_app_source(statements: DataFrame, id_col: str = "statement_id") -> DataFrame:
@@ -116,7 +114,7 @@ def _paytm_fields(p: Column) -> dict[str, Column]:
     dt = _ts(F.concat_ws(" ", date, time), "dd/MM/yyyy HH:mm:ss")
     return {
         "datetime": dt,
-        "description": F.substring(_strip(desc), 1, schema.DESCRIPTION_CHARS),
+        "description": _strip(desc),
         "amount": F.abs(_money(amount)),
         "transaction_type": F.when(F.lower(desc).contains("paid"), "debit").otherwise("credit"),
     }
@@ -138,7 +136,7 @@ def _phonepe_fields(p: Column) -> dict[str, Column]:
     dt = _ts(F.concat_ws(" ", date, time), "dd-MM-yyyy HH:mm")
     return {
         "datetime": dt,
-        "description": F.substring(_strip(desc), 1, schema.DESCRIPTION_CHARS),
+        "description": _strip(desc),
         "amount": _money(amount),
         "transaction_type": F.when(F.lower(desc).contains("sent"), "debit").otherwise("credit"),
     }
@@ -147,7 +145,7 @@ def _phonepe_fields(p: Column) -> dict[str, Column]:
 def _generic_fields(m: Column, as_of: Column) -> dict[str, Column]:
     return {
         "datetime": as_of.cast(T.TimestampNTZType()),
-        "description": F.substring(_strip(m), 1, schema.DESCRIPTION_CHARS),
+        "description": _strip(m),
         "amount": _money(F.regexp_extract(m, GENERIC_AMOUNT, 1)),
         "transaction_type": F.lit("debit"),
     }
@@ -189,51 +187,34 @@ def _fields(m: Column, app: Column, as_of: Column, parts: Column) -> dict[str, C
     return out
 
 
-def parse_statements(statements: DataFrame, id_col: str = "statement_id", app: str | None = None,
-                     as_of: Column | None = None, carry: Sequence[str] = (),
-                     chunk_lines: int | None = None, max_per_chunk: dict | None = None) -> DataFrame:
-    """Parse statement text into transaction rows in one pass.
+def match_statements(statements: DataFrame, id_col: str = "statement_id", app: str | None = None,
+                     as_of: Column | None = None, carry: Sequence[str] = ()) -> DataFrame:
+    """Every layout match of every statement, with ``accepted``: false where
+    its amount, date or time does not parse.  ``line_no`` is the match number.
 
     ``app`` forces one layout for all statements; by default it is detected.
-    Rows whose amount, date or time do not parse are skipped.  ``line_no`` is
-    the match number in the statement (or in the chunk, with ``chunk_no``).
-
-    ``chunk_lines``/``max_per_chunk`` reproduce the reference's memory
-    workaround (matches that cross a chunk edge are lost, at most N per chunk);
-    off by default, so whole statements are parsed with no cap.
+    ``as_of`` dates the rows of the generic layout (default: now).
     """
     as_of = F.current_timestamp() if as_of is None else as_of
     app_col = F.lit(app) if app else detect_app("text")
-    src = statements.select(id_col, *carry, "text", app_col.alias("app_source"))
-    if chunk_lines:
-        lines = src.select(id_col, *carry, "app_source",
-                           F.posexplode(F.split("text", "\n", -1)).alias("_ln", "_line"))
-        src = (
-            lines.groupBy(id_col, *carry, "app_source", (F.col("_ln") / chunk_lines).cast("int").alias("chunk_no"))
-            .agg(F.array_sort(F.collect_list(F.struct("_ln", "_line"))).alias("_l"))
-            .select(id_col, *carry, "app_source", "chunk_no",
-                    F.array_join(F.transform("_l", lambda x: x["_line"]), "\n").alias("text"))
-        )
-    else:
-        src = src.withColumn("chunk_no", F.lit(0))
-    exploded = src.select(id_col, *carry, "app_source", "chunk_no",
+    src = statements.select(id_col, *carry, "text", app_col.alias("app_source"), as_of.alias("_as_of"))
+    exploded = src.select(id_col, *carry, "app_source", "_as_of",
                           F.posexplode(_matches(F.col("text"), F.col("app_source"))).alias("line_no", "_m"))
-    if chunk_lines and max_per_chunk is not None:
-        caps = {**CHUNK_CAPS, **max_per_chunk}
-        cond = F.lit(True)
-        for name, cap in caps.items():
-            if cap is not None:
-                cond = F.when(F.col("app_source") == name, F.col("line_no") < cap).otherwise(cond)
-        exploded = exploded.filter(cond)
     # the groups are staged as a column: one regex pass per match, read by every field
     exploded = exploded.withColumn("_p", _parts(F.col("_m"), F.col("app_source")))
-    f = _fields(F.col("_m"), F.col("app_source"), as_of, F.col("_p"))
+    f = _fields(F.col("_m"), F.col("app_source"), F.col("_as_of"), F.col("_p"))
     rows = exploded.select(
-        id_col, *carry, "chunk_no", F.col("line_no").cast("long").alias("line_no"),
+        id_col, *carry, F.col("line_no").cast("long").alias("line_no"),
         f["datetime"].alias("datetime"), f["description"].alias("description"),
         f["amount"].alias("amount"), f["transaction_type"].alias("transaction_type"), "app_source",
     )
-    return rows.filter(F.col("datetime").isNotNull() & F.col("amount").isNotNull())
+    return rows.withColumn("accepted", F.col("datetime").isNotNull() & F.col("amount").isNotNull())
+
+
+def parse_statements(statements: DataFrame, id_col: str = "statement_id", app: str | None = None,
+                     as_of: Column | None = None, carry: Sequence[str] = ()) -> DataFrame:
+    """``match_statements`` without the rows that do not parse: whole statements, no cap."""
+    return match_statements(statements, id_col, app, as_of, carry).filter("accepted").drop("accepted")
 
 
 def assemble_transactions(parsed: DataFrame) -> DataFrame:
@@ -249,14 +230,15 @@ def assemble_transactions(parsed: DataFrame) -> DataFrame:
     )
 
 
-def parse_status(statements: DataFrame, parsed: DataFrame, id_col: str = "statement_id") -> DataFrame:
-    """Per statement: ``failed: no text``, ``failed: no transactions`` or ``ok`` plus the count."""
-    counts = parsed.groupBy(id_col).agg(F.count(F.lit(1)).alias("n_transactions"))
-    j = statements.select(id_col, "text").join(counts, id_col, "left")
+def parse_status(statements: DataFrame, matches: DataFrame, id_col: str = "statement_id") -> DataFrame:
+    """Per statement: ``failed: no text``, ``failed: no transactions`` or ``ok``,
+    the accepted rows and the rejected ones (matched, but not parsed)."""
+    counts = matches.groupBy(id_col).agg(F.count_if("accepted").alias("_ok"), F.count_if(~F.col("accepted")).alias("_no"))
     blank = F.col("text").isNull() | (F.length(_strip(F.col("text"))) == 0)
+    j = statements.select(id_col, blank.alias("_blank")).join(counts, id_col, "left")
+    n = F.coalesce(F.col("_ok"), F.lit(0)).cast("long")
     return j.select(
         id_col,
-        F.when(blank, "failed: no text").when(F.col("n_transactions").isNull(), "failed: no transactions")
-        .otherwise("ok").alias("status"),
-        F.coalesce(F.col("n_transactions"), F.lit(0)).cast("long").alias("n_transactions"),
+        F.when(F.col("_blank"), "failed: no text").when(n == 0, "failed: no transactions").otherwise("ok").alias("status"),
+        n.alias("n_transactions"), F.coalesce(F.col("_no"), F.lit(0)).cast("long").alias("n_rejected"),
     )

@@ -23,8 +23,13 @@ def check_required_columns(spark: SparkSession, df: DataFrame,
     return spark.createDataFrame([(c, c in cols) for c in required], "column string, present boolean")
 
 
-def check_not_empty(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows")).withColumn("not_empty", F.col("n_rows") > 0)
+def check_not_empty(df: DataFrame, keys: Sequence[str] = (), expected: DataFrame | None = None) -> DataFrame:
+    """Rows per key; with ``expected`` (the keys that should be there), keys without rows are reported too."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
+    if expected is not None:
+        counts = (expected.select(*keys).distinct().join(counts, list(keys), "left")
+                  .withColumn("n_rows", F.coalesce("n_rows", F.lit(0))))
+    return counts.withColumn("not_empty", F.col("n_rows") > 0)
 
 
 def check_null_share(df: DataFrame, keys: Sequence[str] = (), required: Sequence[str] = schema.REQUIRED_COLUMNS,

@@ -6,14 +6,14 @@ double (exact decimal sums cast once) so results compare across engines.
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import schema
 from ..functions import scalars as sc
 from ..functions import text as tx
 from ..operators import clean as cl
@@ -21,7 +21,7 @@ from ..operators import metrics as m
 from ..operators import parse as ps
 from ..operators import quality as q
 from ..operators import rules as r
-from ..session import scratch_path
+from ..session import remove_path, scratch_path
 from ..sources import files as fl
 from ..sources import fixtures as fx
 
@@ -66,11 +66,6 @@ def _as_of():
 
 # --- 2.1 sources and sinks ---------------------------------------------------
 
-@query
-def scan_statement_files(spark, d):
-    return fl.scan_statement_files(spark, d, glob="*.parquet")
-
-
 @query
 def read_statement_pages(spark, d):
     return fl.read_statement_pages(fx.statement_files(spark, d))
@@ -81,28 +76,41 @@ def assemble_statement_text(spark, d):
     return statements(spark, d)
 
 
-def _scratch(spark, name):
-    return scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+class _Stored:
+    """A table that a query writes and reads back; its folder goes with the session's scratch."""
+
+    made: list[str] = []
+
+    @classmethod
+    def path(cls, spark, name, ext):
+        path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}{ext}")
+        cls.made.append(path)
+        return path
+
+
+def clear_scratch(spark) -> None:
+    """Remove the tables that ``load_table``, ``save_table`` and ``export_clean_csv`` have written."""
+    while _Stored.made:
+        remove_path(spark, _Stored.made.pop())
 
 
 @query
 def load_table(spark, d):
-    path = _scratch(spark, "txn") + ".csv"
-    fl.save_table(out(fx.txn(spark, d)), path, "csv")
-    return fl.load_table(spark, path, out(fx.txn(spark, d)).schema)
+    path, t = _Stored.path(spark, "txn", ".csv"), out(fx.txn(spark, d))
+    fl.save_table(t, path, "csv")
+    return fl.load_table(spark, path, t.schema)
 
 
 @query
 def save_table(spark, d):
-    path = _scratch(spark, "clean") + ".json"
-    fl.save_table(out(clean(spark, d)), path, "json")
-    return spark.read.json(path)
+    path, c = _Stored.path(spark, "clean", ".json"), out(clean(spark, d))
+    fl.save_table(c, path, "json")
+    return fl.load_table(spark, path, c.schema)
 
 
 @query
 def export_clean_csv(spark, d):
-    path = _scratch(spark, "export") + ".csv"
-    c = out(clean(spark, d))
+    path, c = _Stored.path(spark, "export", ".csv"), out(clean(spark, d))
     fl.export_clean_csv(c, path)
     return fl.load_table(spark, path, c.schema)
 
@@ -152,50 +160,52 @@ def parse_statements(spark, d):
 @query
 def assemble_transactions(spark, d):
     st = statements(spark, d).withColumn("account_id", F.expr(f"statement_id div {fx.STATEMENTS_PER_ACCOUNT}"))
-    t = ps.assemble_transactions(ps.parse_statements(st, as_of=_as_of(), carry=("account_id",)))
-    return out(t.drop("chunk_no"))
+    return out(ps.assemble_transactions(ps.parse_statements(st, as_of=_as_of(), carry=("account_id",))))
 
 
 @query
 def parse_status(spark, d):
-    st = statements(spark, d)
-    return ps.parse_status(st, ps.parse_statements(st, as_of=_as_of()))
-
-
-@query
-def max_per_chunk(spark, d):
-    p = ps.parse_statements(statements(spark, d), as_of=_as_of(), chunk_lines=1000, max_per_chunk={})
-    return out(p.select("statement_id", "chunk_no", "line_no", "datetime", "description", "amount",
-                        "transaction_type", "app_source"))
+    """Status of the statement files, which hold undecodable, blank and empty ones; every ninth amount is unreadable."""
+    decoded = fl.statement_text(fl.decode_files(fx.statement_files(spark, d)))
+    st = decoded.withColumn("text", F.regexp_replace("text", "₹([0-9]*9[.][0-9]*)", "₹,"))
+    return ps.parse_status(st, ps.match_statements(st, "path", as_of=_as_of()), "path")
 
 
 @query
 def union_parsed(spark, d):
-    st = statements(spark, d)
-    parts = [ps.parse_statements(st.filter(ps.detect_app("text") == a), app=a) for a in ("paytm", "gpay", "phonepe")]
-    return _parsed_cols(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+    """Rows of all layouts as one table, from one pass over the statements."""
+    return _parsed_cols(ps.parse_statements(statements(spark, d), as_of=_as_of()))
 
 
 # --- 2.3 projections -------------------------------------------------------------
 
 @query
 def abs_amount(spark, d):
-    return out(cl.abs_amount(fx.txn(spark, d)).select("account_id", "line_no", "amount"))
+    return out(cl.abs_amount(fx.txn_dirty(spark, d)).select("account_id", "line_no", "amount"))
+
+
+def _texts(spark, d):
+    """Descriptions, whole documents and whole conversation turns as one column."""
+    docs, turns = fx.table(spark, d, "documents"), fx.table(spark, d, "conversations")
+    key = F.concat_ws("-", "conv_id", "turn")
+    return (fx.txn_dirty(spark, d).select(F.lit("txn").alias("src"), F.col("line_no").cast("string").alias("id"), "description")
+            .unionByName(docs.select(F.lit("doc").alias("src"), F.col("doc_id").cast("string").alias("id"), F.col("text").alias("description")))
+            .unionByName(turns.select(F.lit("turn").alias("src"), key.alias("id"), F.col("text").alias("description"))))
 
 
 @query
 def clean_description(spark, d):
-    return fx.txn(spark, d).select("line_no", tx.clean_description("description").alias("description_clean"))
+    return _texts(spark, d).select("src", "id", tx.clean_description("description").alias("description_clean"))
 
 
 @query
 def extract_merchant(spark, d):
-    return fx.txn(spark, d).select("line_no", tx.extract_merchant(tx.clean_description("description")).alias("merchant"))
+    return _texts(spark, d).select("src", "id", tx.extract_merchant(tx.clean_description("description")).alias("merchant"))
 
 
 @query
 def categorize(spark, d):
-    return fx.txn(spark, d).select("line_no", tx.categorize(tx.clean_description("description")).alias("category"))
+    return _texts(spark, d).select("src", "id", tx.categorize(tx.clean_description("description")).alias("category"))
 
 
 @query
@@ -307,7 +317,9 @@ def reindex_weekdays(spark, d):
 
 @query
 def replace_small_levels(spark, d):
-    return m.replace_small_levels(clean(spark, d), "category", K).select("account_id", "line_no", "category")
+    """Categories that are small over all accounts, replaced in every account."""
+    c = clean(spark, d)
+    return m.replace_small_levels(c, "category", m.small_levels(c, "category")).select("account_id", "line_no", "category")
 
 
 @query
@@ -406,7 +418,7 @@ def spending_summary(spark, d):
 
 @query
 def dedupe_near(spark, d):
-    t = cl.dedupe_near(fx.txn_big(spark, d), K)
+    t = cl.dedupe_near(fx.txn_dirty(spark, d), K)
     return out(t.select("account_id", "line_no", "date", "amount", "description", "transaction_type"))
 
 
@@ -424,7 +436,10 @@ def pct_change(spark, d):
 
 @query
 def sort_by_metric(spark, d):
-    return out(m.category_spending(clean(spark, d), K).orderBy("account_id", "amount", "category"))
+    order = [F.col("amount"), F.col("category")]
+    place = F.row_number().over(Window.partitionBy("account_id").orderBy(*order))
+    spent = m.category_spending(clean(spark, d), K).withColumn("place", place)
+    return out(spent.orderBy("account_id", *order))
 
 
 @query
@@ -442,7 +457,7 @@ def top_category(spark, d):
 
 @query
 def distinct_rows(spark, d):
-    t = fx.txn(spark, d).drop("line_no", "statement_id")
+    t = fx.txn_dirty(spark, d).drop("line_no", "statement_id")
     return out(cl.distinct_rows(t))
 
 
@@ -509,24 +524,21 @@ def cut_text(spark, d):
 
 @query
 def validate_transactions(spark, d):
-    v = q.validate_transactions(fx.txn(spark, d), K)
+    v = q.validate_transactions(fx.txn_dirty(spark, d), K)
     return out(v.withColumn("missing_columns", F.array_join("missing_columns", ","))
                .withColumn("high_null_columns", F.array_join("high_null_columns", ",")))
 
 
-@query
-def check_required_columns(spark, d):
-    return q.check_required_columns(spark, fx.txn(spark, d))
-
-
 @query
 def check_not_empty(spark, d):
-    return q.check_not_empty(fx.txn(spark, d), K)
+    """Every customer is expected to have transactions."""
+    expected = fx.table(spark, d, "customer").select(F.col("c_custkey").alias("account_id"))
+    return q.check_not_empty(fx.txn_dirty(spark, d), K, expected)
 
 
 @query
 def check_null_share(spark, d):
-    return q.check_null_share(fx.txn(spark, d), K)
+    return q.check_null_share(fx.txn_dirty(spark, d), K)
 
 
 @query
@@ -571,9 +583,15 @@ def recommendations(spark, d):
     return r.recommendations(clean(spark, d), K)
 
 
+def clean_dirty(spark, d):
+    """Cleaned dirty rows, with keywords for investments."""
+    words = (*schema.CATEGORY_KEYWORDS, fx.INVESTMENT_KEYWORDS)
+    return cl.clean_transactions(fx.txn_dirty(spark, d), K, vocabulary=words)
+
+
 def _insight(fn_name):
     def run(spark, d):
-        return getattr(r, fn_name)(clean(spark, d), K)
+        return getattr(r, fn_name)(clean_dirty(spark, d), K)
     run.__name__ = fn_name
     return query(run)
 
@@ -585,7 +603,7 @@ for _n in ("insight_overspend", "insight_top_category", "insight_transaction_siz
 
 @query
 def rule_based_insights(spark, d):
-    return r.rule_based_insights(clean(spark, d), K)
+    return r.rule_based_insights(clean_dirty(spark, d), K)
 
 
 @query
@@ -593,34 +611,37 @@ def build_insight_prompt(spark, d):
     return r.build_insight_prompt(clean(spark, d), K)
 
 
-def echo_model(prompt: str) -> str:
-    """Deterministic stand-in model: answers from the numbers in the prompt,
-    fails on purpose when the count line is odd, wraps JSON in prose."""
-    lines = [ln for ln in prompt.split("\n") if ln.startswith("- ")]
-    n = int(lines[3].rsplit(" ", 1)[1])
-    if n % 7 == 0:
-        raise RuntimeError("model unavailable")
-    body = {"key_insights": lines[:2], "improvement_areas": [] if n % 2 else ["Spend less"],
-            "positive_habits": "not a list", "budget_recommendations": [lines[2], {"n": n}],
-            "additional_notes": f"{n} transactions"}
-    text = json.dumps(body)
-    return text[:-5] if n % 5 == 0 else f"Here you go:\n{text}\nThanks"
+def answers(spark, d):
+    """Conversation turns as model answers: JSON within prose, lists that are no lists, cut JSON and plain text."""
+    c = fx.table(spark, d, "conversations")
+    said = F.coalesce(F.trim(F.regexp_replace("text", "[^A-Za-z0-9 ]", "")), F.lit(""))
+    kind = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(5))
+    quoted = F.concat(F.lit('"'), said, F.lit('"'))
+    return c.select(
+        F.concat_ws("-", "conv_id", "turn").alias("answer_id"),
+        F.when(kind == 0, F.concat(F.lit('Here: {"key_insights": ['), quoted, F.lit(', "b"], "positive_habits": ['), quoted,
+                                   F.lit('], "additional_notes": '), quoted, F.lit("} bye")))
+        .when(kind == 1, F.concat(F.lit('{"improvement_areas": '), quoted, F.lit(', "budget_recommendations": [{"n": 1}, '),
+                                  quoted, F.lit("]}")))
+        .when(kind == 2, F.concat(F.lit('{"key_insights": ['), quoted))
+        .when(kind == 3, said).otherwise(F.translate("text", "{}", "")).alias("response"))
 
 
 @query
-def score_prompts(spark, d):
-    return r.score_prompts(r.build_insight_prompt(clean(spark, d), K), echo_model, K)
+def parse_insight_response(spark, d):
+    parsed = r.parse_insight_response(answers(spark, d), ("answer_id",))
+    return parsed.select("answer_id", *[F.concat_ws("|", c).alias(c) for c in r.RESPONSE_LISTS],
+                         "additional_notes", "llm_analysis", "insights_type")
 
 
 @query
-def parse_insight_response(spark, d):
-    scored = r.score_prompts(r.build_insight_prompt(clean(spark, d), K), echo_model, K)
-    return r.parse_insight_response(scored.filter(F.col("response").isNotNull()), K)
+def format_advice(spark, d):
+    return r.format_advice(r.rule_based_insights(clean_dirty(spark, d), K), K)
 
 
 @query
-def format_advice(spark, d):
-    return r.format_advice(r.rule_based_insights(clean(spark, d), K), K)
+def format_model_advice(spark, d):
+    return r.format_model_advice(r.parse_insight_response(answers(spark, d), ("answer_id",)), ("answer_id",))
 
 
 def registered() -> dict[str, Query]:

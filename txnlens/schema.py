@@ -1,4 +1,4 @@
-"""Schemas, vocabularies, bins and rule thresholds.
+"""Vocabularies, bins and rule thresholds.
 
 Everything here is a default; every operator takes the value as a parameter.
 """
@@ -9,20 +9,6 @@ from pyspark.sql import types as T
 
 MONEY = T.DecimalType(18, 2)
 
-TRANSACTIONS = T.StructType([
-    T.StructField("statement_id", T.LongType()),
-    T.StructField("account_id", T.LongType()),
-    T.StructField("line_no", T.LongType()),
-    T.StructField("date", T.DateType()),
-    T.StructField("datetime", T.TimestampNTZType()),
-    T.StructField("description", T.StringType()),
-    T.StructField("amount", MONEY),
-    T.StructField("transaction_type", T.StringType()),
-    T.StructField("app_source", T.StringType()),
-    T.StructField("month", T.IntegerType()),
-    T.StructField("year", T.IntegerType()),
-])
-
 # ---------------------------------------------------------------------------
 # These must equal the behaviour being reproduced.
 # ---------------------------------------------------------------------------
@@ -41,13 +27,6 @@ CATEGORY_KEYWORDS: tuple[tuple[str, tuple[str, ...]], ...] = (
 )
 DEFAULT_CATEGORY = "Others"
 
-# All configured categories (five of them have no keywords by default).
-EXPENSE_CATEGORIES = (
-    "Food & Dining", "Transportation", "Shopping", "Entertainment",
-    "Bills & Utilities", "Healthcare", "Education", "Travel",
-    "Groceries", "Fuel", "Investment", "Transfer", "Others",
-)
-
 # Merchant extraction: prefix words, stop words, generic names.
 MERCHANT_PREFIXES = ("to", "from", "paid to", "sent to", "received from")
 MERCHANT_STOPS = ("on", "for", "via")
@@ -63,8 +42,7 @@ AMOUNT_CAP = 100000
 
 WEEKDAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
 
-# App detection: first 1000 characters, lower-cased, first hit wins.
-APP_DETECT_CHARS = 1000
+# App detection: the marker that stands first in the lower-cased text.
 APP_MARKERS = (
     ("paytm", ("paytm",)),
     ("gpay", ("google pay", "gpay")),
@@ -72,13 +50,8 @@ APP_MARKERS = (
 )
 GENERIC_APP = "generic"
 
-# Description cut for the line parsers (GPay keeps the whole name).
-DESCRIPTION_CHARS = 100
 LINES_PER_CHUNK = 1000
 
-# Statement file limit in MB.
-MAX_FILE_MB = 5
-
 # Recommendation rules.
 HIGH_SPENDING_SHARE = 0.25
 LOW_SAVINGS_RATE = 0.15

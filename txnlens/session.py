@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,32 +25,27 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: st
     )
 
 
-# HotSpot does not JIT-compile methods above 8000 bytes of bytecode; Spark's
-# default limit (65535) lets a whole-stage method grow past that and then run
+# A launch option of our own sessions, not set by the library.  HotSpot does not JIT-compile methods above
+# 8000 bytes of bytecode; Spark's default limit (65535) lets a whole-stage method grow past that and then run
 # interpreted.  At this limit Spark falls back to per-expression code instead.
 JIT_METHOD_LIMIT = 8000
 
 
-def use_jit_sized_codegen(spark: SparkSession) -> None:
-    """Apply ``JIT_METHOD_LIMIT`` unless the session already sets a limit."""
-    if spark.conf.get("spark.sql.codegen.hugeMethodLimit", "65535") == "65535":
-        spark.conf.set("spark.sql.codegen.hugeMethodLimit", str(JIT_METHOD_LIMIT))
-
-
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster (spark.checkpoint.dir).
 
-    Only when the session has none (local tests) is a scratch folder set.
+    Only a local session that has none gets one here; on a cluster a missing setting is an error,
+    because executors can't see a folder of the driver.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if current:
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(current)
-        return current
-    path = tempfile.mkdtemp(prefix="txnlens-ckpt-")
-    sc.setCheckpointDir(path)
-    return path
+    if not current:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        current = tempfile.mkdtemp(prefix="txnlens-ckpt-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(current)
+    return current
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -62,36 +56,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for intermediate tables."""
-    return os.path.join(checkpoint_dir(spark), name)
-
-
-_BYTE_UNITS = {"": 1, "b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20,
-               "g": 1 << 30, "gb": 1 << 30, "t": 1 << 40, "tb": 1 << 40}
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}"
 
 
-def _bytes(text: str) -> int:
-    """'134217728b' / '128m' / '128MB' -> bytes."""
-    t = text.strip().lower()
-    digits = t.rstrip("kmgtb")
-    return int(digits) * _BYTE_UNITS[t[len(digits):]]
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core on an input too small to be split well.
-
-    Parquet splits only at row groups, so a small table written as one row
-    group is read by one task, and all per-row work before the first shuffle
-    runs on one core.  When the scan's estimated size is below one full split
-    (``spark.sql.files.maxPartitionBytes``) per core, the rows are dealt round
-    robin over the cores; filters and column pruning still reach the scan.  On
-    a large input the check is false and nothing is added.  The check reads
-    plan statistics only; no data reaches the driver.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    try:
-        split = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes", "128m"))
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # no JVM plan handle (e.g. Spark Connect): leave the input as it is
-        return df
-    return df.repartition(cores) if size < split * cores else df
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder of the session's file systems."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

@@ -11,32 +11,27 @@ from pyspark.sql import types as T
 
 from .. import schema
 
-PAGE_SCHEMA = T.StructType([
-    T.StructField("statement_id", T.LongType()),
-    T.StructField("path", T.StringType()),
-    T.StructField("page_no", T.IntegerType()),
-    T.StructField("text", T.StringType()),
-    T.StructField("status", T.StringType()),
-])
-
-
-def file_status(path: str = "path", length: str = "length", ext: str = ".pdf",
-                max_mb: float = schema.MAX_FILE_MB) -> F.Column:
-    """``wrong extension`` / ``too big`` / ``valid`` (1 MB = 1024 * 1024 bytes)."""
-    return (F.when(~F.lower(F.col(path)).endswith(ext), F.lit("File is not a PDF" if ext == ".pdf" else "wrong extension"))
-            .when(F.col(length) > F.lit(max_mb * 1024 * 1024), F.lit("too big"))
-            .otherwise(F.lit("valid")))
-
-
-def scan_statement_files(spark: SparkSession, root: str, glob: str = "*", ext: str = ".pdf",
-                         max_mb: float = schema.MAX_FILE_MB, recursive: bool = False) -> DataFrame:
-    """List candidate files with a status each.  The file bytes are not read
+def file_status(path: str = "path", length: str = "length", ext: str = ".pdf", max_mb: float | None = None) -> F.Column:
+    """``wrong extension`` / ``too big`` / ``valid`` (1 MB = 1024 * 1024 bytes); no size limit unless one is set."""
+    status = F.when(~F.lower(F.col(path)).endswith(ext), F.lit("File is not a PDF" if ext == ".pdf" else "wrong extension"))
+    if max_mb is not None:
+        status = status.when(F.col(length) > F.lit(max_mb * 1024 * 1024), F.lit("too big"))
+    return status.otherwise(F.lit("valid"))
+
+
+def scan_statement_files(spark: SparkSession, root: str, glob: str = "*", ext: str = ".pdf", max_mb: float | None = None,
+                         recursive: bool = False, expected: DataFrame | None = None) -> DataFrame:
+    """List candidate files with a status each; paths of ``expected`` (column
+    ``path``) that are not there are ``missing``.  The file bytes are not read
     (only ``path``, ``length``, ``modificationTime`` are selected, and the
     binary source prunes ``content``)."""
     files = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
              .option("recursiveFileLookup", str(recursive).lower()).load(root))
-    return files.select("path", "length", "modificationTime",
-                        file_status("path", "length", ext, max_mb).alias("status"))
+    listed = files.select("path", "length", "modificationTime", file_status("path", "length", ext, max_mb).alias("status"))
+    if expected is None:
+        return listed
+    absent = expected.select("path").distinct().join(listed, "path", "left_anti")
+    return listed.unionByName(absent.withColumn("status", F.lit("missing")), allowMissingColumns=True)
 
 
 def decode_utf8_pages(content: bytes) -> list[str]:
@@ -44,46 +39,66 @@ def decode_utf8_pages(content: bytes) -> list[str]:
     return content.decode("utf-8").split("\f")
 
 
-def read_statement_pages(files: DataFrame, decode_fn: Callable[[bytes], list[str]] = decode_utf8_pages) -> DataFrame:
-    """Binary file rows -> one row per page ``(statement_id, path, page_no, text, status)``.
+def decode_files(files: DataFrame, decode_fn: Callable[[bytes], list[str]] = decode_utf8_pages) -> DataFrame:
+    """Binary file rows -> one row per file ``(path, modificationTime, length, pages, status)``.
 
-    ``decode_fn`` runs batch-wise in the Python workers (``mapInPandas``); a
-    decode failure yields a single row with status ``failed: <error>``.
-    ``content`` is dropped right after decoding.
+    ``decode_fn`` runs batch-wise in the Python workers (``mapInPandas``), once
+    for each file whose ``status`` column (if there is one) is ``valid``; the
+    other rows pass with their status and null pages.  A decode failure gives
+    status ``failed: <error>``.  ``content`` is dropped right after decoding,
+    and the pages of a file stay one array: joining them needs no shuffle.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for sid, path, content in zip(pdf["statement_id"], pdf["path"], pdf["content"]):
-                try:
-                    pages = decode_fn(bytes(content))
-                    rows += [(sid, path, i, t, "ok") for i, t in enumerate(pages)]
-                except Exception as e:  # foreign decoder: record, don't fail the job
-                    rows.append((sid, path, 0, None, f"failed: {type(e).__name__}"))
-            yield pd.DataFrame(rows, columns=[f.name for f in PAGE_SCHEMA.fields])
+            pages, status = [], []
+            for content, before in zip(pdf.pop("content"), pdf["status"]):
+                decoded = None
+                if before == "valid":
+                    try:
+                        decoded, before = list(decode_fn(bytes(content))), "ok"
+                    except Exception as e:  # foreign decoder: record, don't fail the job
+                        before = f"failed: {type(e).__name__}"
+                pages.append(decoded)
+                status.append(before)
+            yield pdf.assign(pages=pages, status=status)
+
+    status = F.col("status") if "status" in files.columns else F.lit("valid")
+    src = files.select("path", "modificationTime", "length", status.alias("status"),
+                       F.when(status == "valid", F.col("content")).alias("content"))
+    return src.mapInPandas(run, "path string, modificationTime timestamp, length bigint, pages array<string>, status string")
+
+
+def statement_text(decoded: DataFrame, separator: str = "\n") -> DataFrame:
+    """``decode_files`` rows with ``text``: the file's pages joined in place (null where decoding failed)."""
+    return decoded.withColumn("text", F.when(F.col("pages").isNotNull(), F.array_join("pages", separator, ""))).drop("pages")
+
+
+def read_statement_pages(files: DataFrame, decode_fn: Callable[[bytes], list[str]] = decode_utf8_pages) -> DataFrame:
+    """Binary file rows -> one row per page ``(path, page_no, text, status)``; a
+    file that does not decode is one row with its status and null text."""
+    return decode_files(files, decode_fn).select(
+        "path", "status", F.posexplode_outer("pages").alias("page_no", "text")).select(
+        "path", F.coalesce("page_no", F.lit(0)).alias("page_no"), "text", "status")
 
-    src = files.select(F.xxhash64("path").alias("statement_id"), "path", "content")
-    return src.mapInPandas(run, PAGE_SCHEMA)
 
+def load_table(spark: SparkSession, path: str, schema_ddl: str | T.StructType | None = None,
+               json_array: bool = False) -> DataFrame:
+    """csv (header) or json by extension; other -> ValueError.
 
-def load_table(spark: SparkSession, path: str, schema_ddl: str | T.StructType | None = None) -> DataFrame:
-    """csv (header) or json (one JSON array or JSON lines) by extension; other -> ValueError."""
+    json is read as JSON lines, in parallel.  ``json_array`` reads files that
+    hold one JSON array each; such a file is one task.
+    """
     low = path.lower().rstrip("/")
     reader = spark.read.schema(schema_ddl) if schema_ddl is not None else spark.read.option("inferSchema", "true")
     if low.endswith(".csv"):
         return reader.option("header", "true").csv(path)
     if low.endswith(".json"):
-        return reader.option("multiLine", "true").json(path) if _is_json_array(spark, path) else reader.json(path)
+        return reader.option("multiLine", str(json_array).lower()).json(path)
     if low.endswith(".parquet"):
         return spark.read.parquet(path)
     raise ValueError(f"Unsupported file format: {path}")
 
 
-def _is_json_array(spark: SparkSession, path: str) -> bool:
-    head = spark.read.text(path).limit(1).collect()
-    return bool(head) and head[0][0].lstrip().startswith("[")
-
-
 def save_table(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwrite") -> bool:
     """csv (header, no index) / json (JSON lines, ISO dates) / parquet; True on success."""
     fmt = fmt.lower()

@@ -10,8 +10,10 @@ A rendered statement holds one account's transactions within one block of
 ``PAGE_SPAN`` ids.  ``event_id`` is unique, so a statement never holds more
 than ``STATEMENT_SPAN`` transactions and a page never more than ``PAGE_SPAN``,
 however the rows are spread over accounts or days: a hot account yields more
-statements, not a bigger one.  (Real statement files are bounded the same way
-by the file size limit.)
+statements, not a bigger one.
+
+``txn_dirty`` is ``txn`` with what the cleaning rules are for: repeated rows, negative, zero and
+null amounts, null descriptions (many in some accounts), food-heavy accounts and investments.
 """
 
 from __future__ import annotations
@@ -22,7 +24,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema
-from ..session import spread
 
 # Fixed description strings of the txn fixture, indexed by event_id % 16.
 TXN_DESCRIPTIONS = (
@@ -39,9 +40,8 @@ STATEMENT_HEADERS = {"paytm": "Paytm statement", "gpay": "Google Pay statement",
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table; a small single-row-group file is spread over the cores
-    (``session.spread``, a no-op on large inputs)."""
-    return spread(spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet")))
+    """A given table."""
+    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
 def _pick(index, values):
@@ -67,6 +67,26 @@ def txn(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Fixed rules of the dirty fixture; the oracle states the same ones in SQL.
+DIRTY_FOOD, DIRTY_INVESTMENT = "Swiggy dinner order", "Monthly SIP mutual fund"
+INVESTMENT_KEYWORDS = ("Investment", ("sip", "mutual fund"))
+
+
+def txn_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``txn`` with every fifth event twice, signs, zeros and nulls mixed in, and uneven accounts."""
+    t = txn(spark, sf_dir)
+    event, account = F.col("line_no"), F.col("account_id")
+    amount = (F.when(event % 17 == 4, F.lit(None)).when(event % 11 == 3, F.lit(0).cast(schema.MONEY))
+              .when(event % 7 == 2, -F.col("amount")).otherwise(F.col("amount")))
+    description = (F.when((account % 4 == 1) & (event % 3 == 0), F.lit(None))
+                   .when((account % 5 == 2) & (event % 4 != 1), F.lit(DIRTY_FOOD))
+                   .when((account % 6 == 3) & (event % 8 == 5), F.lit(DIRTY_INVESTMENT)).otherwise(F.col("description")))
+    copies = F.when(event % 5 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    dirty = t.withColumns({"amount": amount, "description": description})
+    return (dirty.select("*", F.explode(copies).alias("copy"))
+            .withColumn("line_no", F.col("line_no") * 2 + F.col("copy")).drop("copy"))
+
+
 def txn_big(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``lineitem`` joined with ``part``: multi-year, amounts above the cap,
     non-unique line numbers.  Join strategy is left to AQE (part is not
@@ -130,13 +150,20 @@ def statement_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def statement_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rendered statements as binary file rows ``(path, modificationTime, length, content)``."""
+    """Rendered statements as binary file rows ``(path, modificationTime, length, content)``.
+
+    Pages are separated by form feeds.  Every seventh statement is not UTF-8 (a byte 0xFF in front),
+    every eleventh is blank, every thirteenth holds no transaction.
+    """
     from ..operators.parse import assemble_statement_text
 
-    st = assemble_statement_text(statement_pages(spark, sf_dir))
-    content = F.encode(F.col("text"), "UTF-8")
+    st = assemble_statement_text(statement_pages(spark, sf_dir), separator="\f")
+    number = F.col("statement_id") % 1001
+    text = (F.when(number % 11 == 3, F.lit(" \n")).when(number % 13 == 5, F.lit("Paytm statement\nnothing here"))
+            .otherwise(F.col("text")))
+    content = F.when(number % 7 == 1, F.concat(F.unhex(F.lit("FF")), F.encode(text, "UTF-8"))).otherwise(F.encode(text, "UTF-8"))
     return st.select(
-        F.concat(F.lit("statements/"), F.col("statement_id").cast("string"), F.lit(".txt")).alias("path"),
+        F.concat(F.lit("statements/"), F.col("statement_id").cast("string"), F.lit(".pdf")).alias("path"),
         F.lit(None).cast("timestamp").alias("modificationTime"),
         F.octet_length(content).cast("long").alias("length"),
         content.alias("content"),

@@ -1,8 +1,9 @@
 """Incremental ingest: statement files arriving in a folder, parsed per micro-batch.
 
 The same native parsing runs on each micro-batch (``foreachBatch``); every
-batch writes its own ``batch_id=N`` folder in overwrite mode, so a replayed
-batch after a failure rewrites the same rows (idempotent).  Dedupe and the
+batch writes its own ``batch_id=N`` folders in overwrite mode (``files``: a row per
+file with its status; ``transactions``), so a replayed batch after a failure
+rewrites the same rows (idempotent; generic rows are dated by the file).  Dedupe and the
 metrics stay batch jobs over the accumulated table, because near-duplicates
 may span batches.
 """
@@ -19,7 +20,6 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators import parse as ps
 from ..plans.statement_job import default_account
 from ..sources import files as fl
-from .. import schema
 
 BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
@@ -27,18 +27,21 @@ BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length long, cont
 def start_statement_stream(spark: SparkSession, input_dir: str, output_dir: str, checkpoint_dir: str,
                            decode_fn: Callable[[bytes], list[str]] = fl.decode_utf8_pages,
                            account_of: Callable[[Column], Column] = default_account,
-                           available_now: bool = True, max_files_per_trigger: int = 1000) -> StreamingQuery:
+                           available_now: bool = True, max_files_per_trigger: int = 1000,
+                           max_mb: float | None = None) -> StreamingQuery:
     """Start the stream; ``available_now`` processes what is there and stops."""
-    src = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA).option("pathGlobFilter", "*.pdf")
-           .option("maxFilesPerTrigger", max_files_per_trigger).load(input_dir))
+    src = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger).load(input_dir))
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        valid = df.filter(fl.file_status("path", "length", ".pdf", schema.MAX_FILE_MB) == "valid")
-        pages = fl.read_statement_pages(valid, decode_fn)
-        st = (ps.assemble_statement_text(pages.filter(F.col("status") == "ok"), carry=("path",))
-              .withColumn("account_id", account_of(F.col("path"))))
-        txns = ps.assemble_transactions(ps.parse_statements(st, carry=("account_id",))).drop("chunk_no")
-        txns.write.mode("overwrite").parquet(os.path.join(output_dir, f"batch_id={batch_id}"))
+        checked = df.withColumn("status", fl.file_status("path", "length", ".pdf", max_mb))
+        decoded = fl.statement_text(fl.decode_files(checked, decode_fn)).withColumn("account_id", account_of(F.col("path")))
+        files = os.path.join(output_dir, "files", f"batch_id={batch_id}")
+        decoded.write.mode("overwrite").parquet(files)          # decoded once; status and rows read from here
+        stored = df.sparkSession.read.schema(decoded.schema).parquet(files)
+        rows = ps.parse_statements(stored.filter(F.col("status") == "ok"), "path", as_of=F.col("modificationTime"),
+                                   carry=("account_id",))
+        ps.assemble_transactions(rows).write.mode("overwrite").parquet(
+            os.path.join(output_dir, "transactions", f"batch_id={batch_id}"))
 
     w = src.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint_dir)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
