@@ -103,27 +103,33 @@ class Model:
 
 
 class Scorer:
-    """Predicts with a model; rows of words met lately are kept, up to a bound."""
+    """Predicts with a model; rows of unseen words met lately are kept beside the model's, up to a bound."""
 
     def __init__(self, model: Model, cache: int = CACHE):
-        self.model, self.limit = model, cache
-        self.rows = np.zeros((cache, len(model.languages)), dtype=np.float32)
-        self.known: dict[str, int] = {}
+        self.model, self.limit, n = model, cache, len(model.words)
+        self.rows = np.zeros((n + cache, len(model.languages)), dtype=np.float32)
+        self.rows[:n] = model.word_logs
+        self.at = dict(model.words)
+
+    def _learn(self, words: set[str]) -> None:
+        new = [w for w in words if w not in self.at]
+        if len(self.at) + len(new) > len(self.rows):
+            self.at = dict(self.model.words)
+            new = [w for w in words if w not in self.at]
+        for w in new:
+            self.rows[len(self.at)] = self.model.word_row(w)
+            self.at[w] = len(self.at)
 
     def __call__(self, text: str | None) -> tuple[str, float]:
         found = words_of(text)
         if not found or not self.model.languages:
             return UNKNOWN, 0.0
         total = np.zeros(len(self.model.languages))
-        for i in range(0, len(found), self.limit // 2):
-            part = found[i:i + self.limit // 2]
-            if len(self.known) + len(part) > self.limit and len(self.known) + len(set(part) - self.known.keys()) > self.limit:
-                self.known.clear()
-            for w in part:
-                if w not in self.known:
-                    self.rows[len(self.known)] = self.model.word_row(w)
-                    self.known[w] = len(self.known)
-            total += self.rows[np.fromiter(map(self.known.__getitem__, part), np.int64, len(part))].sum(axis=0, dtype=np.float64)
+        for i in range(0, len(found), self.limit):
+            part = found[i:i + self.limit]
+            self._learn(set(part))
+            index = np.fromiter(map(self.at.__getitem__, part), np.int64, len(part))
+            total += self.rows[index].sum(axis=0, dtype=np.float64)
         if not total.any():
             best = int(self.model.shares.argmax())
             return self.model.languages[best], float(self.model.shares[best])

@@ -29,7 +29,7 @@ from .text import slices
 VOCABULARY = "piece_bpe_32k.model"
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
-CACHE = 300_000
+CACHE = 800_000
 LONGEST_KEPT = 64        # characters of a word that is remembered
 
 
@@ -56,45 +56,46 @@ class Counter:
         held = set("".join(pieces))
         # a control character that no piece holds is unknown wherever it is: words can be cut there
         self.cuts = [c for c in "\n\t\r" if c not in held]
-        self.cache: dict[str, int] = {}
-        self.limit = cache
+        self.cache: dict[str, int] = {}          # words met lately
+        self.old: dict[str, int] = {}            # those before; half of the limit each
+        self.limit = cache // 2
 
     def viterbi(self, word: str) -> int:
         """Tokens of one word, its U+2581 included."""
-        n = len(word)
-        best, tokens = [0.0] + [float("-inf")] * n, [0] * (n + 1)
-        matches = self.automaton.iter(word)
-        end, match = next(matches, (n, None))
-        for at in range(n):
+        ending: list[list[tuple[int, float]]] = [[] for _ in word]
+        for end, match in self.automaton.iter(word):
+            ending[end].append(match)
+        best, tokens = [0.0], [0]
+        for at, matches in enumerate(ending):
+            top, count, longest = float("-inf"), 0, 0
             single = False
-            top, count = float("-inf"), 0
-            found = []
-            while end == at:
-                found.append(match)
-                end, match = next(matches, (n, None))
-            for length, score in sorted(found, reverse=True):
-                single |= length == 1
+            for length, score in matches:
                 value = best[at + 1 - length] + score
-                if value > top:
-                    top, count = value, tokens[at + 1 - length] + 1
+                if value > top or (value == top and length > longest):
+                    top, count, longest = value, tokens[at + 1 - length] + 1, length
+                if length == 1:
+                    single = True
             if not single and best[at] + self.unknown > top:
                 top, count = best[at] + self.unknown, tokens[at] + len(word[at].encode("utf-8", "surrogatepass"))
-            best[at + 1], tokens[at + 1] = top, count
-        return tokens[n]
+            best.append(top)
+            tokens.append(count)
+        return tokens[-1]
 
     def word(self, word: str) -> int:
         """Tokens of ``word`` after its U+2581; remembered if short."""
-        parts, extra = [SPACE + word], 0
-        for c in self.cuts:
-            if c in word:
-                extra += word.count(c)
-                parts = [p for x in parts for p in x.split(c)]
-        count = extra + sum(self.viterbi(p) for p in parts if p)
+        known = self.old.get(word)
+        if known is None:
+            parts, extra = [SPACE + word], 0
+            for c in self.cuts:
+                if c in word:
+                    extra += word.count(c)
+                    parts = [p for x in parts for p in x.split(c)]
+            known = extra + sum(self.viterbi(p) for p in parts if p)
         if len(word) <= LONGEST_KEPT:
             if len(self.cache) >= self.limit:
-                self.cache.clear()
-            self.cache[word] = count
-        return count
+                self.old, self.cache = self.cache, {}
+            self.cache[word] = known
+        return known
 
     def __call__(self, text: str | None) -> int:
         if not text:
@@ -102,19 +103,29 @@ class Counter:
         words = text.replace(" ", SPACE).split(SPACE)
         if not words[0]:
             words = words[1:]
-        get, total = self.cache.get, 0
+        total = 0
         for w in words:
-            n = get(w)
+            n = self.cache.get(w)
             total += self.word(w) if n is None else n
         return total
 
 
+_counters: dict[str, Counter] = {}
+
+
+def counter(vocabulary: str) -> Counter:
+    """The worker's counter, kept from task to task with the words it has met."""
+    if vocabulary not in _counters:
+        _counters[vocabulary] = Counter(read_vocabulary(tokenizer_path(vocabulary)))
+    return _counters[vocabulary]
+
+
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, n_tokens and n_bytes (UTF-8) of every row."""
     def run(batches: Iterator[pa.RecordBatch]):
-        counter = Counter(read_vocabulary(tokenizer_path(vocabulary)))
+        count = counter(vocabulary)
         for batch in slices(batches, "text"):
-            counts = [counter(t) for t in batch.column("text").to_pylist()]
+            counts = [count(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(counts, dtype=np.int64)),
                                               batch.column("n_bytes")], ["doc_id", "n_tokens", "n_bytes"])
 
