@@ -4,7 +4,8 @@ Fitting
 1. Labelled examples: all of them up to ``positives`` and ``negatives`` rows, beyond that a hash
    sample of about that size (the documented bound of what is learned from labels).
 2. Terms: words and character n-grams inside words whose presence in an example depends on the
-   label (likelihood-ratio statistic above a bound that grows with the number of terms tried).
+   label (likelihood-ratio statistic above a bound that grows with the number of terms tried, and
+   odds far from the overall odds).  Equal texts count once there, so copies prove nothing.
 3. Document frequencies of the terms are counted over all documents, labelled or not.
 4. Examples become unit TF-IDF vectors.  The index keeps them in blocks, and for each term its
    postings by block and the largest weight in each block.
@@ -13,7 +14,8 @@ Fitting
 
 Scoring: the block maxima bound every block's best cosine; blocks are opened by falling bound until
 no block can hold a nearer example, so the neighbours are exact (ties: smaller example number).  The
-vote is the similarity-weighted share of toxic neighbours, 0 without any.  Evidence: the nearest
+vote is the similarity-weighted share of toxic neighbours, with ``SHRINK`` units of similarity
+against, so 0 without any.  Evidence: the nearest
 examples with their similarity and label.
 
 Null, empty and termless texts have no neighbours and get the score of that case.  Examples with
@@ -35,10 +37,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import calibrate
+from .scratch import write
 from .text import slices
 
 POSITIVES, NEGATIVES, TERMS, NEIGHBOURS, BLOCK = 4000, 8000, 4000, 15, 32
 GRAMS = (4, 5, 6)
+ODDS = 10.0
+SHRINK = 1.0             # similarity that counts against the vote: a few far neighbours decide little
 BINS = 200
 EVIDENCE = 3
 _BREAK = re.compile(r"[\W_]+")
@@ -171,7 +176,7 @@ class Model:
 
     def vote(self, counts: dict[int, int], without: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
         who, near = self.index.nearest(*self.vector(counts), self.neighbours, without)
-        return (float(near @ self.labels[who] / near.sum()) if len(who) else 0.0), who, near
+        return float(near @ self.labels[who] / (near.sum() + SHRINK)), who, near
 
     def score(self, text: str | None, matcher: Matcher, memo: dict) -> tuple[float, list[tuple]]:
         if self.steps is None:
@@ -188,7 +193,9 @@ class Model:
 
 
 def select_terms(counts: DataFrame, positive: int, negative: int, most: int) -> list[str]:
-    """Terms that depend on the label: G statistic above 24 + 2 ln(terms), at most ``most``; if under 50 pass, the best 50."""
+    """Terms that depend on the label: G statistic above 24 + 2 ln(terms) and odds that differ ``ODDS``-fold from
+    the overall odds, at most ``most``; if under 50 pass, the best 50 by G."""
+    counts = write(counts, "terms")
     tried = counts.count()
     if not tried or not positive or not negative:
         return []
@@ -201,10 +208,14 @@ def select_terms(counts: DataFrame, positive: int, negative: int, most: int) ->
     n, rest = a + b, F.lit(float(positive + negative)) - a - b
     g = 2 * (part(a, n * share) + part(b, n * (1 - share))
              + part(positive - a, rest * share) + part(negative - b, rest * (1 - share)))
-    top = counts.withColumn("g", g).orderBy(F.desc("g"), "term").limit(most).select("term", "g").collect()
-    bound = 24 + 2 * math.log(tried)
-    good = [r["term"] for r in top if r["g"] > bound]
-    return good if len(good) >= 50 else [r["term"] for r in top[:50] if r["g"] > 0]
+    odds = F.abs(F.log((a + 0.5) / (b + 0.5)) - math.log(positive / negative))
+    scored = counts.select("term", g.alias("g"), odds.alias("odds"))
+
+    def best(rows: DataFrame, n: int) -> list[str]:
+        return [r["term"] for r in rows.orderBy(F.desc("g"), "term").limit(n).collect()]
+
+    good = best(scored.filter((F.col("g") > 24 + 2 * math.log(tried)) & (F.col("odds") > math.log(ODDS))), most)
+    return good if len(good) >= 50 else best(scored.filter("g > 0"), 50)
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch], terms: list[str]) -> Iterator[pa.RecordBatch]:
@@ -247,13 +258,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = F.broadcast(marked.filter(keep))     # about positives + negatives rows
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     examples = rows.join(sample, "id")
-    counts = (examples.select("text", "label").mapInArrow(_count_terms, "term string, positive bigint, negative bigint")
+    once = examples.select("text", "label").withColumn("hash", F.xxhash64("text")).dropDuplicates(["hash", "label"])
+    counts = (once.select("text", "label").mapInArrow(_count_terms, "term string, positive bigint, negative bigint")
               .groupBy("term").agg(F.sum("positive").alias("positive"), F.sum("negative").alias("negative"))
               .filter("positive + negative > 2"))
-    size = {r["label"]: r["n"] for r in examples.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    size = {r["label"]: r["n"] for r in once.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(size) < 2:
         return Model(prior=total[1] / (total[0] + total[1]))
     chosen = select_terms(counts, size[1], size[0], terms)
+    size = {r["label"]: r["n"] for r in examples.groupBy("label").agg(F.count("*").alias("n")).collect()}
     seen = dict(rows.select("text").mapInArrow(lambda it: _frequencies(it, chosen), "term bigint, docs bigint")
                 .groupBy("term").agg(F.sum("docs").alias("docs")).collect())           # one row per chosen term
     n_docs = seen.get(-1, 0)
