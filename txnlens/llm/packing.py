@@ -26,7 +26,7 @@ from .scratch import write
 from .text import slices
 
 MAX_LENGTH, TOKENIZER, END_ID = 2048, "word_bpe_49k.json", 1
-CACHE = 800_000          # chunks of text whose ids a worker remembers
+CACHE = 500_000          # chunks of text whose ids a worker remembers
 PIECES_PER_PART = 20_000
 MARK, GROUP = "\x02", 50  # a character that is no part of a word, and chunks that are encoded together
 
