@@ -138,6 +138,22 @@ def test_a_large_group_of_edited_copies_is_one_class(spark):
     assert near <= {r["id"] for r in out if r["class_id"] == 0}
 
 
+def test_chained_edits_equal_brute_force(spark):
+    """Copies of edited copies: links between members under 0.8 to their bucket's hub and members of the hub's class."""
+    r = random.Random(0)
+    family = [words(100, 1000)]
+    for _ in range(249):
+        w = list(family[0] if r.random() < 0.5 else r.choice(family))
+        for _ in range(r.randrange(1, 4)):
+            w[r.randrange(100)] = f"e{r.randrange(10**6)}"
+        family.append(w)
+    rows = [(k, " ".join(w)) for k, w in enumerate(family)]
+    got = collections.defaultdict(list)
+    for x in near_dedup.near_duplicates(frame(spark, rows)).collect():
+        got[x["class_id"]].append(x["id"])
+    assert sorted(sorted(g) for g in got.values()) == brute_classes(rows)
+
+
 def test_near_duplicates_of_an_empty_table(spark):
     assert near_dedup.near_duplicates(frame(spark, [])).count() == 0
     assert near_dedup.keep_one(frame(spark, [])).count() == 0

@@ -11,7 +11,11 @@
 3. A pair is a link if the exact weighted Jaccard similarity of its shingle multisets reaches the
    threshold.  Links are joined to classes by connected components.
 4. Members of a bucket that did not join their hub's class get a new hub among themselves, again
-   and again until a round finds no link.
+   and again until a round finds no link.  These rounds only make the classes large.
+5. Every pair of nodes that share a bucket but no class by then is compared, unless it cannot be a
+   link: the smaller of two multisets is under ``threshold`` of the larger, or the pair's distances
+   to the bucket's first hub differ by more than ``1 - threshold`` (1 - similarity is a metric).
+   So the classes are those of all links within buckets.
 
 With 25 bands of 5 components, a pair of similarity 0.8 shares a bucket with probability 0.99995.
 A text of fewer than ``shingle`` words is one shingle.  Null texts and texts without words are
@@ -47,7 +51,7 @@ def text_bags(w: tx.Words, shingle: int) -> tuple[np.ndarray, np.ndarray, np.nda
 
 def sign(batches: Iterator[pa.RecordBatch], shingle: int = SHINGLE, bands: int = BANDS,
          rows: int = ROWS) -> Iterator[pa.RecordBatch]:
-    """(id, tk, text) -> (id, tk, fp, bands); fp and bands are null for texts without words."""
+    """(id, tk, text) -> (id, tk, fp, bands, size); fp and bands are null for texts without words; size: shingles."""
     for batch in tx.slices(batches, "text"):
         w = tx.words(batch.column("text"))
         owner, value, weight = text_bags(w, shingle)
@@ -59,7 +63,9 @@ def sign(batches: Iterator[pa.RecordBatch], shingle: int = SHINGLE, bands: int =
         offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * bands)
         lists = pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()), mask=pa.array(empty))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), batch.column("tk"), pa.array(fp, pa.binary()), lists], ["id", "tk", "fp", "bands"])
+            [batch.column("id"), batch.column("tk"), pa.array(fp, pa.binary()), lists,
+             pa.array(np.bincount(owner, weights=weight, minlength=batch.num_rows).astype(np.int64))],
+            ["id", "tk", "fp", "bands", "size"])
 
 
 def compare(batches: Iterator[pa.RecordBatch], shingle: int = SHINGLE) -> Iterator[pa.RecordBatch]:
@@ -96,11 +102,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = source.select("id", _text_key().alias("tk"), "text")
     key_type = "struct<x:bigint,y:bigint>"
     signed = write(keyed.mapInArrow(lambda it: sign(it, shingle, bands, rows),
-                                    f"id {kind}, tk {key_type}, fp binary, bands array<bigint>"), "signatures")
+                                    f"id {kind}, tk {key_type}, fp binary, bands array<bigint>, size bigint"), "signatures")
     nodes = write(signed.filter("fp is not null").groupBy("fp")
                   .agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tk")).alias("best"),
-                       F.first("bands").alias("bands"), F.count("*").alias("copies"))
-                  .select(F.monotonically_increasing_id().alias("node"), "fp", "best.id", "best.tk", "bands", "copies"),
+                       F.first("bands").alias("bands"), F.first("size").alias("size"), F.count("*").alias("copies"))
+                  .select(F.monotonically_increasing_id().alias("node"), "fp", "best.id", "best.tk", "bands", "size", "copies"),
                   "nodes")
     posts = nodes.select("node", F.explode("bands").alias("key"))
     sizes = write(posts.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
@@ -119,6 +125,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         found = write(_verify(pairs, nodes, keyed, shingle), "pairs")
         new = found.filter(F.col("similarity") >= threshold)
+        if links is None:
+            first = (hubs, found)
         tried = found if links is None else tried.unionByName(found)
         links = new if links is None else links.unionByName(new)
         if new.isEmpty():
@@ -131,6 +139,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                      .select("key", "node", "score"), "members")
         if left.isEmpty():
             break
+    rest = _unmet(shared, nodes, classes, *first, threshold).join(tried, ["a", "b"], "left_anti")
+    new = write(_verify(rest, nodes, keyed, shingle), "pairs").filter(F.col("similarity") >= threshold)
+    if not new.isEmpty():
+        base = new.select("a", "b")
+        if classes is not None:
+            base = base.unionByName(classes.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        links, classes = links.unionByName(new), write(connected_components(base), "classes")
     return _classes(signed, nodes, links, classes)
 
 
@@ -143,6 +158,31 @@ def _of_other_classes(met: DataFrame, classes: DataFrame) -> DataFrame:
             .drop("own", "its"))
 
 
+def _unmet(shared: DataFrame, nodes: DataFrame, classes: DataFrame | None, hubs: DataFrame, found: DataFrame,
+           threshold: float) -> DataFrame:
+    """Pairs (a, b) of nodes that share a bucket but no class and may be links by their sizes and distances to its hub.
+
+    Only nodes outside a bucket's largest class are paired, with all nodes of other classes.
+    """
+    if classes is None:
+        classes = nodes.sparkSession.createDataFrame([], "node bigint, component bigint")
+    met = (shared.select("key", "node").join(hubs, "key")
+           .withColumn("a", F.least("node", "hub")).withColumn("b", F.greatest("node", "hub")))
+    posts = write(met.join(found, ["a", "b"], "left").join(classes, "node", "left").join(nodes.select("node", "size"), "node")
+                  .select("key", "node", "size", F.coalesce("component", "node").alias("component"),
+                          F.when(F.col("node") == F.col("hub"), 0.0).otherwise(1 - F.col("similarity")).alias("apart")), "posts")
+    largest = (posts.groupBy("key", "component").agg(F.count("*").alias("n"))
+               .groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("n"))
+               .filter("n > 1").select("key", F.col("most.component").alias("largest")))
+    mixed = write(posts.join(largest, "key").withColumn("outside", F.col("component") != F.col("largest")), "mixed")
+    x, y = mixed.filter("outside").alias("x"), mixed.alias("y")
+    near = ((F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component"))
+            & (~F.col("y.outside") | (F.col("x.node") < F.col("y.node")))
+            & (F.least("x.size", "y.size") >= F.greatest("x.size", "y.size") * (threshold - 1e-9))
+            & (F.abs(F.col("x.apart") - F.col("y.apart")) <= 1 - threshold + 1e-9))
+    return x.join(y, near).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
 def _verify(pairs: DataFrame, nodes: DataFrame, keyed: DataFrame, shingle: int) -> DataFrame:
     """Exact similarity of node pairs; only texts of nodes in a pair are read along."""
     pairs = write(pairs, "candidates")
