@@ -4,10 +4,12 @@ import random
 import re
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 from conftest import SF_SMALL
 from txnlens.llm import exact_dedup, near_dedup, scratch, suffix_dedup
+from txnlens.llm import text as tx
 from txnlens.llm.components import connected_components
 from txnlens.llm.queries import ORACLE_SQL, QUERIES
 
@@ -252,6 +254,24 @@ def test_passages_equal_brute_force(spark):
     assert suffix_dedup.cut_passage(dict(rows)[11], row["start_word"], row["end_word"]) == " ".join(common[5:56])
 
 
+def test_passage_before_a_frequent_line_equals_brute_force(spark):
+    """Two documents share 25 words and a line that many hold; no anchor lies in the 25 words, so the order hides the pair."""
+    line = words(30, 13)
+    rows = [(k, " ".join(words(40, 5000 + k) + line + words(30, 7000 + k))) for k in range(150)]
+
+    def hidden(seed):
+        own = words(25, 10_000 + seed)
+        pair = [" ".join(words(40, 20_000 + 2 * seed + k) + own + line + words(30, 30_000 + 2 * seed + k)) for k in (0, 1)]
+        found = [suffix_dedup.anchors(tx.words(pa.array([t])), suffix_dedup.GRAM, suffix_dedup.WINDOW)[1] for t in pair]
+        return pair if not any(40 <= p < 65 for at in found for p in at.tolist()) else None
+
+    pairs = [p for p in map(hidden, range(300)) if p][:5]
+    assert pairs
+    rows += [(1000 + k, t) for k, t in enumerate(t for p in pairs for t in p)]
+    out = suffix_dedup.repeated_passages(frame(spark, rows)).collect()
+    assert sorted(((r["doc_id"], r["start_word"], r["end_word"]) for r in out), key=str) == brute_passages(rows, 50)
+
+
 def test_passages_of_small_documents_equal_brute_force(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text").collect()]
     got = sorted(((r["doc_id"], r["start_word"], r["end_word"]) for r in QUERIES["op8_repeated_passages"](spark, SF_SMALL).collect()), key=str)

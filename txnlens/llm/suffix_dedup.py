@@ -9,6 +9,9 @@
 4. The common prefix, extended to the left by the common words before the anchors, is a repeated
    passage if it has ``least`` words.  Passages of a text that overlap are joined, so a long one
    is found whole, anchor by anchor.
+5. Partners that are no neighbours in that order: every run of ``least`` words that holds such an
+   anchor is hashed, and runs of a hash that occurs in more than one place are passages.  Equal runs
+   hold the same anchors, so none is left out.
 
 Equal texts are one suffix owner; each text with copies and ``least`` words is a passage as a whole.
 Null and shorter texts have no passage.  Repeated rows are copies.  Null ids are allowed.
@@ -105,6 +108,26 @@ def _suffixes(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Reco
                                           pa.array(before, pa.binary())], ["owner", "place", "after", "before"])
 
 
+def _windows(batches: Iterator[pa.RecordBatch], least: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """(owner, text, places) -> (owner, start, window): hash of every run of ``least`` words that holds an anchor's k-gram."""
+    for batch in tx.slices(batches, "text"):
+        w = tx.words(batch.column("text"))
+        value, at = tx.shingles(w, least)
+        edge = np.zeros(len(w.hash) + 2, dtype=np.int64)
+        for i, places in enumerate(batch.column("places").to_pylist()):
+            lo, hi = int(w.first[i]), int(w.first[i + 1])
+            place = lo + np.array(places, dtype=np.int64)
+            place = place[place < hi]    # else of another text with the same 64-bit key
+            np.add.at(edge, np.maximum(place + gram - least, lo), 1)
+            np.add.at(edge, place + 1, -1)
+        held = np.cumsum(edge)[at] > 0
+        value, at = value[held], at[held]
+        text = tx.text_of(w, at)
+        owner = batch.column("owner").to_numpy(zero_copy_only=False).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(owner[text], pa.int64()), pa.array((at - w.first[text]).astype(np.int32)),
+                                          pa.array(value.view(np.int64))], ["owner", "start", "window"])
+
+
 def _words_matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Byte strings of word hashes as rows of ``width`` words (padded), and their lengths in words."""
     column = column.cast(pa.large_binary())
@@ -218,8 +241,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     often = write(posts.groupBy("gram").agg(F.min(spot).alias("a"), F.max(spot).alias("b")).filter("a != b").select("gram"), "grams")
     places = (posts.join(often, "gram").select("owner", "place").distinct()
               .groupBy("owner").agg(F.collect_list("place").alias("places")))
-    places = write(places.join(owners, "owner").select(F.col("owner").alias("its"), "first_id", "places"), "places")
+    places = write(places.join(owners, "owner").select(F.col("owner").alias("its"), "first_id", "places", "copies"), "places")
     own = rows.join(places, (rows["owner"] == places["its"]) & rows["id"].eqNullSafe(places["first_id"]))
+    own = own.filter("copies = 1").unionByName(own.filter("copies > 1").dropDuplicates(["owner"]))    # an id may repeat
     suffixes = write(own.select("owner", "text", "places")
                      .mapInArrow(lambda it: _suffixes(it, least), "owner bigint, place int, after binary, before binary"), "suffixes")
     order = ["after", "before", "owner", "place"]
@@ -229,6 +253,16 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     across = _across(edges, least, near)
     spans = (compared.filter("edge is null").select("owner", "start", "end", "other")
              .unionByName(spark.createDataFrame(across, "owner bigint, start bigint, end bigint, other bigint")))
+    windows = write(own.select("owner", "text", "places")
+                    .mapInArrow(lambda it: _windows(it, least, gram), "owner bigint, start int, window bigint"), "windows")
+    at = F.xxhash64("owner", "start")
+    again = write(windows.groupBy("window").agg(F.min(at).alias("a"), F.max(at).alias("b"), F.min("owner").alias("low"),
+                                                F.max("owner").alias("high"))
+                  .filter("a != b").select("window", "low", "high"), "repeated")
+    equal = windows.join(again, "window").select(
+        "owner", F.col("start").cast("bigint").alias("start"), (F.col("start") + least).cast("bigint").alias("end"),
+        F.when(F.col("owner") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("other"))
+    spans = spans.unionByName(equal)
     whole = (owners.filter((F.col("copies") > 1) & (F.col("n_words") >= least))
              .select("owner", F.lit(0).cast("bigint").alias("start"), F.col("n_words").alias("end"), F.col("owner").alias("other")))
     merged = write(_merge(spans.unionByName(whole)), "spans")
@@ -240,7 +274,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def _merge(spans: DataFrame) -> DataFrame:
-    """Overlapping spans of an owner joined (an owner has as many spans as twice its anchors at most)."""
+    """Overlapping spans of an owner joined (an owner's spans grow with its anchors and words)."""
     spans = spans.groupBy("owner", "start", "end").agg(F.min("other").alias("other"))
     before = Window.partitionBy("owner").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy("owner").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)
