@@ -122,6 +122,51 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("evidence.example").alias("evidence"))
 
 
+@query
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers' tokens in every document, with corpus-wide counts of linked ids."""
+    from .token_alignment import link_statistics
+
+    return link_statistics(table(spark, sf_dir, "documents"), groups="sha256").select(
+        F.col("id").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum",
+        F.col("groups").alias("groups_sha256"))
+
+
+def stuttered(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): the documents of op13's contract.
+
+    With h = crc32 of the id as text and g = floor(h / 10), every word i >= a of a document with h % 10 = 0 and n > 0
+    words becomes its word a + (i - a) % p, where a = g % n and p = 1 + floor((n - a) / (3 + g % 8)).
+    """
+    h = F.crc32(F.col("doc_id").cast("string"))
+    found = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), h.alias("h"))
+    rows = rows.withColumn("words", F.when(F.col("h") % 10 == 0, found))
+    rows = rows.withColumn("n", F.size("words")).withColumn("g", F.expr("h div 10"))
+    rows = rows.withColumn("a", F.expr("if(n > 0, cast(g % n as int), 0)"))
+    rows = rows.withColumn("p", F.expr("cast(1 + (n - a) div (3 + g % 8) as int)"))
+    again = F.expr("array_join(slice(concat(slice(words, 1, a), flatten(array_repeat(slice(words, a + 1, p), "
+                   "cast(ceil((n - a) / p) as int)))), 1, n), ' ')")
+    return rows.select("doc_id", F.when((F.col("h") % 10 == 0) & (F.col("n") > 0), again).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic word runs of every document (every tenth one made to repeat a part of itself)."""
+    from .periodic_runs import periodic_runs
+
+    found = periodic_runs(stuttered(table(spark, sf_dir, "documents")))
+    # of two runs the one with the greater length / period, compared exactly; then start, then period
+    ahead = ("x.length * y.period > y.length * x.period OR (x.length * y.period = y.length * x.period AND "
+             "(x.start < y.start OR (x.start = y.start AND x.period < y.period)))")
+    best = F.expr(f"aggregate(slice(runs, 2, greatest(size(runs) - 1, 0)), get(runs, 0), (y, x) -> if({ahead}, x, y))")
+    lines = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    return (found.withColumn("best", best).select(
+        F.col("id").alias("doc_id"), F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256")))
+
+
 ORACLE_SQL: dict[str, str] = {
     "op6_exact_dedup": r"""
         WITH keyed AS (
