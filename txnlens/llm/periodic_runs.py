@@ -297,8 +297,11 @@ def periodic_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Per row: id, n_words, runs (array of start, length, period; by start, then period) and ``collapsed``.
 
     ``collapsed`` is the text's words with one space between, without words that a run contains
-    after its first period.  ``least`` is at least 2 and ``times`` at least 2.
+    after its first period.  ``times`` is at least 3: a run over a boundary must hold a period and a
+    word more on one side of it.
     """
+    if times < 3 or least < 2:
+        raise ValueError("periodic_runs: at least 3 periods and 2 words")
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     return rows.mapInArrow(lambda it: _rows(it, least, times), f"id {kind}, n_words bigint, runs {RUNS}, collapsed string")

@@ -122,6 +122,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("evidence.example").alias("evidence"))
 
 
+@query
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the size of its shingle set and the class that its links reach."""
+    from .jaccard_join import linked_sets
+
+    return linked_sets(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
 @query
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups and links of two tokenizers' tokens in every document, with corpus-wide counts of linked ids."""

@@ -40,7 +40,7 @@ from .scratch import write
 from .text import slices, utf8
 
 TOKENIZER_A, TOKENIZER_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
-BLOCK = 1 << 23          # bytes of text in a block
+BLOCK = 1 << 21          # bytes of text in a block
 ENCODED = 1 << 20        # bytes of text encoded at a time
 # The split pattern of byte-level BPE before merging (a fixed value of that tokenizer format).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
