@@ -191,16 +191,24 @@ def _boundary_runs(word: np.ndarray, one: Symbols, least: int, times: int) -> tu
     long = np.flatnonzero(after + before + period >= np.maximum(least, times * period))
     of, at, period, after, before, lo, hi = (x[long] for x in (of, at, period, after, before, lo, hi))
     start, end = at - before, at + period + after
-    size = end - start - period
-    wrong = np.unique(np.repeat(np.arange(len(of)), size)[word[ranges(start, size)] != word[ranges(start + period, size)]])
-    for i in wrong.tolist():                             # hashes of unequal stretches met: look word by word
+    # multiples of a period give its stretch again; few runs with a period of their own lie over one place
+    order = np.lexsort((period, end, start, of))
+    again = np.zeros(len(order), dtype=bool)
+    again[1:] = ((of[order[1:]] == of[order[:-1]]) & (start[order[1:]] == start[order[:-1]])
+                 & (end[order[1:]] == end[order[:-1]]))
+    kept = order[~again]
+    size = end[kept] - start[kept] - period[kept]
+    unequal = word[ranges(start[kept], size)] != word[ranges(start[kept] + period[kept], size)]
+    wrong = np.isin(of, of[kept[np.repeat(np.arange(len(kept)), size)[unequal]]])
+    for i in np.flatnonzero(wrong).tolist():             # hashes of unequal stretches met: look word by word
         q, b, f = int(period[i]), int(at[i]), int(at[i])
         while f + q < hi[i] and word[f] == word[f + q]:
             f += 1
         while b > lo[i] and word[b - 1] == word[b - 1 + q]:
             b -= 1
         start[i], end[i] = b, f + q
-    good = np.flatnonzero(end - start >= np.maximum(least, times * period))
+    kept = np.union1d(kept, np.flatnonzero(wrong))
+    good = kept[end[kept] - start[kept] >= np.maximum(least, times * period[kept])]
     return of[good], start[good], end[good], period[good]
 
 
