@@ -132,8 +132,8 @@ def test_candidates_of_a_family_under_the_threshold_grow_in_proportion(spark, mo
                 copy[10 + 30 * k + rng.randrange(20)] = f"own{m}_{k}"
             rows.append((m, " ".join(copy)))
         seen = []
-        keep = jaccard_join._Join.verified
-        monkeypatch.setattr(jaccard_join._Join, "verified", lambda self, p, t=None: seen.append(p.distinct().count()) or keep(self, p, t))
+        keep = jaccard_join._Join.within_bound
+        monkeypatch.setattr(jaccard_join._Join, "within_bound", lambda self, p: seen.append(p.distinct().count()) or keep(self, p))
         result = jaccard_join.linked_sets(spark.createDataFrame(rows, "doc_id bigint, text string"), leaf=8).collect()
         monkeypatch.undo()
         assert all(r.component_id == r.id for r in result)

@@ -41,6 +41,16 @@ def write(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(table: DataFrame) -> None:
+    """Remove a table that ``write`` made, once nothing reads it any more; let shuffles no plan holds be cleaned up."""
+    spark = table.sparkSession
+    jvm = spark.sparkContext._jvm
+    for file in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        target = jvm.org.apache.hadoop.fs.Path(file)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    jvm.System.gc()
+
+
 def clear(spark: SparkSession) -> None:
     """Remove the folders made for this session. Results that still read them must be used before."""
     jvm = spark.sparkContext._jvm
