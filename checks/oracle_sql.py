@@ -240,6 +240,7 @@ for _app in ("paytm", "gpay", "phonepe"):
     SQL[f"parse_{_app}"] = on_statements(f"SELECT {PARSED_COLS} FROM expected WHERE app_source = '{_app}'")
 SQL["parse_statements"] = on_statements(f"SELECT {PARSED_COLS} FROM expected")
 SQL["union_parsed"] = SQL["parse_statements"]
+SQL["parse_long_statements"] = SQL["parse_statements"]
 SQL["parse_generic"] = on_statements(f"""SELECT statement_id, CAST(k AS BIGINT) AS line_no,
   TIMESTAMP '2024-02-01 00:00:00' AS datetime,
   CASE app_source WHEN 'gpay' THEN {AMT_TXT} ELSE {LINE} END AS description,
@@ -271,6 +272,8 @@ MS = "date_trunc('milliseconds', datetime)"
 SQL["load_table"] = on_txn(f"SELECT * REPLACE ({MS} AS datetime, CAST(amount AS DOUBLE) AS amount) FROM txn")
 SQL["save_table"] = on_clean(f"SELECT * REPLACE ({MS} AS datetime) FROM (SELECT {CLEAN_COLS} FROM clean)")
 SQL["export_clean_csv"] = SQL["save_table"]
+SQL["load_json_array"] = """SELECT conv_id, CAST(turn AS BIGINT) AS turn, role, text,
+  array_to_string(string_split(text, ' '), '|') AS words FROM conversations"""
 
 # --- 2.3 projections (text rules over descriptions, whole documents and whole conversation turns)
 
@@ -298,6 +301,18 @@ SQL["day_name"] = on_txn_big("SELECT account_id, line_no, dayname(date) AS day_n
 SQL["typed_projection"] = on_clean_big(f"SELECT {CLEAN_COLS} FROM clean")
 SQL["clean_transactions"] = on_clean(f"SELECT {CLEAN_COLS} FROM clean")
 
+VOCABULARY = f"""SELECT DISTINCT keyword, length(keyword) % 7 AS priority, 'group ' || length(keyword) AS category FROM (
+  SELECT unnest(string_split({clean_desc('text')}, ' ')) AS keyword FROM benchmark) WHERE length(keyword) >= 4
+  UNION SELECT DISTINCT lower(p_name), length(p_name) % 7, 'group ' || length(p_name) FROM part"""
+SQL["categorize_by_table"] = f"""WITH texts AS (
+  SELECT 'txn' AS src, CAST(line_no AS VARCHAR) AS id, description FROM ({TXN_DIRTY})
+  UNION ALL SELECT 'doc', CAST(doc_id AS VARCHAR), text FROM documents
+  UNION ALL SELECT 'turn', conv_id || '-' || turn, text FROM conversations),
+cleaned AS (SELECT src, id, {clean_desc('description')} AS d FROM texts),
+found AS (SELECT d, arg_max(category, (priority, category)) AS category
+  FROM (SELECT DISTINCT d FROM cleaned) JOIN ({VOCABULARY}) ON contains(d, keyword) GROUP BY d)
+SELECT src, id, coalesce(category, 'Others') AS category FROM cleaned LEFT JOIN found USING (d)"""
+
 # --- 2.4 filters ---------------------------------------------------------------------
 
 SQL["filter_valid_amounts"] = on_txn_big("""SELECT account_id, line_no, CAST(abs(amount) AS DOUBLE) AS amount
@@ -373,6 +388,20 @@ UNION ALL SELECT account_id, 'category_count', category, CAST(count(*) AS DOUBLE
 UNION ALL SELECT account_id, 'top_merchant', merchant, CAST(n AS DOUBLE) FROM ({TOP_MERCH})
 UNION ALL SELECT account_id, 'type_count', transaction_type, CAST(count(*) AS DOUBLE) FROM clean GROUP BY 1, 3""")
 
+def entries(name: str, n: str, src: str) -> str:
+    return f"SELECT account_id, string_agg({name} || '=' || {n}, ';' ORDER BY {name}) AS e FROM ({src}) GROUP BY 1"
+
+
+SQL["summary_maps"] = on_clean(f"""
+SELECT account_id, total_transactions, total_amount, avg_transaction, start_date, end_date, c.e AS categories,
+  t.e AS top_merchants, k.e AS transaction_types FROM (
+  SELECT account_id, count(*) AS total_transactions, CAST(sum(amount) AS DOUBLE) AS total_amount, {AVG} AS avg_transaction,
+    min(date) AS start_date, max(date) AS end_date FROM clean GROUP BY account_id)
+JOIN ({entries('category', 'n', 'SELECT account_id, category, count(*) AS n FROM clean GROUP BY 1, 2')}) c USING (account_id)
+JOIN ({entries('merchant', 'n', TOP_MERCH)}) t USING (account_id)
+JOIN ({entries('transaction_type', 'n', 'SELECT account_id, transaction_type, count(*) AS n FROM clean GROUP BY 1, 2')}) k
+  USING (account_id)""")
+
 CAT_SPEND = f"SELECT account_id, category, {SPENT} AS amount FROM clean GROUP BY account_id, category"
 SQL["category_spending"] = on_clean(f"SELECT account_id, category, CAST(amount AS DOUBLE) AS amount FROM ({CAT_SPEND})")
 SQL["sort_by_metric"] = on_clean(f"""SELECT account_id, category, CAST(amount AS DOUBLE) AS amount,
@@ -467,6 +496,21 @@ SQL["pct_change"] = on_clean_big(f"""SELECT account_id, category, month_year, CA
     SELECT account_id, category, strftime(datetime, '%Y-%m') AS month_year, sum(amount) AS amount
     FROM clean WHERE {DEBIT} GROUP BY 1, 2, 3))""")
 
+SQL["pct_change_calendar"] = on_clean_big(f""",
+sums AS (SELECT account_id, category, date_trunc('month', datetime) AS month, sum(amount) AS amount
+  FROM clean WHERE {DEBIT} GROUP BY 1, 2, 3),
+bounds AS (SELECT account_id, category, min(month) AS lo, max(max(month)) OVER (PARTITION BY account_id) AS hi
+  FROM sums GROUP BY 1, 2),
+spine AS (SELECT account_id, category, unnest(generate_series(CAST(lo AS TIMESTAMP), CAST(hi AS TIMESTAMP), INTERVAL 1 MONTH)) AS month
+  FROM bounds),
+filled AS (SELECT account_id, category, strftime(s.month, '%Y-%m') AS month_year, coalesce(amount, 0) AS amount,
+  lag(coalesce(amount, 0)) OVER (PARTITION BY account_id, category ORDER BY s.month) AS prev
+  FROM spine s LEFT JOIN sums USING (account_id, category, month))
+SELECT account_id, category, month_year, CAST(amount AS DOUBLE) AS amount, CAST(prev AS DOUBLE) AS prev_amount,
+  CASE WHEN prev IS NULL THEN NULL WHEN CAST(prev AS DOUBLE) = 0 THEN 0.0
+    ELSE (CAST(amount AS DOUBLE) - CAST(prev AS DOUBLE)) / CAST(prev AS DOUBLE) * 100 END AS pct_change FROM filled""")
+SQL["dedupe_near_batches"] = SQL["dedupe_near"]
+
 # --- 2.8 top-k ------------------------------------------------------------------------------------
 
 SQL["top_k"] = on_clean_big("""SELECT account_id, merchant, CAST(sum(amount) AS DOUBLE) AS total_amount FROM clean
@@ -522,6 +566,12 @@ SQL["validate_transactions"] = on_dirty(f"""SELECT *, n_rows > 0 AS is_valid, ''
   SELECT account_id, count(*) AS n_rows, {_NULLS}, count(*) FILTER (WHERE amount < 0) AS n_negative,
     count(*) FILTER (WHERE amount = 0) AS n_zero, CAST(coalesce(sum(amount), 0) AS DOUBLE) AS total_amount,
     min(date) AS start_date, max(date) AS end_date FROM txn GROUP BY account_id)""")
+_SOME = [c for c in REQ if c != "description"]
+SQL["validate_on_write"] = on_dirty(f"""SELECT *, FALSE AS is_valid, 'description' AS missing_columns,
+  concat_ws(',', {", ".join(f"CASE WHEN null_{c} > n_rows * 0.1 THEN '{c}' END" for c in _SOME)}) AS high_null_columns FROM (
+  SELECT count(*) AS n_rows, {", ".join(f"count(*) FILTER (WHERE {c} IS NULL) AS null_{c}" for c in _SOME)},
+    count(*) FILTER (WHERE amount < 0) AS n_negative, count(*) FILTER (WHERE amount = 0) AS n_zero,
+    CAST(coalesce(sum(amount), 0) AS DOUBLE) AS total_amount, min(date) AS start_date, max(date) AS end_date FROM txn)""")
 SQL["check_not_empty"] = on_dirty("""SELECT account_id, coalesce(n, 0) AS n_rows, coalesce(n, 0) > 0 AS not_empty
   FROM (SELECT DISTINCT c_custkey AS account_id FROM customer)
   LEFT JOIN (SELECT account_id, count(*) AS n FROM txn GROUP BY 1) USING (account_id)""")
@@ -641,6 +691,25 @@ JOIN (SELECT account_id, string_agg(category || ' = ' || {money_txt('CAST(amount
 JOIN (SELECT account_id, string_agg(merchant || ' = ' || n, '; ' ORDER BY merchant) AS tops FROM ({TOP_MERCH}) GROUP BY 1)
   USING (account_id)""")
 
+# The fixed model answers by the prompt's number of payments: a failure, prose, or JSON with two of the prompt's lines.
+REVIEWED = f"""SELECT account_id, string_split(prompt, {NL}) AS lines,
+  CAST(regexp_extract(prompt, 'payments: ([0-9]+)', 1) AS BIGINT) AS n FROM (SELECT * FROM prompts)"""
+_JSON = """'{"key_insights": ["' || lines[2] || '", "' || lines[3] || '"], "additional_notes": "' || n || ' payments"}'"""
+SQL["score_prompts"] = f"""WITH prompts AS ({SQL["build_insight_prompt"]})
+SELECT account_id, CASE n % 3 WHEN 1 THEN 'I looked at ' || n || ' payments' WHEN 2 THEN {_JSON} END AS response,
+  CASE n % 3 WHEN 0 THEN 'ConnectionError' END AS model_error FROM ({REVIEWED})"""
+SQL["model_insights"] = f"""WITH src AS ({TXN}),
+{clean_ctes()},
+base AS ({BASE}),
+prompts AS ({SQL["build_insight_prompt"]}),
+reviewed AS ({REVIEWED})
+SELECT account_id, 'model_generated' AS source, 'key_insights' AS section, CAST(i AS INTEGER) AS seq, lines[i + 1] AS text
+  FROM reviewed, (VALUES (1), (2)) v(i) WHERE n % 3 = 2
+UNION ALL SELECT account_id, 'model_generated', 'additional_notes', 1, n || ' payments' FROM reviewed WHERE n % 3 = 2
+UNION ALL SELECT account_id, 'fallback', 'llm_analysis', 1, 'I looked at ' || n || ' payments' FROM reviewed WHERE n % 3 = 1
+UNION ALL SELECT account_id, 'rules', section, CAST(seq AS INTEGER), text FROM ({ALL_INSIGHTS})
+  WHERE account_id IN (SELECT account_id FROM reviewed WHERE n % 3 = 0)"""
+
 ANSWERS = """SELECT conv_id || '-' || turn AS answer_id, (conv_id + turn) % 5 AS kind, replace(replace(text, '{', ''), '}', '') AS prose,
   coalesce(trim(regexp_replace(text, '[^A-Za-z0-9 ]', '', 'g')), '') AS said FROM conversations"""
 RAW = """CASE kind WHEN 2 THEN '{"key_insights": ["' || said || '"' WHEN 3 THEN said WHEN 4 THEN prose END"""

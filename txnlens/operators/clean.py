@@ -24,8 +24,8 @@ def distinct_rows(df: DataFrame) -> DataFrame:
 
 
 def dedupe_near(df: DataFrame, keys: Sequence[str] = (), subset: Sequence[str] = NEAR_DUP_SUBSET,
-                order_by: Sequence[str] = ("line_no",)) -> DataFrame:
-    """Keep the first row (lowest ``order_by``, ties broken by the remaining
+                order_by: Sequence[str] = ("line_no",), ties: Sequence[str] | None = None) -> DataFrame:
+    """Keep the first row (lowest ``order_by``, ties broken by ``ties``, by default the remaining
     columns in order, nulls first) of each ``keys + subset`` group.
 
     ``row_number() == 1`` over the group: Spark plans it with a partial
@@ -34,7 +34,7 @@ def dedupe_near(df: DataFrame, keys: Sequence[str] = (), subset: Sequence[str] =
     Null group values compare equal.
     """
     group = [*keys, *[c for c in subset if c not in keys]]
-    rest = [c for c in df.columns if c not in group and c not in order_by]
+    rest = [c for c in (df.columns if ties is None else ties) if c not in group and c not in order_by]
     w = Window.partitionBy(*group).orderBy(*[F.col(c).asc_nulls_first() for c in (*order_by, *rest)])
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
 
@@ -143,12 +143,14 @@ def clean_transactions(df: DataFrame, keys: Sequence[str] = (), order_by: Sequen
 
     What depends on the description alone is computed below the dedupe shuffle:
     the description is one of its keys, and both sides of the frequency join
-    read that shuffle, so the text rules run once per row.  The dedupe runs
+    read that shuffle, so the text rules run once per row.  Ties of the dedupe are
+    broken by the source's columns only: what is derived from the description, a group
+    key, can't break one, and as no sort key it is pruned where a query doesn't read it.  The dedupe runs
     before ``abs`` so -50 and 50 stay different rows.  ``rejected_amounts``
     counts what the amount window drops.
     """
     out = with_category(with_merchant(with_description_clean(df)), vocabulary=vocabulary)
-    out = dedupe_near(out, keys, order_by=order_by)
+    out = dedupe_near(out, keys, order_by=order_by, ties=df.columns)
     out = filter_valid_amounts(abs_amount(out), cap)
     out = derive_time_features(out).withColumn("amount_range", amount_range("amount"))
     out = merchant_frequency(out, keys)

@@ -338,8 +338,35 @@ def pct_change(old: Column, new: Column) -> Column:
     return F.when(o == 0, F.lit(0.0)).otherwise((n - o) / o * 100)
 
 
+def calendar_category_change(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Month-over-month debit change per category, against the previous calendar month.
+
+    A category's months run from its own first debit month to its key's last one, without gaps: a
+    month without debits has amount 0, and the next month changes against that 0 (as ``pct_change``).
+    The months of a (key, category) are a ``sequence`` of its bounds joined to the monthly sums on key,
+    category and month; all of it works on the monthly aggregate.
+    """
+    group = [*keys, "category"]
+    month = F.trunc("datetime", "month").alias("month")
+    sums = filter_by_type(df, "debit").groupBy(*group, month).agg(F.sum("amount").alias("amount"))
+    bounds = sums.groupBy(*group).agg(F.min("month").alias("first"), F.max("month").alias("own_last"))
+    bounds = bounds.withColumn("last", F.max("own_last").over(_pb(keys)))
+    spine = bounds.select(*[F.col(c).alias(f"_s_{c}") for c in group],
+                          F.explode(F.sequence("first", "last", F.expr("interval 1 month"))).alias("_s_month"))
+    same = F.lit(True)
+    for c in (*group, "month"):
+        same = same & F.col(f"_s_{c}").eqNullSafe(F.col(c))
+    filled = spine.join(sums, same, "left").select(
+        *[F.col(f"_s_{c}").alias(c) for c in (*group, "month")],
+        F.coalesce("amount", F.lit(0).cast(schema.MONEY)).alias("amount"))
+    prev = F.lag("amount").over(Window.partitionBy(*group).orderBy("month"))
+    return filled.select(*group, month_year_key("month").alias("month_year"), "amount", prev.alias("prev_amount"),
+                         pct_change(prev, F.col("amount")).alias("pct_change"))
+
+
 def monthly_category_change(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Month-over-month debit change per category (window over the monthly aggregate)."""
+    """Debit change per category from the last month with debits (window over the monthly aggregate);
+    ``calendar_category_change`` compares with the previous calendar month."""
     m = (filter_by_type(df, "debit")
          .groupBy(*keys, "category", month_year_key("datetime").alias("month_year"))
          .agg(F.sum("amount").alias("amount")))

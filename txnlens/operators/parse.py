@@ -157,7 +157,7 @@ PARSERS: dict[str, Callable[..., dict[str, Column]]] = {
 }
 
 
-def _matches(text: Column, app: Column) -> Column:
+def statement_matches(text: Column, app: Column) -> Column:
     """Whole matches of the statement's layout, in text order."""
     generic_lines = F.filter(F.split(text, "\n", -1), lambda ln: ln.contains("₹"))
     expr = None
@@ -198,13 +198,20 @@ def match_statements(statements: DataFrame, id_col: str = "statement_id", app: s
     as_of = F.current_timestamp() if as_of is None else as_of
     app_col = F.lit(app) if app else detect_app("text")
     src = statements.select(id_col, *carry, "text", app_col.alias("app_source"), as_of.alias("_as_of"))
-    exploded = src.select(id_col, *carry, "app_source", "_as_of",
-                          F.posexplode(_matches(F.col("text"), F.col("app_source"))).alias("line_no", "_m"))
+    found = src.select(id_col, *carry, "app_source", "_as_of", F.lit(0).cast("bigint").alias("_offset"),
+                       statement_matches(F.col("text"), F.col("app_source")).alias("_matches"))
+    return match_rows(found, id_col, carry)
+
+
+def match_rows(found: DataFrame, id_col: str, carry: Sequence[str]) -> DataFrame:
+    """Rows ``(id, carry..., app_source, _as_of, _offset, _matches)`` -> a row per match, numbered from ``_offset``."""
+    exploded = found.select(id_col, *carry, "app_source", "_as_of", "_offset",
+                            F.posexplode("_matches").alias("line_no", "_m"))
     # the groups are staged as a column: one regex pass per match, read by every field
     exploded = exploded.withColumn("_p", _parts(F.col("_m"), F.col("app_source")))
     f = _fields(F.col("_m"), F.col("app_source"), F.col("_as_of"), F.col("_p"))
     rows = exploded.select(
-        id_col, *carry, F.col("line_no").cast("long").alias("line_no"),
+        id_col, *carry, (F.col("line_no") + F.col("_offset")).alias("line_no"),
         f["datetime"].alias("datetime"), f["description"].alias("description"),
         f["amount"].alias("amount"), f["transaction_type"].alias("transaction_type"), "app_source",
     )

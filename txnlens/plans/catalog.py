@@ -6,9 +6,12 @@ double (exact decimal sums cast once) so results compare across engines.
 
 from __future__ import annotations
 
+import functools
+import json
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,10 +20,13 @@ from .. import schema
 from ..functions import scalars as sc
 from ..functions import text as tx
 from ..operators import clean as cl
+from ..operators import dedupe_index as di
+from ..operators import long_statements as ls
 from ..operators import metrics as m
 from ..operators import parse as ps
 from ..operators import quality as q
 from ..operators import rules as r
+from ..operators import vocabulary as vo
 from ..session import remove_path, scratch_path
 from ..sources import files as fl
 from ..sources import fixtures as fx
@@ -101,20 +107,53 @@ def load_table(spark, d):
     return fl.load_table(spark, path, t.schema)
 
 
+def _saved(saved: bool, path: str) -> None:
+    if not saved:
+        raise OSError(f"{path} was not saved")
+
+
 @query
 def save_table(spark, d):
+    """The clean table put in the place of an older one, read back."""
     path, c = _Stored.path(spark, "clean", ".json"), out(clean(spark, d))
-    fl.save_table(c, path, "json")
+    _saved(fl.save_table(c.limit(0), path, "json"), path)
+    _saved(fl.save_table(c, path, "json"), path)
     return fl.load_table(spark, path, c.schema)
 
 
 @query
 def export_clean_csv(spark, d):
     path, c = _Stored.path(spark, "export", ".csv"), out(clean(spark, d))
-    fl.export_clean_csv(c, path)
+    _saved(fl.export_clean_csv(c, path), path)
     return fl.load_table(spark, path, c.schema)
 
 
+JSON_TURN = "conv_id bigint, turn bigint, said struct<role: string, text: string>, words array<string>"
+
+
+@query
+def load_json_array(spark, d):
+    """Conversation turns written as files of one JSON array each, read back; a row nests its text and its words."""
+    c = fx.table(spark, d, "conversations")
+    row = F.to_json(F.struct(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), F.struct("role", "text").alias("said"),
+                             F.split("text", " ").alias("words")))
+    path = _Stored.path(spark, "turns", ".json")
+    # a file's rows in order: its bracket, its objects and the closing bracket
+    def array_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mark = "["
+        for batch in batches:
+            lines = []
+            for value in batch.column(0).to_pylist():
+                lines.append(mark + value)
+                mark = ", "
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], ["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["]" if mark == ", " else "[]"])], ["value"])
+
+    c.select(row.alias("value")).mapInArrow(array_lines, "value string").write.text(path)
+    read = fl.load_table(spark, path, JSON_TURN, json_array=True)
+    return read.select("conv_id", "turn", "said.role", "said.text", F.array_join("words", "|").alias("words"))
+
+
 # --- 2.2 parsing ---------------------------------------------------------------
 
 @query
@@ -173,8 +212,17 @@ def parse_status(spark, d):
 
 @query
 def union_parsed(spark, d):
-    """Rows of all layouts as one table, from one pass over the statements."""
-    return _parsed_cols(ps.parse_statements(statements(spark, d), as_of=_as_of()))
+    """Rows of the layouts, each parsed by itself, as one table."""
+    st = statements(spark, d).withColumn("_app", ps.detect_app("text"))
+    parts = [ps.parse_statements(st.filter(F.col("_app") == app).drop("_app"), app=app, as_of=_as_of())
+             for app in (*ps.PARSERS, schema.GENERIC_APP)]
+    return _parsed_cols(functools.reduce(DataFrame.unionByName, parts))
+
+
+@query
+def parse_long_statements(spark, d):
+    """Statements cut into blocks of 16 lines, each parsed by a task of its own."""
+    return _parsed_cols(ls.parse_long_statements(statements(spark, d), as_of=_as_of(), block_lines=16))
 
 
 # --- 2.3 projections -------------------------------------------------------------
@@ -208,6 +256,21 @@ def categorize(spark, d):
     return _texts(spark, d).select("src", "id", tx.categorize(tx.clean_description("description")).alias("category"))
 
 
+def vocabulary(spark, d):
+    """Keyword rows from the benchmark's words of four letters and more and the names of parts; priorities repeat."""
+    words = fx.table(spark, d, "benchmark").select(F.explode(F.split(tx.clean_description("text"), " ")).alias("keyword"))
+    names = fx.table(spark, d, "part").select(F.lower("p_name").alias("keyword"))
+    rows = words.filter(F.length("keyword") >= 4).unionByName(names).distinct()
+    size = F.length("keyword")
+    return rows.select((size % 7).alias("priority"), F.concat(F.lit("group "), size).alias("category"), "keyword")
+
+
+@query
+def categorize_by_table(spark, d):
+    t = _texts(spark, d).select("src", "id", tx.clean_description("description").alias("description_clean"))
+    return vo.categorize_by_table(t, vocabulary(spark, d)).select("src", "id", "category")
+
+
 @query
 def derive_time_features(spark, d):
     return cl.derive_time_features(fx.txn(spark, d)).select("line_no", "hour", "day_of_month", "is_weekend")
@@ -339,6 +402,19 @@ def summary_stats(spark, d):
     return m.summary_long(clean(spark, d), K)
 
 
+@query
+def summary_maps(spark, d):
+    """The summary as one row per account; maps as their entries by name."""
+    s = m.summary_stats(clean(spark, d), K)
+    maps = ("categories", "top_merchants", "transaction_types")
+
+    def entries(c: str) -> F.Column:
+        by_name = F.array_sort(F.map_entries(c))
+        return F.array_join(F.transform(by_name, lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ";")
+
+    return out(s.withColumns({c: entries(c) for c in maps}))
+
+
 @query
 def category_spending(spark, d):
     return out(m.category_spending(clean(spark, d), K))
@@ -422,6 +498,22 @@ def dedupe_near(spark, d):
     return out(t.select("account_id", "line_no", "date", "amount", "description", "transaction_type"))
 
 
+@query
+def dedupe_near_batches(spark, d):
+    """Transactions in four batches by line number against a stored index; the second one arrives twice."""
+    t = fx.txn_dirty(spark, d).select("account_id", "line_no", "date", "amount", "description", "transaction_type", "statement_id",
+                                      "datetime", "app_source", "month", "year")
+    bounds = t.agg(F.min("line_no").alias("lo"), F.max("line_no").alias("hi")).first()
+    lo, span = bounds["lo"] or 0, (bounds["hi"] or 0) - (bounds["lo"] or 0) + 1
+    index, kept = _Stored.path(spark, "dedupe-index", ""), _Stored.path(spark, "dedupe-kept", "")
+    columns = ("account_id", "line_no", "date", "amount", "description", "transaction_type")
+    for batch in (0, 1, 2, 1, 3):
+        part = t.filter(F.expr(f"(line_no - {lo}) * 4 div {span}") == batch)
+        fresh = di.dedupe_batch(part, index, batch, K, buckets=8)
+        out(fresh.select(*columns)).write.mode("overwrite").parquet(f"{kept}/{di.BATCH}={batch}")
+    return spark.read.parquet(kept).select(*columns)
+
+
 @query
 def recurring_merchants(spark, d):
     return m.recurring_merchants(clean(spark, d), K)
@@ -432,6 +524,11 @@ def pct_change(spark, d):
     return out(m.monthly_category_change(clean_big(spark, d), K))
 
 
+@query
+def pct_change_calendar(spark, d):
+    return out(m.calendar_category_change(clean_big(spark, d), K))
+
+
 # --- 2.8 sorts and top-k -------------------------------------------------------------------------
 
 @query
@@ -529,6 +626,17 @@ def validate_transactions(spark, d):
                .withColumn("high_null_columns", F.array_join("high_null_columns", ",")))
 
 
+@query
+def validate_on_write(spark, d):
+    """One row for the whole table, gathered while it is written; the descriptions column is absent."""
+    t = fx.txn_dirty(spark, d).drop("description")
+    watched, seen = q.observed_validation(t)
+    watched.write.parquet(_Stored.path(spark, "validated", ""))
+    v = q.observed_result(spark, t, seen)
+    return out(v.withColumn("missing_columns", F.array_join("missing_columns", ","))
+               .withColumn("high_null_columns", F.array_join("high_null_columns", ",")))
+
+
 @query
 def check_not_empty(spark, d):
     """Every customer is expected to have transactions."""
@@ -634,6 +742,30 @@ def parse_insight_response(spark, d):
                          "additional_notes", "llm_analysis", "insights_type")
 
 
+def review(prompts: list[str]) -> list[str | Exception]:
+    """A fixed model: by the number of payments it fails, answers in prose, or answers in JSON with two of the prompt's lines."""
+    answers = []
+    for prompt in prompts:
+        lines = prompt.split("\n")
+        number = int(next(x for x in lines if x.startswith("payments: ")).removeprefix("payments: "))
+        answers.append(ConnectionError() if number % 3 == 0 else f"I looked at {number} payments" if number % 3 == 1 else
+                       json.dumps({"key_insights": [lines[1], lines[2]], "additional_notes": f"{number} payments"}, ensure_ascii=False))
+    return answers
+
+
+@query
+def score_prompts(spark, d):
+    """Answers to every account's prompt; calls fail for some accounts."""
+    return r.score_prompts(r.build_insight_prompt(clean(spark, d), K), review, K, batch=32)
+
+
+@query
+def model_insights(spark, d):
+    """Insights of every account: parsed answers, and the rules' where the call failed."""
+    parsed, rule = r.model_insights(clean(spark, d), review, K, batch=32)
+    return r.insight_rows(parsed, rule, K)
+
+
 @query
 def format_advice(spark, d):
     return r.format_advice(r.rule_based_insights(clean_dirty(spark, d), K), K)
