@@ -41,14 +41,19 @@ def write(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of plans that no one holds any more: its cleaner learns of them by a collection on the driver."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop(table: DataFrame) -> None:
-    """Remove a table that ``write`` made, once nothing reads it any more; let shuffles no plan holds be cleaned up."""
+    """Remove a table that ``write`` made, once nothing reads it any more, and shuffles that no plan holds."""
     spark = table.sparkSession
     jvm = spark.sparkContext._jvm
     for file in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
         target = jvm.org.apache.hadoop.fs.Path(file)
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    jvm.System.gc()
+    tidy(spark)
 
 
 def clear(spark: SparkSession) -> None:
