@@ -76,3 +76,15 @@ def test_overlap_is_the_multiset_jaccard():
     b = (np.array([2, 5, 9], np.uint64), np.array([3, 1, 1]))
     assert bm.overlap(a, b) == 2 / 10
     assert bm.overlap((a[0][:0], a[1][:0]), (a[0][:0], a[1][:0])) == 0.0
+
+
+def test_slices_hold_no_more_texts_than_numbers():
+    """70,000 short texts in one batch: bags of different texts stay apart."""
+    from txnlens.llm.near_dedup import text_bags
+
+    batch = pa.RecordBatch.from_arrays([pa.array([f"w{i}" for i in range(70_000)])], ["text"])
+    parts = list(tx.slices(iter([batch]), "text"))
+    assert [p.num_rows for p in parts] == [65_536, 70_000 - 65_536]
+    for p in parts:
+        owner, value, weight = text_bags(tx.words(p.column("text")), 5)
+        assert len(np.unique(owner)) == len(np.unique(value)) == p.num_rows and (weight == 1).all()

@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 
 BLOCK = 1 << 19          # bytes hashed at a time
 SLICE = 1 << 21          # bytes of text handed to an operator at a time
+ROWS = 1 << 16           # and texts at most: operators keep a text's number in 16 bits
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _U = np.uint64
 
@@ -172,12 +173,12 @@ def sequence_hash(w: Words) -> np.ndarray:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE) -> Iterator[pa.RecordBatch]:
-    """The same rows in record batches of about ``limit`` text bytes (one text at least)."""
+    """The same rows in record batches of about ``limit`` text bytes (one text at least) and at most ``ROWS`` texts."""
     for batch in batches:
         size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
         i = 0
         while i < batch.num_rows:
             before = size[i - 1] if i else 0
-            j = max(i + 1, int(np.searchsorted(size, before + limit, side="right")))
+            j = min(i + ROWS, max(i + 1, int(np.searchsorted(size, before + limit, side="right"))))
             yield batch.slice(i, j - i)
             i = j
