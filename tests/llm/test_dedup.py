@@ -156,6 +156,65 @@ def test_chained_edits_equal_brute_force(spark):
     assert sorted(sorted(g) for g in got.values()) == brute_classes(rows)
 
 
+def test_prefixes_of_linked_texts_meet(spark):
+    """Every pair at the threshold or over it shares a token that is in the smaller one's post and the larger one's probe."""
+    r = random.Random(4)
+    base = words(90, 40) + ["again"] * 12
+    texts = [" ".join(base)]
+    for _ in range(60):
+        w = list(base)
+        for _ in range(r.randrange(1, 9)):
+            k = r.randrange(len(w))
+            w[k:k + r.randrange(2)] = [f"e{r.randrange(40)}"] * r.randrange(2)
+        texts.append(" ".join(w))
+    bags = [bag(t) for t in texts]
+    sizes = [sum(b.values()) for b in bags]
+    rows = [x for out in near_dedup.tokens(iter([pa.record_batch({"node": pa.array(range(len(texts)), pa.int64()), "text": texts})]))
+            for x in zip(out.column("node").to_pylist(), out.column("token").to_pylist(), strict=True)]
+    made = near_dedup.posts(spark.createDataFrame(rows, "node bigint, token bigint"),
+                            spark.createDataFrame([(k, n, k) for k, n in enumerate(sizes)], "node bigint, size bigint, component bigint"))
+    post, probe = collections.defaultdict(set), collections.defaultdict(set)
+    for x in made.collect():
+        (probe if x["probe"] else post)[x["node"]].add((x["token"], x["band"]))
+    linked = apart = 0
+    for i in range(len(texts)):
+        for j in range(len(texts)):
+            if i != j and sizes[i] <= sizes[j]:
+                link = jaccard(bags[i], bags[j]) >= 0.8
+                linked, apart = linked + link, apart + (not link and not post[i] & probe[j])
+                assert not link or post[i] & probe[j]
+    assert linked > 20 and apart > 20
+
+
+def test_a_family_under_the_threshold_gives_candidates_in_proportion(spark, monkeypatch):
+    """Copies of one text whose own edits keep them under 0.8 to it and to each other: no pairs of all with all."""
+    base = words(150, 77)
+    made = {}
+
+    def counting(df, name):
+        out = scratch.write(df, name)
+        made[name] = made.get(name, 0) + (out.count() if name in ("candidates", "posts") else 0)
+        return out
+
+    monkeypatch.setattr(near_dedup, "write", counting)
+
+    def run(n):
+        made.clear()
+        rows = [(0, " ".join(base))]
+        for k in range(1, n):
+            r, w = random.Random(k), list(base)
+            for at in range(3, 150, 40 if k % 3 == 0 else 29):          # 4 or 6 edits of 5 shingles each
+                w[min(149, at + r.randrange(20))] = f"e{k}x{at}"
+            rows.append((k, " ".join(w)))
+        out = near_dedup.near_duplicates(frame(spark, rows)).collect()
+        near = [k for k, t in rows if jaccard(bag(t), bag(rows[0][1])) >= 0.8]
+        assert sorted(x["id"] for x in out if x["class_id"] == 0) == near and len(near) < n
+        return made["candidates"], made["posts"]
+
+    few, many = run(500), run(2000)
+    assert many[0] <= 6 * few[0] and many[1] <= 6 * few[1]              # four times the members; all pairs: 16 times
+
+
 def test_near_duplicates_of_an_empty_table(spark):
     assert near_dedup.near_duplicates(frame(spark, [])).count() == 0
     assert near_dedup.keep_one(frame(spark, [])).count() == 0
