@@ -221,3 +221,36 @@ def test_plan_places_every_piece_once(histogram):
     for length in histogram:
         own = places[places[:, 0] == length]
         assert own[0, 1] == 0 and (np.diff(own[:, 1]) > 0).all()
+
+
+def brute_shortest_pack_first(histogram, limit):
+    """Fill of every pack, piece by piece."""
+    fill = []
+    for length in sorted(histogram, reverse=True):
+        for _ in range(histogram[length]):
+            at = min(range(len(fill)), key=fill.__getitem__, default=None)
+            if at is not None and fill[at] + length <= limit:
+                fill[at] += length
+            else:
+                fill.append(length)
+    return collections.Counter(fill)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.dictionaries(st.integers(1, 64), st.integers(1, 25), max_size=25))
+def test_plan_equals_shortest_pack_first(histogram):
+    got = collections.Counter()
+    for pattern, count in packing.plan(histogram, 64):
+        got[sum(length * copies for length, copies in pattern)] += count
+    assert got == brute_shortest_pack_first(histogram, 64)
+
+
+def test_each_pack_takes_one_piece_before_the_next():
+    assert packing.plan({1100: 3, 300: 3}) == [([(1100, 1), (300, 1)], 3)]
+
+
+def test_rows_alike_are_dealt_over_the_parts(spark):
+    rows = [(None, None)] * 3000 + [(1, "one two")]
+    out = packing.pack(packing.tokenize(docs(spark, rows))).collect()
+    assert len(out) == 3001 and len({(r["sequence_id"], r["offset"]) for r in out}) == 3001
+    assert len({r["sequence_id"] for r in out}) == 2

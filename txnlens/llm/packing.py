@@ -153,8 +153,9 @@ def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", to
 def plan(histogram: dict[int, int], max_length: int = MAX_LENGTH) -> list[tuple[list[tuple[int, int]], int]]:
     """Packing patterns ([(length, copies), ...], packs of that pattern) by shortest pack first.
 
-    Lengths are placed longest first.  Pieces of a length go to the shortest packs so far, each of
-    which then takes as many of them as fit; what is left opens new packs.
+    Lengths are placed longest first, each piece in the shortest pack so far; where it does not fit
+    there it opens a pack.  Packs of one pattern take their next piece together, so the work depends
+    on the histogram's lengths, not on its counts.
     """
     packs: dict[int, list[tuple[list[tuple[int, int]], int]]] = {}
     room: list[int] = []
@@ -171,29 +172,28 @@ def plan(histogram: dict[int, int], max_length: int = MAX_LENGTH) -> list[tuple[
             heapq.heappush(room, -free)
         packs[free].append((pattern, count))
 
-    def fill(pattern, count, free, length, n):
-        """Deal ``n`` pieces to ``count`` packs; returns the pieces that are left."""
-        each = free // length
-        full = min(count, n // each)
-        left = n - full * each
-        put([*pattern, (length, each)], full, free - each * length)
-        count -= full
-        if count and left:
-            put([*pattern, (length, left)], 1, free - left * length)
-            count, left = count - 1, 0
-        put(pattern, count, free)
-        return left
+    def grown(pattern, length):
+        if pattern and pattern[-1][0] == length:
+            return [*pattern[:-1], (length, pattern[-1][1] + 1)]
+        return [*pattern, (length, 1)]
 
     for length in sorted(histogram, reverse=True):
         n = histogram[length]
         while n:
-            while room and not packs.get(-room[0]):
-                packs.pop(-heapq.heappop(room), None)
+            while room and not packs[-room[0]]:
+                del packs[-heapq.heappop(room)]
             if room and -room[0] >= length:
-                pattern, count = packs[-room[0]].pop()
-                n = fill(pattern, count, -room[0], length, n)
-            else:
-                n = fill([], -(-n // (max_length // length)), max_length, length, n)
+                free = -room[0]
+                pattern, count = packs[free].pop()
+                take = min(count, n)
+                put(pattern, count - take, free)
+                put(grown(pattern, length), take, free - length)
+                n -= take
+            else:       # a new pack stays the only one with room for this length until it has none
+                each = max_length // length
+                put([(length, each)], n // each, max_length - each * length)
+                put([(length, n % each)] if n % each else [], int(n % each > 0), max_length - n % each * length)
+                n = 0
     return closed + [x for kept in packs.values() for x in kept]
 
 
@@ -238,13 +238,14 @@ def pack(pieces: DataFrame, max_length: int = MAX_LENGTH) -> DataFrame:
     """``pieces`` (doc_id, start, length, ...) with the sequence_id and offset of each.
 
     The rank of a piece among those of its length comes from counts for each (length, part), so no
-    task orders all pieces of a length; parts hold about ``PIECES_PER_PART`` pieces.
+    task orders all pieces of a length; parts hold about ``PIECES_PER_PART`` pieces.  The place in its
+    stored file deals rows that are alike in everything else over the parts too.
     """
     stored = write(pieces, "pieces")
     spark = stored.sparkSession
     n = stored.count()
     parts = max(64, -(-n // PIECES_PER_PART))
-    dealt = stored.withColumn("part", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(parts)))
+    dealt = stored.withColumn("part", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "_metadata.row_index"), F.lit(parts)))
     counts = write(dealt.groupBy("length", "part").agg(F.count("*").alias("n")), "lengths")
     histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}    # max_length rows at most
     sent = spark.sparkContext.broadcast(places(plan(histogram, max_length)))
