@@ -269,6 +269,35 @@ def test_index_persists_and_is_joined_without_shuffling_it(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_a_batch_that_comes_again_gets_the_same_answer(spark):
+    index = exact_dedup.DigestIndex(spark, scratch.new_path(spark, "index"), "bigint", 4).open()
+    exact_dedup.dedup_batch(frame(spark, [(1, "one"), (2, "two")]), index, "b1")
+    batch = [(7, "t wo"), (8, "three"), (9, "thr ee"), (10, None)]
+    first = sorted(map(tuple, exact_dedup.dedup_batch(frame(spark, batch), index, "b2").collect()), key=str)
+    stored = sorted(map(tuple, index.table().collect()))
+    again = sorted(map(tuple, exact_dedup.dedup_batch(frame(spark, batch), index, "b2").collect()), key=str)
+    assert first == again and sorted(map(tuple, index.table().collect())) == stored
+    # an append that was cut off: only a part of the batch is in the index
+    part = exact_dedup.DigestIndex(spark, scratch.new_path(spark, "index"), "bigint", 4).open()
+    part.append(index.table().filter("batch = 'b1' or keep_id = 10"))
+    assert sorted(map(tuple, exact_dedup.dedup_batch(frame(spark, batch), part, "b2").collect()), key=str) == first
+    assert sorted(map(tuple, part.table().collect())) == stored
+
+
+def test_indexes_in_folders_of_one_name_are_apart(spark):
+    a, b = (exact_dedup.DigestIndex(spark, scratch.new_path(spark, x) + "/index", "bigint", 4).open() for x in "ab")
+    assert a.name != b.name
+    exact_dedup.dedup_batch(frame(spark, [(1, "one")]), a, "b1")
+    out = exact_dedup.dedup_batch(frame(spark, [(2, "one")]), b, "b1").collect()
+    assert out[0]["kept"] and a.table().count() == b.table().count() == 1
+
+
+def test_a_fresh_index_leaves_no_name_behind(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    exact_dedup.dedup(frame(spark, [(1, "one")])).collect()
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
 def test_exact_dedup_equals_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF_SMALL}/documents.parquet'")

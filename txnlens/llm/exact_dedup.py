@@ -5,6 +5,10 @@ A batch is grouped by digest, anti-joined with the index bucket by bucket (both
 distributed and sorted by digest, the index is neither shuffled nor sorted again) and its new
 texts are appended.  Only digests move; texts never leave the scan.
 
+A batch that comes again under its name (a job restarted after its append, or in the midst of it)
+gets the same answer again: its own rows in the index count as not seen, and only those that are
+not there yet are appended.
+
 Texts are equal if they are identical after deleting blanks ([\\x20\\x09-\\x0D]); null counts as
 empty.  Of equal rows in a batch the one with most code points, then the smallest id (null last)
 stays; of rows that are wholly alike, one.  A text that the index holds already keeps nothing.
@@ -12,6 +16,7 @@ stays; of rows that are wholly alike, one.  A text that the index holds already
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +24,8 @@ from pyspark.sql import functions as F
 
 from .scratch import new_path, write
 
-BUCKETS = 32
+BUCKETS = 32             # of an index at least
+ROWS_PER_BUCKET = 4_000_000
 BLANKS = " \t\n\x0b\x0c\r"
 
 
@@ -30,7 +36,7 @@ def digest(text):
 
 @dataclass
 class DigestIndex:
-    """A bucketed table at ``path``, known to the session's catalog as ``name``."""
+    """A bucketed table at ``path``, known to the session's catalog as ``name``; choose ``buckets`` for the rows it will hold."""
 
     spark: SparkSession
     path: str
@@ -39,7 +45,7 @@ class DigestIndex:
 
     @property
     def name(self) -> str:
-        return "digests_" + "".join(c if c.isalnum() else "_" for c in self.path.rsplit("/", 1)[-1])
+        return "digests_" + hashlib.sha256(self.path.rstrip("/").encode()).hexdigest()[:32]
 
     def open(self) -> DigestIndex:
         """Make the table, or find the one that an earlier session left at ``path``."""
@@ -48,6 +54,10 @@ class DigestIndex:
             f"USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}'")
         return self
 
+    def close(self) -> None:
+        """Forget the name; the files stay."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
 
@@ -65,7 +75,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def dedup_batch(docs: DataFrame, index: DigestIndex, batch: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Deduplicate ``docs`` against ``index`` and append what is new.
+    """Deduplicate ``docs`` against the other batches of ``index`` and append what is new; a repeat of ``batch`` changes nothing.
 
     Returns a row per row of ``docs``: doc_id, keep_id, group_size (equal rows of the batch), kept,
     text_sha256, n_chars, n_alike (rows of the batch alike in id, digest and n_chars).
@@ -76,7 +86,8 @@ def dedup_batch(docs: DataFrame, index: DigestIndex, batch: str, id_col: str = "
     groups = alike.groupBy("digest").agg(best.alias("best"), F.sum("n_alike").alias("group_size"))
     groups = write(groups.select("digest", F.col("best.doc_id").alias("keep_id"), (-F.col("best.less")).alias("n_chars"),
                                  "group_size"), "groups")
-    known = write(groups.select("digest").join(index.table().select("digest", F.col("keep_id").alias("known_id")), "digest")
+    others = index.table().filter(~F.col("batch").eqNullSafe(F.lit(batch)))
+    known = write(groups.select("digest").join(others.select("digest", F.col("keep_id").alias("known_id")), "digest")
                   .groupBy("digest").agg(F.min("known_id").alias("known_id")), "known")
     new = groups.join(index.table(), "digest", "left_anti")
     index.append(new.withColumn("batch", F.lit(batch)))
@@ -89,14 +100,18 @@ def dedup_batch(docs: DataFrame, index: DigestIndex, batch: str, id_col: str = "
                     F.lower(F.hex("digest")).alias("text_sha256"), "n_chars", "n_alike"))
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> DataFrame:
-    """``dedup_batch`` of one batch against a fresh index."""
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
+    """``dedup_batch`` of one batch against a fresh index, by default of a bucket per ``ROWS_PER_BUCKET`` rows and at least ``BUCKETS``."""
     spark = docs.sparkSession
+    buckets = buckets or max(BUCKETS, -(-docs.count() // ROWS_PER_BUCKET))
     index = DigestIndex(spark, new_path(spark, "index"), docs.schema[id_col].dataType.simpleString(), buckets).open()
-    return dedup_batch(docs, index, "first", id_col, text_col)
+    try:
+        return dedup_batch(docs, index, "first", id_col, text_col)
+    finally:
+        index.close()
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> DataFrame:
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
     """``docs`` without the rows that ``dedup`` drops; columns as they were."""
     fate = dedup(docs, id_col, text_col, buckets)
     keys = write(fate.filter("kept").select("doc_id", "text_sha256", "n_chars", "n_alike"), "kept")
