@@ -360,6 +360,24 @@ def test_passage_before_a_frequent_line_equals_brute_force(spark):
     assert sorted(((r["doc_id"], r["start_word"], r["end_word"]) for r in out), key=str) == brute_passages(rows, 50)
 
 
+@pytest.mark.parametrize("near", [1, 3])
+def test_passages_of_mixed_rare_and_frequent_anchors_equal_brute_force(spark, near):
+    """Passages made of lines that two to twenty documents hold, in all orders, some across a line's edge."""
+    r = random.Random(near)
+    lines = [words(r.randint(12, 60), 40_000 + k) for k in range(30)]
+    rows = []
+    for k in range(120):
+        text = words(r.randint(0, 40), 50_000 + k)
+        for _ in range(4):
+            line = lines[min(int(r.expovariate(0.15)), 29)]
+            cut = r.choice([0, 0, r.randrange(len(line))])
+            text = text + line[cut:] + words(r.choice([0, 0, 5]), r.randrange(10**6))
+        rows.append((k, " ".join(text)))
+    out = suffix_dedup.repeated_passages(frame(spark, rows), near=near).collect()
+    want = brute_passages(rows, 50)
+    assert want and sorted(((r["doc_id"], r["start_word"], r["end_word"]) for r in out), key=str) == want
+
+
 def test_passages_of_small_documents_equal_brute_force(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text").collect()]
     got = sorted(((r["doc_id"], r["start_word"], r["end_word"]) for r in QUERIES["op8_repeated_passages"](spark, SF_SMALL).collect()), key=str)

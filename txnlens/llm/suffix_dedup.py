@@ -9,9 +9,11 @@
 4. The common prefix, extended to the left by the common words before the anchors, is a repeated
    passage if it has ``least`` words.  Passages of a text that overlap are joined, so a long one
    is found whole, anchor by anchor.
-5. Partners that are no neighbours in that order: every run of ``least`` words that holds such an
-   anchor is hashed, and runs of a hash that occurs in more than one place are passages.  Equal runs
-   hold the same anchors, so none is left out.
+5. Partners that are no neighbours in that order: a k-gram in at most ``near + 1`` places has all its
+   suffixes within ``near`` of each other, so the comparison is complete for it.  That leaves runs of
+   ``least`` words whose every minimiser (of the windows that lie within the run, which are the same
+   in each of its places) is of a k-gram in more places.  Those runs are hashed, and runs of a hash
+   that occurs in more than one place are passages.
 
 Equal texts are one suffix owner; each text with copies and ``least`` words is a passage as a whole.
 Null and shorter texts have no passage.  Repeated rows are copies.  Null ids are allowed.
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .scratch import write
+from .scratch import drop, write
 
 LEAST, GRAM, WINDOW, NEAR = 50, 8, 32, 8
 WORD_BYTES = 3
@@ -108,24 +110,28 @@ def _suffixes(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Reco
                                           pa.array(before, pa.binary())], ["owner", "place", "after", "before"])
 
 
-def _windows(batches: Iterator[pa.RecordBatch], least: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """(owner, text, places) -> (owner, start, window): hash of every run of ``least`` words that holds an anchor's k-gram."""
+def _windows(batches: Iterator[pa.RecordBatch], least: int, gram: int, window: int) -> Iterator[pa.RecordBatch]:
+    """(owner, text, frequent) -> (owner, start, window, ends): hashes of every run of ``least`` words whose minimisers
+    all stand at frequent places: of its words, and of its first and last k-grams."""
+    inner = least - gram + 2 - window        # windows of k-grams within a run
     for batch in tx.slices(batches, "text"):
         w = tx.words(batch.column("text"))
-        value, at = tx.shingles(w, least)
-        edge = np.zeros(len(w.hash) + 2, dtype=np.int64)
-        for i, places in enumerate(batch.column("places").to_pylist()):
-            lo, hi = int(w.first[i]), int(w.first[i + 1])
-            place = lo + np.array(places, dtype=np.int64)
-            place = place[place < hi]    # else of another text with the same 64-bit key
-            np.add.at(edge, np.maximum(place + gram - least, lo), 1)
-            np.add.at(edge, place + 1, -1)
-        held = np.cumsum(edge)[at] > 0
-        value, at = value[held], at[held]
-        text = tx.text_of(w, at)
+        grams, at = tx.shingles(w, gram)
+        runs, start = tx.shingles(w, least)
+        often = np.zeros(len(w.hash) + 1, dtype=bool)
+        for i, places in enumerate(batch.column("frequent").to_pylist()):
+            place = w.first[i] + np.array(places, dtype=np.int64)
+            often[place[place < w.first[i + 1]]] = True      # else of another text with the same 64-bit key
+        other = np.concatenate(([0], np.cumsum(~often[at[_sliding_argmin(grams, window)]]))) if len(grams) else np.zeros(1, np.int64)
+        first = np.searchsorted(at, start)
+        keep = other[np.minimum(first + inner, len(other) - 1)] == other[first]
+        runs, start, first = runs[keep], start[keep], first[keep]
+        text = tx.text_of(w, start)
+        ends = tx.mix(grams[first]) ^ grams[first + least - gram]
         owner = batch.column("owner").to_numpy(zero_copy_only=False).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(owner[text], pa.int64()), pa.array((at - w.first[text]).astype(np.int32)),
-                                          pa.array(value.view(np.int64))], ["owner", "start", "window"])
+        yield pa.RecordBatch.from_arrays([pa.array(owner[text], pa.int64()), pa.array((start - w.first[text]).astype(np.int32)),
+                                          pa.array(runs.view(np.int64)), pa.array(ends.view(np.int64))],
+                                         ["owner", "start", "window", "ends"])
 
 
 def _words_matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -238,10 +244,14 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     posts = found.filter(F.col("n_words") >= least).select("owner", F.explode(F.arrays_zip("grams", "places")).alias("at")) \
         .select("owner", F.col("at.grams").alias("gram"), F.col("at.places").alias("place"))
     spot = F.xxhash64("owner", "place")
-    often = write(posts.groupBy("gram").agg(F.min(spot).alias("a"), F.max(spot).alias("b")).filter("a != b").select("gram"), "grams")
-    places = (posts.join(often, "gram").select("owner", "place").distinct()
-              .groupBy("owner").agg(F.collect_list("place").alias("places")))
-    places = write(places.join(owners, "owner").select(F.col("owner").alias("its"), "first_id", "places", "copies"), "places")
+    often = write(posts.groupBy("gram").agg(F.min(spot).alias("a"), F.max(spot).alias("b"), F.count("*").alias("n"))
+                  .filter("a != b").select("gram", (F.col("n") > near + 1).alias("frequent")), "grams")
+    places = (posts.join(often, "gram").select("owner", "place", "frequent").distinct()
+              .groupBy("owner").agg(F.collect_list("place").alias("places"),
+                                    F.collect_list(F.when(F.col("frequent"), F.col("place"))).alias("frequent")))
+    places = write(places.join(owners, "owner").select(F.col("owner").alias("its"), "first_id", "places", "frequent", "copies"), "places")
+    ids = write(found.select("id", "owner"), "ids")
+    drop(found)
     own = rows.join(places, (rows["owner"] == places["its"]) & rows["id"].eqNullSafe(places["first_id"]))
     own = own.filter("copies = 1").unionByName(own.filter("copies > 1").dropDuplicates(["owner"]))    # an id may repeat
     suffixes = write(own.select("owner", "text", "places")
@@ -249,26 +259,29 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     order = ["after", "before", "owner", "place"]
     compared = write(suffixes.repartitionByRange(*order).sortWithinPartitions(*order)
                      .mapInArrow(lambda it: _neighbours(it, least, near), _FOUND), "compared")
+    drop(suffixes)
     edges = compared.filter("edge is not null").select("part", "edge", *_SUFFIX).collect()    # 2 * near rows a partition
     across = _across(edges, least, near)
     spans = (compared.filter("edge is null").select("owner", "start", "end", "other")
              .unionByName(spark.createDataFrame(across, "owner bigint, start bigint, end bigint, other bigint")))
-    windows = write(own.select("owner", "text", "places")
-                    .mapInArrow(lambda it: _windows(it, least, gram), "owner bigint, start int, window bigint"), "windows")
+    windows = write(own.filter(F.size("frequent") > 0).select("owner", "text", "frequent")
+                    .mapInArrow(lambda it: _windows(it, least, gram, window), "owner bigint, start int, window bigint, ends bigint"), "windows")
     at = F.xxhash64("owner", "start")
-    again = write(windows.groupBy("window").agg(F.min(at).alias("a"), F.max(at).alias("b"), F.min("owner").alias("low"),
-                                                F.max("owner").alias("high"))
-                  .filter("a != b").select("window", "low", "high"), "repeated")
-    equal = windows.join(again, "window").select(
+    again = write(windows.groupBy("window", "ends").agg(F.min(at).alias("a"), F.max(at).alias("b"), F.min("owner").alias("low"),
+                                                        F.max("owner").alias("high"))
+                  .filter("a != b").select("window", "ends", "low", "high"), "repeated")
+    equal = windows.join(again, ["window", "ends"]).select(
         "owner", F.col("start").cast("bigint").alias("start"), (F.col("start") + least).cast("bigint").alias("end"),
         F.when(F.col("owner") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("other"))
     spans = spans.unionByName(equal)
     whole = (owners.filter((F.col("copies") > 1) & (F.col("n_words") >= least))
              .select("owner", F.lit(0).cast("bigint").alias("start"), F.col("n_words").alias("end"), F.col("owner").alias("other")))
     merged = write(_merge(spans.unionByName(whole)), "spans")
+    drop(compared)
+    drop(windows)
     partner = owners.select(F.col("owner").alias("other"), F.col("first_id").alias("other_id"))
     named = write(merged.join(partner, "other"), "named")
-    return (found.select("id", "owner").join(named, "owner")
+    return (ids.join(named, "owner")
             .select(F.col("id").alias("doc_id"), F.col("start").alias("start_word"), F.col("end").alias("end_word"),
                     (F.col("end") - F.col("start")).alias("n_words"), "other_id"))
 
