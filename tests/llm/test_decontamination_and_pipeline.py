@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from conftest import SF_SMALL
@@ -111,6 +112,40 @@ def test_query_finds_what_brute_force_finds(spark):
                 assert (d, i) in got
 
 
+@pytest.mark.parametrize("length", [4, 7, 15, 16, 20, 30, 60])
+def test_edited_copies_at_every_rate_are_found(spark, length):
+    """Every copy whose Smith-Waterman score reaches the threshold is found, however its changed or missing words are spread."""
+    items, docs, r = [], [], random.Random(length)
+    for k in range(60):
+        item = words(length, 1000 * length + k)
+        items.append((k, " ".join(item)))
+        copy = list(item)
+        step = 3 + k % 4
+        if k % 3 == 0:
+            copy = [f"x{r.random()}" if i % step == step - 1 else x for i, x in enumerate(copy)]
+        elif k % 3 == 1:
+            copy = [x for i, x in enumerate(copy) if i % step != step - 1]
+        else:
+            copy = [f"x{r.random()}" if r.random() < 1 / step else x for x in copy]
+        docs.append((k, " ".join(words(50, 9 * k) + copy + words(50, 9 * k + 1)), 1.5, 9))
+    want = set()
+    for (k, item), (_, text, _, _) in zip(items, docs, strict=True):
+        a, b = (tx.words(pa.array([t])).hash for t in (item, text))
+        if dc.smith_waterman(a, b.reshape(1, -1))[0][0] >= dc.THRESHOLD * dc.MATCH * length:
+            want.add((k, k))
+    assert len(want) > 30
+    rows = dc.contaminated(spark.createDataFrame(docs, "doc_id bigint, text string, score double, item_id int"),
+                           spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in rows} == want
+
+
+def test_items_of_other_id_types(spark, cases):
+    docs, items = frames(spark, cases)
+    for key in ("cast(item_id as smallint)", "cast(item_id as decimal(9,2))", "cast(item_id as double)",
+                "date_add(date'2020-01-01', cast(item_id as int))"):
+        assert dc.contaminated(docs, items.withColumn("item_id", F.expr(key))).count() == 7
+
+
 # --- pipeline ---
 
 def test_stages_are_in_order_and_keep_columns(spark):

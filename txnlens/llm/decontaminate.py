@@ -1,10 +1,14 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
 
 1. Every word n-gram of the benchmark gets its document frequency over all documents.
-2. Of every ``window`` neighbouring n-grams of an item the rarest becomes a seed.  Any stretch of
-   ``n + window - 1`` unchanged words of an item therefore holds a seed, however common its words.
-3. Documents are read once more; where a seed occurs, the passage around it is aligned with the
-   item.  The score is the Smith-Waterman score over that of the whole item matched exactly, so
+2. Seeds.  Of every ``window`` neighbouring n-grams of an item the rarest: any stretch of
+   ``n + window - 1`` unchanged words holds one, however common its words.  And the rarest word pairs
+   of the item, all but as many as an alignment over the threshold must hold, less one: whichever
+   words are changed or missing, one of these pairs is left as it was.  That holds for items of 4 words
+   or more at a threshold of 0.5; words added between more than two thirds of an item's words can
+   still hide it.
+3. Documents are read once more; where a seed occurs and the passage around it has as many of the
+   item's words as the threshold takes, the passage is aligned with the item.  The score is the Smith-Waterman score over that of the whole item matched exactly, so
    copies with changed, added or missing words score a little below 1.
 
 The benchmark is taken in blocks of at most about ``block_bytes`` of text; only a block's seeds
@@ -15,6 +19,7 @@ repeated rows are reported once each.  Items shorter than ``n`` words are seeded
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,12 +27,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import text as tx
 
 N, WINDOW, THRESHOLD, BLOCK_BYTES = 3, 4, 0.5, 4 << 20
 MATCH, MISMATCH, GAP = 2, -1, -1
 CELLS = 1 << 21          # alignment cells computed at a time
+PAIR = 2
 
 
 @dataclass
@@ -116,6 +123,45 @@ def seeds(items: Items, frequency: dict[int, tuple[np.ndarray, np.ndarray]], win
     return out
 
 
+def intact_pairs(length: int, threshold: float) -> int:
+    """Pairs of neighbouring words that an alignment over the threshold leaves intact at least, 1 or more.
+
+    With m words matched and e changed or missing, 2 m - e >= 2 threshold * length and m + e <= length, and the
+    matched words lie in e + 1 runs at most: m - e - 1 pairs, which is least where e is greatest.
+    """
+    return max(1, math.ceil((4 * threshold - 1) * length / 3 - 1 - 1e-9))
+
+
+def pair_seeds(items: Items, frequency: dict[int, tuple[np.ndarray, np.ndarray]], threshold: float) -> dict:
+    """By size, as ``seeds``: of every item its rarest pairs, so many that ``intact_pairs`` of them can't all be others."""
+    out = {}
+    for size, (value, item, at) in items.grams().items():
+        known, docs = frequency[size]
+        rank = docs[np.searchsorted(known, value)]
+        take = np.zeros(len(value), dtype=bool)
+        for lo, hi in _runs(item):
+            most = hi - lo - intact_pairs(len(items.words[item[lo]]), threshold) + 1
+            take[lo + np.argsort(rank[lo:hi], kind="stable")[:max(most, 1)]] = True
+        order = np.flatnonzero(take)[np.argsort(value[take], kind="stable")]
+        out[size] = (Known(value[order]), item[order], at[order])
+    return out
+
+
+def both_seeds(one: dict, other: dict) -> dict:
+    """Seeds of two kinds together."""
+    out = dict(one)
+    for size, (known, item, at) in other.items():
+        if size in out:
+            value = np.concatenate((out[size][0].value, known.value))
+            item, at = np.concatenate((out[size][1], item)), np.concatenate((out[size][2], at))
+            order = np.lexsort((at, item, value))
+            value, item, at = value[order], item[order], at[order]
+            new = np.concatenate(([True], (value[1:] != value[:-1]) | (item[1:] != item[:-1]) | (at[1:] != at[:-1])))
+            known, item, at = Known(value[new]), item[new], at[new]
+        out[size] = (known, item, at)
+    return out
+
+
 def _runs(x: np.ndarray) -> list[tuple[int, int]]:
     cut = np.flatnonzero(np.diff(x)) + 1
     edges = np.concatenate(([0], cut, [len(x)])).tolist() if len(x) else [0]
@@ -157,6 +203,32 @@ def _regions(hits: np.ndarray, lengths: np.ndarray, first: np.ndarray) -> np.nda
     return np.stack([text[start], item[start], lo[start], np.maximum.reduceat(hi, start)], axis=1)
 
 
+def _item_words(items: Items) -> Known:
+    """Every (item, word) as one hash."""
+    size = [len(x) for x in items.words]
+    return Known(np.unique(_in_item(np.repeat(np.arange(len(size)), size), np.concatenate([np.zeros(0, np.uint64), *items.words]))))
+
+
+def _in_item(item: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return tx.mix(word ^ tx.mix(item.astype(np.uint64) + np.uint64(1)))
+
+
+def _promising(regions: np.ndarray, items: Items, vocabulary: Known, w: tx.Words, threshold: float) -> np.ndarray:
+    """The regions that have enough words of their item: an alignment matches ``threshold`` of the item's words at least."""
+    least = np.array([math.ceil(threshold * len(x) - 1e-9) for x in items.words])
+    size, keep = regions[:, 3] - regions[:, 2], np.zeros(len(regions), dtype=bool)
+    total = np.cumsum(size)
+    i = 0
+    while i < len(regions):
+        j = max(i + 1, int(np.searchsorted(total, total[i] - size[i] + CELLS, side="right")))
+        part = np.repeat(np.arange(i, j), size[i:j])
+        word = w.hash[np.arange(len(part)) - np.repeat(total[i:j] - size[i:j] - (total[i] - size[i]), size[i:j]) + regions[part, 2]]
+        hit, _ = vocabulary.hits(_in_item(regions[part, 1], word))
+        keep[i:j] = np.bincount(part[hit] - i, minlength=j - i) >= least[regions[i:j, 1]]
+        i = j
+    return regions[keep]
+
+
 @dataclass
 class Matches:
     """Aligned passages: text and item index, score, word range in the batch and in the item."""
@@ -170,7 +242,7 @@ class Matches:
     item_end: np.ndarray
 
 
-def align(w: tx.Words, items: Items, seeded: dict, threshold: float = THRESHOLD) -> Matches:
+def align(w: tx.Words, items: Items, seeded: dict, vocabulary: Known, threshold: float = THRESHOLD) -> Matches:
     """The best passage of every (text, item) whose score reaches the threshold."""
     hits = []
     for size, (known, item, place) in seeded.items():
@@ -185,6 +257,7 @@ def align(w: tx.Words, items: Items, seeded: dict, threshold: float = THRESHOLD)
     if hits:
         lengths = np.array([len(x) for x in items.words])
         regions = _regions(np.concatenate(hits), lengths, w.first)
+        regions = _promising(regions, items, vocabulary, w, threshold)
         regions = regions[np.lexsort((regions[:, 3] - regions[:, 2], regions[:, 1]))]
         for lo, hi in _runs(regions[:, 1]):
             word = items.words[regions[lo, 1]]
@@ -229,10 +302,14 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int)
         yield [tuple(r) for r in part.collect()]
 
 
-def _prepare(docs: DataFrame, text_col: str, rows: list[tuple], n: int, window: int):
-    """Items and seeds of one block as a broadcast; document frequencies are counted over all of ``docs``."""
+def _prepare(docs: DataFrame, text_col: str, rows: list[tuple], n: int, window: int, threshold: float):
+    """Items, seeds and words of one block as a broadcast; document frequencies are counted over all of ``docs``."""
     items = read_items(rows, n)
-    grams = {size: np.unique(value) for size, (value, _, _) in items.grams().items()}
+    pairs = Items(items.ids, items.words, PAIR)
+    grams: dict[int, np.ndarray] = {}
+    for kind in (items, pairs):
+        for size, (value, _, _) in kind.grams().items():
+            grams[size] = np.unique(np.concatenate((grams.get(size, value[:0]), value)))
     sent = docs.sparkSession.sparkContext.broadcast(grams)
     counts = (docs.select(F.col(text_col).cast("string").alias("text"))
               .mapInArrow(lambda it: count_grams(it, sent.value), "size int, gram bigint, docs bigint")
@@ -240,7 +317,8 @@ def _prepare(docs: DataFrame, text_col: str, rows: list[tuple], n: int, window:
     frequency = {size: (g, np.zeros(len(g), dtype=np.int64)) for size, g in grams.items()}
     for size, gram, n_docs in counts.collect():      # as many rows as the block has n-grams at most
         frequency[size][1][gram] = n_docs
-    return docs.sparkSession.sparkContext.broadcast((items, seeds(items, frequency, window)))
+    seeded = both_seeds(seeds(items, frequency, window), pair_seeds(pairs, frequency, threshold))
+    return docs.sparkSession.sparkContext.broadcast((items, seeded, _item_words(items)))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -249,24 +327,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """One row per document row and item whose alignment reaches ``threshold``: doc_id, item_id, score,
     start_word and end_word of the passage, item_start and item_end, and the passage (lower case)."""
     item_kind = benchmark.schema[item_col].dataType.simpleString()
+    item_type = to_arrow_type(benchmark.schema[item_col].dataType)
     schema = (f"doc_id {docs.schema[id_col].dataType.simpleString()}, item_id {item_kind}, score double, start_word bigint, end_word bigint, "
               "item_start bigint, item_end bigint, passage string")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = docs.sparkSession.createDataFrame([], schema)
     for k, block in enumerate(_blocks(benchmark, item_col, item_text_col, block_bytes)):
-        sent = _prepare(docs, text_col, block, n, window)
+        sent = _prepare(docs, text_col, block, n, window, threshold)
 
         def run(batches, sent=sent):
-            items, seeded = sent.value
+            items, seeded, vocabulary = sent.value
             for batch in tx.slices(batches, "text"):
                 w = tx.words(batch.column("text"))
-                m = align(w, items, seeded, threshold)
+                m = align(w, items, seeded, vocabulary, threshold)
                 if len(m.text):
                     first = w.first[m.text]
                     said = [w.data[w.start[a]:w.end[b - 1]].tobytes().decode() for a, b in zip(m.start, m.end, strict=True)]
                     yield pa.RecordBatch.from_arrays(
                         [batch.column("doc_id").take(pa.array(m.text)),
-                         pa.array([items.ids[i] for i in m.item], _arrow(item_kind)), pa.array(m.score),
+                         pa.array([items.ids[i] for i in m.item], item_type), pa.array(m.score),
                          pa.array(m.start - first), pa.array(m.end - first), pa.array(m.item_start), pa.array(m.item_end),
                          pa.array(said, pa.string())], [f.split()[0] for f in schema.split(", ")])
 
@@ -275,22 +354,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return out
 
 
-def _arrow(kind: str) -> pa.DataType | None:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(kind)
-
-
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
                         item_text_col: str = "text", n: int = N, window: int = WINDOW, threshold: float = THRESHOLD,
                         block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` without the rows that hold a benchmark passage; columns and other rows as they were."""
     out = docs
     for block in _blocks(benchmark, item_col, item_text_col, block_bytes):
-        sent = _prepare(docs, text_col, block, n, window)
+        sent = _prepare(docs, text_col, block, n, window, threshold)
 
         def run(batches, sent=sent):
-            items, seeded = sent.value
+            items, seeded, vocabulary = sent.value
             for batch in tx.slices(batches, text_col):
-                m = align(tx.words(batch.column(text_col)), items, seeded, threshold)
+                m = align(tx.words(batch.column(text_col)), items, seeded, vocabulary, threshold)
                 keep = np.ones(batch.num_rows, dtype=bool)
                 keep[m.text] = False
                 yield batch.filter(pa.array(keep))
