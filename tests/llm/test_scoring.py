@@ -204,6 +204,20 @@ def test_unseen_words_fall_back_order_by_order(spark):
     assert np.allclose(model.word_row("kalx"), np.mean(rows, axis=0))
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.text(max_size=40))
+def test_words_are_runs_of_letters(text):
+    lower = text.lower()
+    assert langid.words_of(text) == [x for x in "".join(c if c.isalpha() else " " for c in lower).split(" ") if x]
+
+
+def test_numbers_are_no_letters(spark):
+    model = langid.fit(docs(spark, language_rows()))
+    rows = [(i, t, None) for i, t in enumerate(["\u00bd", "\u00b2 \u2460", "12 \u2167", "\u4e00", "a\u00b2"])]
+    out = {r["doc_id"]: r["lang_pred"] for r in langid.predict(docs(spark, rows), model).collect()}
+    assert out[0] == out[1] == out[2] == "und" and "und" not in (out[3], out[4])
+
+
 def test_language_without_examples(spark):
     model = langid.fit(docs(spark, [(1, "x", None)]))
     assert [tuple(r) for r in langid.predict(docs(spark, [(1, "some text", None)]), model).collect()] == [(1, "und", 0.0)]

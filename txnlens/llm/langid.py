@@ -18,6 +18,7 @@ the language that is first by name.
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,7 +35,9 @@ DOCS_PER_LANGUAGE, WORDS, GRAMS, ORDERS = 2000, 30_000, 15_000, (5, 4, 3, 2, 1)
 UNKNOWN = "und"
 CACHE = 200_000
 ALPHA = 0.5
-_WORD = re.compile(r"[^\W\d_]+")
+# word characters that are numbers but no letters, such as fractions, superscripts and circled digits
+_NUMBERS = "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha())
+_WORD = re.compile(rf"[^\W\d_{_NUMBERS}]+")
 
 
 def words_of(text: str | None) -> list[str]:
