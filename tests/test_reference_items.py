@@ -145,6 +145,28 @@ def test_many_keywords_meet_by_an_equi_join(spark):
     assert {x.id: x.category for x in found.collect()} == {1: "c5", 2: "c1", 3: "Others"}
 
 
+def test_keyword_table_carries_no_places_or_texts_and_any_bitmap_is_right(spark, monkeypatch):
+    rng = random.Random(5)
+    letters = "abcdé ß😀x"
+    words = [(rng.randint(0, 5), f"c{rng.randint(0, 9)}", "".join(rng.choices(letters, k=rng.choice((1, 3, 4, 5, 8, 9, 17, 40))))) for _ in range(500)]
+    texts = [(i, "".join(rng.choices(letters, k=rng.randint(0, 60)))) for i in range(200)] + [(200, None), (201, "")]
+    texts += [(i, texts[i % 7][1]) for i in range(202, 230)] + [(230, "q" * 50_000 + words[0][2] + words[1][2].upper())]
+    texts += [(231 + i, f"q{words[i][2]}q") for i in range(100)]
+    w = spark.createDataFrame(words, "priority int, category string, keyword string")
+    t = spark.createDataFrame(texts, "id int, description_clean string")
+    for bits, broadcast in ((vo.MAX_BITS, vo.BROADCAST_BYTES), (1 << 11, 0)):
+        monkeypatch.setattr(vo, "MAX_BITS", bits)
+        monkeypatch.setattr(vo, "BROADCAST_BYTES", broadcast)
+        found = vo.categorize_by_table(t, w)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Generate" not in plan and ("SortMergeJoin [keyword" in plan) == (not broadcast)
+        got = {x.id: x.category for x in found.collect()}
+        assert len(got) == len(texts)
+        for i, x in texts:
+            hits = [(p, c) for p, c, k in words if x and k.lower() in x.lower()]
+            assert got[i] == (max(hits)[1] if hits else "Others"), (i, x)
+
+
 # --- JSON arrays -------------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("indent", [None, 1])
