@@ -104,6 +104,28 @@ def test_a_long_statement_is_parsed_by_many_tasks(spark):
     assert parts.select(F.spark_partition_id()).distinct().count() >= 6
 
 
+def test_only_the_line_ends_near_a_cut_are_tested(spark):
+    """The plan holds no list of all line ends that no match crosses; cuts are the first of each stretch."""
+    st = spark.createDataFrame([(1, "\n".join(["Paytm"] + ["x"] * 9 + [""] * 7 + ["y"] * 3))], "statement_id int, text string")
+    blocks = ls.statement_blocks(st, block_lines=4)
+    assert "_firm" not in blocks._jdf.queryExecution().analyzed().toString()
+    # ends 10 to 17 touch an empty line, so the stretches 8-11 and 16-19 begin at 8 and 18, and 12-15 has no cut
+    assert [b.text.count("\n") + 1 for b in sorted(blocks.collect(), key=lambda b: b.block_no)] == [4, 4, 10, 2]
+
+
+def test_the_most_frequent_category_is_found_by_counts(spark):
+    from txnlens.operators import metrics as m
+
+    rows = [("a", "x", "c2", 1), ("a", "x", "c1", 2), ("a", "x", None, 3), ("a", "x", None, 3), ("a", "x", None, None), ("a", "y", None, 4),
+            ("a", None, "c3", 50), ("b", "x", "c1", 1), ("b", "x", "c9", 1), ("b", "x", "c9", 1)]
+    t = spark.createDataFrame(rows, "k string, merchant string, category string, amount int").withColumn("amount", F.col("amount").cast("decimal(12,2)"))
+    found = m.merchant_stats(t, ("k",), 2)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" not in plan and found.schema["total_amount"].dataType.simpleString() == "decimal(22,2)"
+    assert sorted((r.k, str(r.merchant), float(r.total_amount), r.average_amount, r.transaction_count, r.primary_category) for r in found.collect()) == [
+        ("a", "None", 50.0, 50.0, 1, "c3"), ("a", "x", 9.0, 2.25, 5, "c1"), ("b", "x", 3.0, 1.0, 3, "c9")]
+
+
 # --- keyword table ----------------------------------------------------------------------------
 
 def test_keyword_table_equals_comparing_all(spark):

@@ -59,18 +59,18 @@ def statement_blocks(statements: DataFrame, id_col: str = "statement_id", block_
             test = F.when(F.col("app_source") == name, _may_cross(left, right, name)).otherwise(test)
         return test
 
-    n = F.size("_lines")
-    # the ends that may be asked for, and behind each the first one that no match crosses
-    firm = F.filter(F.sequence(F.lit(1), n - 1), lambda i: ~crosses(i))
-    def staged(rows: DataFrame, value: Column, name: str) -> DataFrame:
-        """``value`` as the output of a generator: filters on it are not moved below and so can't bring it in many times."""
-        return rows.select("*", F.explode(F.array(value)).alias(name))
-
-    lines = staged(lines, F.when(n > block_lines, firm).otherwise(F.array().cast("array<int>")), "_firm")
-    step = F.lit(block_lines)
-    cuts = F.filter("_firm", lambda e, k: (e >= step) & (
-        F.floor(e / step) > F.floor(F.coalesce(F.get("_firm", k - 1), F.lit(0)) / step)))
-    lines = staged(lines, F.concat(F.array(F.lit(0)), cuts, F.array(n)), "_cuts")
+    n, step = F.size("_lines"), F.lit(block_lines)
+
+    def first_firm(k: Column) -> Column:
+        """The first end of lines ``k * step`` to ``(k + 1) * step - 1`` that no match crosses; those behind it are not tested."""
+        ends = F.sequence(k * step, F.least((k + 1) * step, n) - 1)
+        return F.aggregate(ends, F.lit(None).cast("int"), lambda e, i: F.when(e.isNotNull(), e).when(~crosses(i), i))
+
+    parts = F.sequence(F.lit(1), F.floor((n - 1) / step).cast("int"))
+    firm = F.filter(F.transform(parts, first_firm), lambda e: e.isNotNull())
+    cuts = F.concat(F.array(F.lit(0)), F.when(n > block_lines, firm).otherwise(F.array().cast("array<int>")), F.array(n))
+    # the output of a generator: filters on it are not moved below and so can't bring it in many times
+    lines = lines.select("*", F.explode(F.array(cuts)).alias("_cuts"))
     n_blocks = F.size("_cuts") - 1
     texts = F.transform(F.slice("_cuts", F.lit(1), n_blocks), lambda a, k: F.array_join(
         F.slice("_lines", a + 1, F.get("_cuts", k + 1) - a), "\n"))
