@@ -241,12 +241,15 @@ def merchant_stats(df: DataFrame, keys: Sequence[str] = (), k: int = 10,
                    merchants: Sequence[str] | DataFrame | None = None) -> DataFrame:
     """All types: total, mean, count and the most frequent category (smallest
     on ties); the top k merchants by total."""
-    d = filter_by_merchants(df, merchants, keys)
+    # rows are counted per category first, with map-side combine
+    d = filter_by_merchants(df, merchants, keys).groupBy(*keys, "merchant", "category").agg(
+        F.sum("amount").alias("_sum"), F.count("amount").alias("_amounts"), F.count(F.lit(1)).alias("_rows"))
+    most = F.min(F.when(F.col("category").isNotNull(), F.struct((-F.col("_rows")).alias("_rows"), "category")))
     stats = d.groupBy(*keys, "merchant").agg(
-        F.sum("amount").alias("total_amount"),
-        _mean(F.sum("amount"), F.count("amount")).alias("average_amount"),
-        F.count(F.lit(1)).alias("transaction_count"),
-        F.mode("category", True).alias("primary_category"),
+        F.sum("_sum").cast(d.schema["_sum"].dataType).alias("total_amount"),
+        _mean(F.sum("_sum"), F.sum("_amounts")).alias("average_amount"),
+        F.sum("_rows").alias("transaction_count"),
+        most["category"].alias("primary_category"),
     )
     return top_k(stats, k, [F.col("total_amount").desc(), F.col("merchant").asc()], keys)
 
