@@ -92,6 +92,18 @@ def test_set_join_equals_brute_force(spark, leaf):
     assert got == linked_by_brute_force(rows)
 
 
+def test_set_join_finds_links_to_members_of_the_hubs_class(spark):
+    """The last row is linked to rows 10 to 12 (100 of 120 words), but not to the family's hubs (100 of 130), which these are linked to."""
+    core, line, rest = ([f"{c}{i}" for i in range(n)] for c, n in (("h", 100), ("d", 20), ("f", 40)))
+    sets = {i: core + [line[(i + k) % 20] for k in range(15)] for i in range(8)}
+    sets |= {10 + i: core + [f"x{i}_{k}" for k in range(5)] for i in range(3)}
+    sets |= {100 + i: line + [w for k, w in enumerate(rest) if k not in (i, i + 1)] for i in range(30)}
+    sets[20] = core + [f"y{k}" for k in range(15)]
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in sets.items()], "doc_id bigint, text string")
+    got = {r.id: r.component_id for r in jaccard_join.linked_sets(docs, shingle=1, leaf=4).collect()}
+    assert got == {i: 100 if i >= 100 else 0 for i in sets}
+
+
 def test_set_join_of_the_given_documents(spark):
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in queries.op11_jaccard_join(spark, SF_CHECK).collect())
     assert got == linked_by_brute_force(documents(spark, SF_CHECK))

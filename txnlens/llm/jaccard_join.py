@@ -19,9 +19,10 @@ one (for 80 per cent), if both are sorted by one order.
    shingles.  Then any prefix of another node meets them, and among themselves they are sorted by true
    frequency.
 4. Trees of up to ``LEAF`` points are one leaf.  In larger ones, which only such families make, every point first
-   meets the tree's hub; links join them to classes.  Where classes still differ, the points of trees that
-   hang together are packed into leaves in the order of size and coordinates; pairs of leaves that the
-   boxes let through are compared, and pairs within one class left out.
+   meets the tree's hub, and then, round by round, its next point of another class in a random order of the tree; links
+   join them to classes.  This ends only when every tree is of one class or after ``MIX_ROUNDS``.  Where classes still
+   differ, the points of trees that hang together are packed into leaves in the order of size and coordinates; pairs of
+   leaves that the boxes let through are compared, and pairs within one class left out.
 
 Every linked pair is verified or lies in one class already.  Null texts and texts without words are
 linked with nothing; a text of fewer words than a shingle is one shingle.  Repeated rows and equal
@@ -43,7 +44,7 @@ from .components import connected_components
 from .scratch import drop, tidy, write
 
 SHINGLE, PERCENT, GROUPS, LEAF = 5, 80, 64, 128
-HUB_ROUNDS = 2           # rounds that make classes large before the rest of the pairs is looked at
+MIX_ROUNDS = 2           # rounds, after that of the hubs, that make classes large before the rest of the pairs is looked at
 CHUNK = 1 << 18          # pairs compared at a time
 
 
@@ -155,17 +156,18 @@ def _passes(x: np.ndarray, y: np.ndarray, points: np.ndarray, n: np.ndarray, per
     return out
 
 
+def _fine_allows(n: tuple[int, int], fine: tuple[bytes, bytes], percent: int) -> bool:
+    """Whether the summed coordinate minima of two fine points allow a link; the finer point is folded."""
+    groups = _fine_groups(np.array(n)).tolist()
+    x, y = (_read(p, g).astype(np.int64).reshape(-1, min(groups)).sum(axis=0) for p, g in zip(fine, groups, strict=True))
+    return (100 + percent) * int(np.minimum(x, y).sum()) >= percent * sum(n)
+
+
 def _fine_rows(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """(a, b, n_a, n_b, fine_a, fine_b) -> (a, b) whose summed coordinate minima allow a link; the finer point is folded."""
+    """(a, b, n_a, n_b, fine_a, fine_b) -> (a, b) whose fine points allow a link."""
     for batch in batches:
-        n = [batch.column(c).to_numpy() for c in ("n_a", "n_b")]
-        groups = [_fine_groups(x).tolist() for x in n]
-        need = (percent * (n[0] + n[1])).tolist()
-        good = []
-        for i, (x, y) in enumerate(zip(batch.column("fine_a").to_pylist(), batch.column("fine_b").to_pylist(), strict=True)):
-            least = min(groups[0][i], groups[1][i])
-            x, y = (_read(p, g[i]).astype(np.int64).reshape(-1, least).sum(axis=0) for p, g in ((x, groups[0]), (y, groups[1])))
-            good.append((100 + percent) * int(np.minimum(x, y).sum()) >= need[i])
+        n_a, n_b, fine_a, fine_b = (batch.column(c).to_pylist() for c in ("n_a", "n_b", "fine_a", "fine_b"))
+        good = [_fine_allows(n, fine, percent) for n, fine in zip(zip(n_a, n_b, strict=True), zip(fine_a, fine_b, strict=True), strict=True)]
         yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
@@ -216,11 +218,11 @@ def _leaf_pairs(batches: Iterator[pa.RecordBatch], percent: int, groups: int) ->
 
 
 _LEAF_TYPES = ("cluster bigint, leaf bigint, nodes array<bigint>, sizes array<bigint>, classes array<bigint>, firsts array<boolean>, points binary, "
-               "least bigint, most bigint, box array<bigint>, box_classes array<bigint>, any_first boolean")
+               "fines array<binary>, least bigint, most bigint, box array<bigint>, box_classes array<bigint>, any_first boolean")
 
 
 def _leaves(batches: Iterator[pa.RecordBatch], groups: int, leaf: int) -> Iterator[pa.RecordBatch]:
-    """Rows (cluster, node, n, class, first, point) in order -> a row for every ``leaf`` of them."""
+    """Rows (cluster, node, n, class, first, point, fine) in order -> a row for every ``leaf`` of them."""
     from pyspark import TaskContext
 
     number = TaskContext.get().partitionId() << 33
@@ -234,17 +236,19 @@ def _leaves(batches: Iterator[pa.RecordBatch], groups: int, leaf: int) -> Iterat
             points = _points(part.column("point"), groups)
             yield pa.RecordBatch.from_pylist([{
                 "cluster": int(cluster[i]), "leaf": number, "nodes": part.column("node").to_pylist(), "sizes": n.tolist(),
-                "classes": of.tolist(), "firsts": part.column("first").to_pylist(), "points": points.astype("<u4").tobytes(), "least": int(n.min()), "most": int(n.max()),
+                "classes": of.tolist(), "firsts": part.column("first").to_pylist(), "points": points.astype("<u4").tobytes(),
+                "fines": part.column("fine").to_pylist(), "least": int(n.min()), "most": int(n.max()),
                 "box": points.max(axis=0).tolist(), "box_classes": [int(of.min()), int(of.max())],
                 "any_first": any(part.column("first").to_pylist())}], pa.schema(
                     [("cluster", pa.int64()), ("leaf", pa.int64()), ("nodes", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())),
-                     ("classes", pa.list_(pa.int64())), ("firsts", pa.list_(pa.bool_())), ("points", pa.binary()), ("least", pa.int64()), ("most", pa.int64()),
+                     ("classes", pa.list_(pa.int64())), ("firsts", pa.list_(pa.bool_())), ("points", pa.binary()),
+                     ("fines", pa.list_(pa.binary())), ("least", pa.int64()), ("most", pa.int64()),
                      ("box", pa.list_(pa.int64())), ("box_classes", pa.list_(pa.int64())), ("any_first", pa.bool_())]))
             number += 1
 
 
 def _compare_leaves(batches: Iterator[pa.RecordBatch], percent: int, groups: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of leaves -> pairs (a, b) of points of different classes that pass."""
+    """Pairs of leaves -> pairs (a, b) of points of different classes that pass, their fine points too."""
     for batch in batches:
         for row in batch.to_pylist():
             same = row["leaf_x"] == row["leaf_y"]
@@ -255,6 +259,9 @@ def _compare_leaves(batches: Iterator[pa.RecordBatch], percent: int, groups: int
             apart = (of[x] != of[y]) & (first[x] | first[y])
             x, y = x[apart], y[apart]
             good = _passes(x, y, points, n, percent)
+            x, y, fine = x[good], y[good], row["fines_x"] + ([] if same else row["fines_y"])
+            good = np.fromiter((_fine_allows((n[i], n[j]), (fine[i], fine[j]), percent) for i, j in zip(x.tolist(), y.tolist(), strict=True)),
+                               bool, len(x))
             a, b = node[x[good]], node[y[good]]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
@@ -338,8 +345,9 @@ class _Join:
         """
         probe = probe_length_sql("n", self.percent)
         posts = self.nodes.select("node", F.posexplode("head").alias("place", "token"))
-        often = posts.groupBy("token").agg(F.count("*").alias("often")).filter("often > 1")
-        met = posts.join(often, "token").select("token", "node", "place", (F.col("often") > self.leaf).alias("hot"))
+        # counted where the token's rows are: posts, the largest rows here, are shuffled once
+        often = F.count("*").over(Window.partitionBy("token"))
+        met = posts.withColumn("often", often).filter("often > 1").select("token", "node", "place", (F.col("often") > self.leaf).alias("hot"))
         met = met.join(self.nodes.select("node", "n"), "node")
         by_node = Window.partitionBy("node")
         hot = F.col("hot").cast("int")
@@ -361,41 +369,51 @@ class _Join:
         score = big.groupBy("node").agg(F.count("*").alias("score"), F.max("first").alias("first"))
         nodes = write(self.nodes.select("node", "n", "point", "fine").join(score.select("node", "first"), "node"), "family_nodes")
         members = write(big.join(score.select("node", "score"), "node").select("token", "node", "n", "score"), "members")
-        links = classes = None
-        left = members
-        for _ in range(HUB_ROUNDS):
-            hubs = self.hubs(left)
-            met = write(self.within_bound(self.allowed(left, hubs), nodes), "candidates")
-            new = self.linked(met, texts)
+        hubs = self.hubs(members)
+        met = self.allowed(members, hubs)
+        links = None
+        for turn in range(MIX_ROUNDS + 1):
+            new = self.linked(write(self.within_bound(met, nodes), "candidates"), texts)
             links = new if links is None else links.unionByName(new)
             classes = write(connected_components(links), "classes")
-            left = write(self.other_classes(left, hubs, classes), "members")
-            if left.isEmpty():
+            # pairs that are left out are in one class only where the whole tree is
+            if self.other_classes(members, hubs, classes).isEmpty():
                 return links
-        met = members.join(self.hubs(members).select("token", F.col("node").alias("hub")), "token").filter("node != hub")
+            met = self.mixed_pairs(members, classes, turn)
+        met = members.join(hubs.select("token", F.col("node").alias("hub")), "token").filter("node != hub")
         clusters = connected_components(met.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
-        classed = (nodes.select("node", "n", "point", "first").join(clusters.withColumnRenamed("component", "cluster"), "node")
+        classed = (nodes.select("node", "n", "point", "fine", "first").join(clusters.withColumnRenamed("component", "cluster"), "node")
                    .join(classes, "node", "left").withColumn("class", F.coalesce("component", "node")))
         mixed = classed.groupBy("cluster").agg(F.min("class").alias("l"), F.max("class").alias("m")).filter("l < m").select("cluster")
-        rest = write(classed.join(mixed, "cluster").select("cluster", "node", "n", "class", "first", "point"), "mixed")
-        met = write(self.within_bound(self.packed_pairs(rest), nodes), "candidates")
+        rest = write(classed.join(mixed, "cluster").select("cluster", "node", "n", "class", "first", "point", "fine"), "mixed")
+        met = write(self.packed_pairs(rest), "candidates")
         return links.unionByName(self.linked(met, texts))
 
     @staticmethod
-    def hubs(left: DataFrame) -> DataFrame:
+    def hubs(members: DataFrame) -> DataFrame:
         """(token, node, n): the member of each tree that stands in most trees."""
-        return write(left.groupBy("token").agg(F.max(F.struct("score", "node", "n")).alias("hub"), F.count("*").alias("m"))
+        return write(members.groupBy("token").agg(F.max(F.struct("score", "node", "n")).alias("hub"), F.count("*").alias("m"))
                      .filter("m > 1").select("token", F.col("hub.node").alias("node"), F.col("hub.n").alias("n")), "hubs")
 
     @staticmethod
-    def other_classes(left: DataFrame, hubs: DataFrame, classes: DataFrame) -> DataFrame:
+    def other_classes(members: DataFrame, hubs: DataFrame, classes: DataFrame) -> DataFrame:
         """Members that are not in their tree's hub's class."""
         own = classes.select("node", F.col("component").alias("own"))
         its = classes.select(F.col("node").alias("hub"), F.col("component").alias("its"))
-        return (left.join(hubs.select("token", F.col("node").alias("hub")), "token").filter("node != hub")
+        return (members.join(hubs.select("token", F.col("node").alias("hub")), "token").filter("node != hub")
                 .join(own, "node", "left").join(its, "hub", "left")
                 .filter(F.coalesce("own", "node") != F.coalesce("its", "hub")).select("token", "node", "n", "score"))
 
+    def mixed_pairs(self, members: DataFrame, classes: DataFrame, turn: int) -> DataFrame:
+        """(a, b) that sizes allow of each member and the next one in a random order of its tree, if that is of another class."""
+        order = Window.partitionBy("token").orderBy(F.xxhash64(F.lit(turn), "token", "node"), "node")
+        own = F.coalesce("component", "node").alias("class")
+        rows = members.join(classes, "node", "left").select("token", F.struct("node", "n", own).alias("x"), "node")
+        n, m = F.col("x.n"), F.col("y.n")
+        return (rows.withColumn("y", F.lead("x").over(order)).filter(F.col("x.class") != F.col("y.class"))
+                .filter(F.least(n, m) * 100 >= F.greatest(n, m) * self.percent)
+                .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")))
+
     def packed_pairs(self, rows: DataFrame) -> DataFrame:
         """Pairs (a, b) that pass, of different classes of one cluster: leaves of a packed R-tree, joined by their boxes."""
         groups, leaf, percent = self.groups, self.leaf, self.percent
@@ -413,7 +431,7 @@ class _Join:
         pairs = (x.join(y, "cluster").filter((F.col("leaf_x") <= F.col("leaf_y")) & (least * 100 >= most * percent) & ~one
                                               & (F.col("any_first_x") | F.col("any_first_y")))
                  .filter(bound * (100 + percent) >= (F.col("least_x") + F.col("least_y")) * percent))
-        kept = [f"{c}_{s}" for s in "xy" for c in ("leaf", "nodes", "sizes", "classes", "firsts", "points")]
+        kept = [f"{c}_{s}" for s in "xy" for c in ("leaf", "nodes", "sizes", "classes", "firsts", "points", "fines")]
         return pairs.select(*kept).mapInArrow(lambda it: _compare_leaves(it, percent, groups), "a bigint, b bigint")
 
     def links(self) -> DataFrame:
