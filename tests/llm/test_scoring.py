@@ -211,6 +211,25 @@ def test_words_are_runs_of_letters(text):
     assert langid.words_of(text) == [x for x in "".join(c if c.isalpha() else " " for c in lower).split(" ") if x]
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(max_size=30), st.text(alphabet="aB \n\x1c_5\u00bdΣİé\u0301漢", max_size=30)), max_size=6))
+def test_words_of_many_texts_at_once(texts):
+    found, place, first = langid.split_words(texts)
+    assert [[found[i] for i in place[a:b]] for a, b in zip(first[:-1], first[1:], strict=True)] == [langid.words_of(t) for t in texts]
+    assert len(set(found)) == len(found)
+
+
+def test_unseen_words_are_met_once_a_worker(spark, monkeypatch):
+    model = langid.fit(docs(spark, language_rows()))
+    texts = ["Kalax zork kalax", None, "KALAX", "ZORK kala ..", ""] * 20
+    want = [langid.Scorer(model)(t) for t in texts]
+    met, rows = [], langid.Model.word_rows
+    monkeypatch.setattr(langid.Model, "word_rows", lambda self, words: met.extend(words) or rows(self, words))
+    for _ in range(2):                  # two tasks of one worker
+        assert langid.scorer(model).predict(texts) == want
+    assert met == ["kalax"]
+
+
 def test_numbers_are_no_letters(spark):
     model = langid.fit(docs(spark, language_rows()))
     rows = [(i, t, None) for i, t in enumerate(["\u00bd", "\u00b2 \u2460", "12 \u2167", "\u4e00", "a\u00b2"])]

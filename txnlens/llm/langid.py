@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +35,7 @@ from .text import slices
 DOCS_PER_LANGUAGE, WORDS, GRAMS, ORDERS = 2000, 30_000, 15_000, (5, 4, 3, 2, 1)
 UNKNOWN = "und"
 CACHE = 200_000
+PART = 1 << 14           # unseen words whose n-grams are looked up together
 ALPHA = 0.5
 # word characters that are numbers but no letters, such as fractions, superscripts and circled digits
 _NUMBERS = "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha())
@@ -45,6 +47,36 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
+_letters: list[np.ndarray] = []
+
+
+def _is_letter() -> np.ndarray:
+    """By code point, whether ``_WORD`` takes it."""
+    if not _letters:
+        table = np.zeros(sys.maxunicode + 1, dtype=bool)
+        for found in _WORD.finditer("".join(map(chr, range(sys.maxunicode + 1)))):
+            table[slice(*found.span())] = True
+        _letters.append(table)
+    return _letters[0]
+
+
+def split_words(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Different words of all texts, the number of each word's own among them, and the n + 1 offsets of the texts; ``words_of`` at once."""
+    low = [t.lower() if t else "" for t in texts]
+    edge = np.concatenate(([0], np.cumsum(np.fromiter(map(len, low), np.int64, len(low)) + 1)))
+    code = np.frombuffer((" ".join(low) + " ").encode("utf-32-le"), "<u4")[:edge[-1]].copy()
+    inside = _is_letter()[code]
+    code[~inside] = 0x20
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    first = np.searchsorted(np.flatnonzero(begins), edge)
+    if not first[-1]:
+        return [], np.zeros(0, np.int64), first
+    line = code.tobytes().decode("utf-32-le").strip(" ")
+    coded = pc.ascii_split_whitespace(pa.array([line], pa.large_string())).flatten().dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False), first
+
+
 def grams(word: str, order: int) -> list[str]:
     marked = f"<{word}>"
     return [marked[i:i + order] for i in range(len(marked) - order + 1)]
@@ -53,8 +85,13 @@ def grams(word: str, order: int) -> list[str]:
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict[str, Counter] = {}
     for batch in slices(batches, "text"):
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            counts.setdefault(lang, Counter()).update(words_of(text))
+        names = batch.column("lang").to_pylist()
+        known = sorted(set(names))
+        found, place, first = split_words(batch.column("text").to_pylist())
+        own = np.repeat(np.searchsorted(known, names), np.diff(first))
+        pairs, times = np.unique(own * max(1, len(found)) + place, return_counts=True)
+        for i, n in zip(pairs.tolist(), times.tolist(), strict=True):
+            counts.setdefault(known[i // len(found)], Counter())[found[i % len(found)]] += n
     for lang, c in counts.items():
         names = list(c)
         for i in range(0, len(names), 100_000):
@@ -95,14 +132,37 @@ class Model:
     gram_logs: dict[int, np.ndarray]
 
     def word_row(self, word: str) -> np.ndarray:
-        at = self.words.get(word)
-        if at is not None:
-            return self.word_logs[at]
+        return self.word_rows([word])[0]
+
+    def word_rows(self, words: list[str]) -> np.ndarray:
+        """A row for every word; unseen ones take the means of their n-grams, one order after the other for all that are left."""
+        out = np.zeros((len(words), len(self.languages)), dtype=np.float32)
+        left = []
+        for i, word in enumerate(words):
+            at = self.words.get(word)
+            if at is None:
+                left.append((i, f"<{word}>"))
+            else:
+                out[i] = self.word_logs[at]
         for order, known in self.grams.items():
-            rows = [known[g] for g in grams(word, order) if g in known]
-            if rows:
-                return self.gram_logs[order][rows].mean(axis=0)
-        return np.zeros(len(self.languages), dtype=np.float32)
+            hit, rows, size, rest, get = [], [], [], [], known.get
+            for i, marked in left:
+                found = [at for k in range(len(marked) - order + 1) if (at := get(marked[k:k + order])) is not None]
+                if found:
+                    hit.append(i)
+                    rows += found
+                    size.append(len(found))
+                else:
+                    rest.append((i, marked))
+            if hit:
+                rows, count = np.array(rows), np.array(size)
+                begin, sums = np.cumsum(count) - count, np.zeros((len(hit), len(self.languages)), dtype=np.float32)
+                for k in range(int(count.max())):           # added one by one, as a mean over a word's rows does
+                    more = np.flatnonzero(count > k)
+                    sums[more] += self.gram_logs[order][rows[begin[more] + k]]
+                out[hit] = sums / count.astype(np.float32)[:, None]
+            left = rest
+        return out
 
 
 class Scorer:
@@ -114,32 +174,59 @@ class Scorer:
         self.rows[:n] = model.word_logs
         self.at = dict(model.words)
 
-    def _learn(self, words: set[str]) -> None:
+    def _learn(self, words: list[str]) -> None:
         new = [w for w in words if w not in self.at]
         if len(self.at) + len(new) > len(self.rows):
             self.at = dict(self.model.words)
             new = [w for w in words if w not in self.at]
-        for w in new:
-            self.rows[len(self.at)] = self.model.word_row(w)
-            self.at[w] = len(self.at)
+        n = len(self.at)
+        for i in range(0, len(new), PART):
+            part = new[i:i + PART]
+            self.rows[n + i:n + i + len(part)] = self.model.word_rows(part)
+        self.at.update(zip(new, range(n, n + len(new)), strict=True))
 
     def __call__(self, text: str | None) -> tuple[str, float]:
-        found = words_of(text)
-        if not found or not self.model.languages:
-            return UNKNOWN, 0.0
-        total = np.zeros(len(self.model.languages))
+        return self.predict([text])[0]
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Language and score of each text; the different words of all are looked up once, ``limit`` at a time."""
+        model = self.model
+        if not model.languages:
+            return [(UNKNOWN, 0.0)] * len(texts)
+        found, place, first = split_words(texts)
+        total = np.zeros((len(texts), len(model.languages)))
+        text = np.repeat(np.arange(len(texts)), np.diff(first))
         for i in range(0, len(found), self.limit):
             part = found[i:i + self.limit]
-            self._learn(set(part))
-            index = np.fromiter(map(self.at.__getitem__, part), np.int64, len(part))
-            total += self.rows[index].sum(axis=0, dtype=np.float64)
-        if not total.any():
-            best = int(self.model.shares.argmax())
-            return self.model.languages[best], float(self.model.shares[best])
-        value = total / np.sqrt(len(found))
-        share = np.exp(value - value.max())
-        best = int(value.argmax())
-        return self.model.languages[best], float(share[best] / share.sum())
+            self._learn(part)
+            own = np.fromiter(map(self.at.__getitem__, part), np.int64, len(part))
+            here = slice(None) if len(part) == len(found) else (place >= i) & (place < i + len(part))
+            rows, of = own[place[here] - i], text[here]
+            for k in range(total.shape[1]):
+                total[:, k] += np.bincount(of, weights=self.rows[:, k][rows], minlength=len(texts))
+        out = []
+        for sums, n in zip(total, np.diff(first).tolist(), strict=True):
+            if not n:
+                out.append((UNKNOWN, 0.0))
+            elif not sums.any():
+                best = int(model.shares.argmax())
+                out.append((model.languages[best], float(model.shares[best])))
+            else:
+                value = sums / np.sqrt(n)
+                share = np.exp(value - value.max())
+                best = int(value.argmax())
+                out.append((model.languages[best], float(share[best] / share.sum())))
+        return out
+
+
+_scorer: list[Scorer] = []
+
+
+def scorer(model: Model) -> Scorer:
+    """The worker's scorer of its latest model, kept from task to task with the rows of words it has met."""
+    if not _scorer or _scorer[0].model is not model:
+        _scorer[:] = [Scorer(model)]
+    return _scorer[0]
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = DOCS_PER_LANGUAGE,
@@ -206,9 +293,9 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        scorer = Scorer(sent.value)
+        known = scorer(sent.value)
         for batch in slices(batches, "text"):
-            both = [scorer(t) for t in batch.column("text").to_pylist()]
+            both = known.predict(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([b[0] for b in both], pa.string()),
                                               pa.array([b[1] for b in both], pa.float64())], ["doc_id", "lang_pred", "score"])
 
