@@ -142,6 +142,16 @@ def test_ids_equal_the_tokenizers(texts):
         encoder.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
+def test_a_chunk_is_encoded_once_in_one_case(monkeypatch):
+    encoder = packing.Encoder(packing.tokenizer_path(packing.TOKENIZER))
+    met, ids = [], encoder._chunk_ids
+    monkeypatch.setattr(encoder, "_chunk_ids", lambda chunks: met.extend(chunks) or ids(chunks))
+    texts = ["Word, word, WORD,\u00a0x", None, "", " word,\tJ\u030c j\u030c", "WORD, é É\x1cé"] * 3
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == [
+        encoder.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert met.count("word,") == 1 and "WORD," not in met and len(met) == len(set(met))
+
+
 _kept = []
 
 

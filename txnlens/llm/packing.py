@@ -16,12 +16,15 @@ import os
 import zlib
 from array import array
 from collections.abc import Iterator
+from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blank_words import ranges
 from .scratch import write
 from .text import slices
 
@@ -41,10 +44,10 @@ def tokenizer_path(name: str) -> str:
 
 
 class Encoder:
-    """Token ids of whole texts. Ids of chunks between blanks are remembered, as no token crosses a blank.
+    """Token ids of whole texts. Ids of chunks between ASCII blanks are remembered, as no token crosses a blank.
 
-    That holds for tokenizers whose pre-tokenizer drops white space.  The characters U+001C-U+001F
-    are blanks for ``str.split`` but not for the tokenizer; texts that hold them are encoded whole.
+    That holds for tokenizers whose pre-tokenizer drops white space; other blanks lie within chunks and are left to it.
+    Texts are cut and their different chunks found by Arrow, so Python meets each chunk once a batch.
     """
 
     def __init__(self, path: str, cache: int = CACHE):
@@ -52,6 +55,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        normal = self.tokenizer.normalizer       # where A-Z become a-z anyway, ASCII chunks are met in one case
+        self.folds = normal is not None and normal.normalize_str(ascii_uppercase) == ascii_lowercase
         self.cache: dict[str, bytes] = {}        # chunks met lately
         self.old: dict[str, bytes] = {}          # those before; half of the limit each
         self.limit = cache // 2
@@ -85,20 +90,26 @@ class Encoder:
                 self.cache[c] = ids
         self.cache.update(zip(new, self._chunk_ids(new), strict=True))
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def encode(self, texts: pa.Array | list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        odd = {i for i, t in enumerate(texts) if t and any(c in t for c in "\x1c\x1d\x1e\x1f")}
-        chunks = [[] if not t or i in odd else t.split() for i, t in enumerate(texts)]
-        new = {c for x in chunks for c in x if c not in self.cache}
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.large_string())
+        split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+        first = np.concatenate(([0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False), dtype=np.int64)))
+        coded = split.flatten().dictionary_encode()
+        chunks, place = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+        if self.folds:
+            chunks = [c.lower() if c.isascii() else c for c in chunks]
+        new = {c for c in chunks if c not in self.cache}
         if new:
-            if len(self.cache) + len(new) > self.limit:
-                new = {c for x in chunks for c in x}
-            self._learn(new)
-        get = self.cache.__getitem__
-        out = [b"".join(map(get, x)) for x in chunks]
-        for i in odd:
-            out[i] = self._ids([texts[i]])[0]
-        return out
+            self._learn(set(chunks) if len(self.cache) + len(new) > self.limit else new)
+        ids = list(map(self.cache.__getitem__, chunks))
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        begin = np.cumsum(size) - size
+        # a chunk's ids for each of its places, and where the texts end among them
+        out = np.frombuffer(b"".join(ids), "<u4")[ranges(begin[place], size[place])].tobytes()
+        at = (4 * np.concatenate(([0], np.cumsum(size[place])))[first]).tolist()
+        return [out[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -122,7 +133,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, end_id: int, max_lengt
     known = encoder(tokenizer_path(path))
     for batch in slices(batches, "text"):
         row, start, size, crc, total, ids = [], [], [], [], [], []
-        for i, whole in enumerate(known.encode(batch.column("text").to_pylist())):
+        for i, whole in enumerate(known.encode(batch.column("text"))):
             for at, piece in cut(whole, end_id, max_length):
                 row.append(i)
                 start.append(at)
