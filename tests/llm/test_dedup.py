@@ -69,6 +69,22 @@ def test_components_of_nothing(spark):
     assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def test_components_of_few_edges_take_few_tasks(spark):
+    from txnlens.llm import components
+
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        edges = spark.createDataFrame([(10 * i, 10 * i + k) for i in range(100) for k in range(1, 4)], "a bigint, b bigint")
+        found = connected_components(edges)
+        assert {r["node"]: r["component"] for r in found.collect()} == {10 * i + k: 10 * i for i in range(100) for k in range(4)}
+        assert len(found.inputFiles()) <= components.FILES
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
 # --- near duplicates ---
 
 @pytest.fixture(scope="module")

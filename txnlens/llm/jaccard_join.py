@@ -46,6 +46,7 @@ from .scratch import drop, tidy, write
 SHINGLE, PERCENT, GROUPS, LEAF = 5, 80, 64, 128
 MIX_ROUNDS = 2           # rounds, after that of the hubs, that make classes large before the rest of the pairs is looked at
 CHUNK = 1 << 18          # pairs compared at a time
+PAIRS, TASKS = 500, 24   # pairs that a task tests, and tasks at least: fewer than the shuffle has if pairs are few
 
 
 def sets(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -289,28 +290,29 @@ class _Join:
         First each node's pair with its least partner, then the pairs that are not in one class by these.
         """
         pairs = write(self.within_bound(pairs), "candidates")
+        most = pairs.count()
         tidy(pairs.sparkSession)
         own = texts is None
         if own:
             texts = self.texts(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "texts")
         some = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-        found = self.linked(some, texts)
+        found = self.linked(some, texts, most)
         classes = write(connected_components(found), "classes")
         x, y = (classes.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")) for c in "ab")
         rest = (pairs.join(some, ["a", "b"], "left_anti").join(x, "a", "left").join(y, "b", "left")
                 .filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b"))
-        links = write(found.unionByName(self.linked(rest, texts)), "links")
+        links = write(found.unionByName(self.linked(rest, texts, most)), "links")
         if own:
             drop(texts)
         return links
 
-    def linked(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
-        """Pairs whose whole sets are similar enough."""
+    def linked(self, pairs: DataFrame, texts: DataFrame, most: int) -> DataFrame:
+        """Pairs, at most ``most``, whose whole sets are similar enough."""
         both = (pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
                 .join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b"))
         shingle, percent = self.shingle, self.percent
-        return write(both.select("a", "b", "text_a", "text_b").mapInArrow(lambda it: _verify_rows(it, shingle, percent),
-                                                                          "a bigint, b bigint"), "links")
+        both = both.select("a", "b", "text_a", "text_b").coalesce(max(TASKS, most // PAIRS))
+        return write(both.mapInArrow(lambda it: _verify_rows(it, shingle, percent), "a bigint, b bigint"), "links")
 
     def allowed(self, x: DataFrame, y: DataFrame) -> DataFrame:
         """(a, b) of rows of x and y of one tree that sizes allow."""
@@ -319,16 +321,17 @@ class _Join:
                 .filter((F.col("x.node") != F.col("y.node")) & (F.least(n, m) * 100 >= F.greatest(n, m) * self.percent))
                 .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")))
 
-    def within_bound(self, pairs: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-        """Pairs (a, b) whose fine points allow a link; ``nodes``: a part of the nodes that has those of the pairs."""
+    def within_bound(self, pairs: DataFrame, nodes: DataFrame | None = None, most: int | None = None) -> DataFrame:
+        """Pairs (a, b) whose fine points allow a link; ``nodes``: a part of the nodes that has those of the pairs, at most ``most``."""
         # the join has one form at every size, unless the part is small
         p = (self.nodes if nodes is None else nodes).select("node", "n", "fine")
         p = p.hint("merge") if nodes is None else p
         both = (pairs.distinct().join(p.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("fine").alias("fine_a")), "a")
                 .join(p.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("fine").alias("fine_b")), "b"))
         percent = self.percent
-        return both.select("a", "b", "n_a", "n_b", "fine_a", "fine_b").mapInArrow(lambda it: _fine_rows(it, percent),
-                                                                                  "a bigint, b bigint")
+        both = both.select("a", "b", "n_a", "n_b", "fine_a", "fine_b")
+        both = both if most is None else both.coalesce(max(TASKS, most // PAIRS))
+        return both.mapInArrow(lambda it: _fine_rows(it, percent), "a bigint, b bigint")
 
     def leaf_pairs(self, rows: DataFrame) -> DataFrame:
         """Pairs (a, b) that pass, of trees that are one leaf: rows (token, node, n, first)."""
@@ -370,10 +373,12 @@ class _Join:
         nodes = write(self.nodes.select("node", "n", "point", "fine").join(score.select("node", "first"), "node"), "family_nodes")
         members = write(big.join(score.select("node", "score"), "node").select("token", "node", "n", "score"), "members")
         hubs = self.hubs(members)
+        most = members.count()               # every member meets one other a round
         met = self.allowed(members, hubs)
         links = None
         for turn in range(MIX_ROUNDS + 1):
-            new = self.linked(write(self.within_bound(met, nodes), "candidates"), texts)
+            met = write(self.within_bound(met, nodes, most), "candidates")
+            new = self.linked(met, texts, met.count())
             links = new if links is None else links.unionByName(new)
             classes = write(connected_components(links), "classes")
             # pairs that are left out are in one class only where the whole tree is
@@ -387,7 +392,7 @@ class _Join:
         mixed = classed.groupBy("cluster").agg(F.min("class").alias("l"), F.max("class").alias("m")).filter("l < m").select("cluster")
         rest = write(classed.join(mixed, "cluster").select("cluster", "node", "n", "class", "first", "point", "fine"), "mixed")
         met = write(self.packed_pairs(rest), "candidates")
-        return links.unionByName(self.linked(met, texts))
+        return links.unionByName(self.linked(met, texts, met.count()))
 
     @staticmethod
     def hubs(members: DataFrame) -> DataFrame:
