@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from conftest import SF_SMALL
-from txnlens.llm import packing, scratch, warc
+from txnlens.llm import packing, scratch, warc, word_bpe
 from txnlens.llm.queries import QUERIES
 
 # --- WARC ---
@@ -152,6 +152,33 @@ def test_a_chunk_is_encoded_once_in_one_case(monkeypatch):
     assert met.count("word,") == 1 and "WORD," not in met and len(met) == len(set(met))
 
 
+def test_words_are_merged_without_the_tokenizer(monkeypatch):
+    encoder = packing.Encoder(packing.tokenizer_path(packing.TOKENIZER))
+    met, ids = [], encoder._encoded
+    monkeypatch.setattr(encoder, "_encoded", lambda chunks: met.extend(chunks) or ids(chunks))
+    texts = ["don't you'LLx ''s 's's it're, x've2'd 10½ Große _a_ 'rе", "“Ñandú”… привет-мир Σας", "漢字 <|ENDOFTEXT|>a<|endoftext|>B", "a" * 5000]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == [
+        encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert set(met) == {"漢字", "<|ENDOFTEXT|>a<|endoftext|>B", "a" * 5000}
+
+
+def test_characters_are_taken_as_the_tokenizer_does():
+    encoder = _encoder()
+    texts = [f"x{c}y {c}{c} 1{c}'s{c}.{c}" for c in map(chr, (*range(0x3100), *range(0xFB00, 0x10400)))]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == [
+        x.ids for x in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+@pytest.mark.parametrize("merges, agree", [
+    ([("a", "b"), ("ab", "c</w>")], True),
+    ([("a", "b"), ("a", "bc"), ("b", "c")], False),                  # a part comes later
+    ([("a", "b"), ("b", "c"), ("ab", "c"), ("a", "bc")], False),     # a token of two merges
+    ([("a", "b"), ("b", "c"), ("a", "bc")], False),                  # its symbols don't merge to it
+])
+def test_only_tables_that_merge_alike_are_taken(merges, agree):
+    assert word_bpe.merges_agree(merges, "</w>") is agree
+
+
 _kept = []
 
 

@@ -12,6 +12,7 @@ same length, so any order packs as well.
 from __future__ import annotations
 
 import heapq
+import json
 import os
 import zlib
 from array import array
@@ -26,11 +27,13 @@ from pyspark.sql import functions as F
 
 from .blank_words import ranges
 from .scratch import write
-from .text import slices
+from .text import slices, utf8
+from .word_bpe import WordBpe
 
 MAX_LENGTH, TOKENIZER, END_ID = 2048, "word_bpe_49k.json", 1
 CACHE = 500_000          # chunks of text whose ids a worker remembers
 PIECES_PER_PART = 20_000
+SLICE = 1 << 23          # bytes of text encoded at a time: the more, the fewer chunks are met again
 MARK, GROUP = "\x02", 50  # a character that is no part of a word, and chunks that are encoded together
 
 
@@ -44,10 +47,12 @@ def tokenizer_path(name: str) -> str:
 
 
 class Encoder:
-    """Token ids of whole texts. Ids of chunks between ASCII blanks are remembered, as no token crosses a blank.
+    """Token ids of whole texts: of chunks between ASCII blanks, as no token crosses a blank.
 
     That holds for tokenizers whose pre-tokenizer drops white space; other blanks lie within chunks and are left to it.
-    Texts are cut and their different chunks found by Arrow, so Python meets each chunk once a batch.
+    Texts are cut and their different chunks found by Arrow, so each chunk is met once a batch.  Files of the form that
+    ``WordBpe`` knows are run by it; chunks that it leaves out, and those of other files, go to the tokenizer, and
+    their ids are remembered.
     """
 
     def __init__(self, path: str, cache: int = CACHE):
@@ -55,6 +60,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        self.words = WordBpe.of(file, self.tokenizer)
+        self.special = [t["content"] for t in file.get("added_tokens") or []]    # taken from the text as it is written
         normal = self.tokenizer.normalizer       # where A-Z become a-z anyway, ASCII chunks are met in one case
         self.folds = normal is not None and normal.normalize_str(ascii_uppercase) == ascii_lowercase
         self.cache: dict[str, bytes] = {}        # chunks met lately
@@ -64,7 +73,7 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _chunk_ids(self, chunks: list[str]) -> list[bytes]:
+    def _encoded(self, chunks: list[str]) -> list[bytes]:
         """Ids of chunks, encoded some at a time with a mark between them that is a token of its own."""
         mark = self._ids([MARK])[0]
         out = dict.fromkeys(chunks, b"")
@@ -88,7 +97,33 @@ class Encoder:
                 new.append(c)
             else:
                 self.cache[c] = ids
-        self.cache.update(zip(new, self._chunk_ids(new), strict=True))
+        self.cache.update(zip(new, self._encoded(new), strict=True))
+
+    def _known(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks that the tokenizer encodes once, as long as they are remembered."""
+        new = {c for c in chunks if c not in self.cache}
+        if new:
+            self._learn(set(chunks) if len(self.cache) + len(new) > self.limit else new)
+        return list(map(self.cache.__getitem__, chunks))
+
+    def _has_special(self, chunks: pa.Array) -> pa.Array:
+        found = pa.array(np.zeros(len(chunks), bool))
+        for content in self.special:
+            found = pc.or_(found, pc.match_substring(chunks, content))
+        return found
+
+    def _chunk_ids(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of chunks in any order, where each chunk's begin, and their number."""
+        ids, size, left = np.zeros(0, np.uint32), np.zeros(len(chunks), np.int64), np.ones(len(chunks), bool)
+        if self.words and chunks:
+            special = self._has_special(pa.array(chunks, pa.large_string())).to_numpy(zero_copy_only=False)
+            ids, size, left = self.words(chunks, special)
+        begin = np.cumsum(size) - size
+        odd = np.flatnonzero(left)
+        rest = self._known([chunks[i] for i in odd.tolist()])
+        size[odd] = np.fromiter(map(len, rest), np.int64, len(rest)) // 4
+        begin[odd] = len(ids) + np.cumsum(size[odd]) - size[odd]
+        return np.concatenate((ids, np.frombuffer(b"".join(rest), "<u4"))), begin, size
 
     def encode(self, texts: pa.Array | list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -97,17 +132,16 @@ class Encoder:
         split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
         first = np.concatenate(([0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False), dtype=np.int64)))
         coded = split.flatten().dictionary_encode()
-        chunks, place = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+        chunks, place = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
         if self.folds:
-            chunks = [c.lower() if c.isascii() else c for c in chunks]
-        new = {c for c in chunks if c not in self.cache}
-        if new:
-            self._learn(set(chunks) if len(self.cache) + len(new) > self.limit else new)
-        ids = list(map(self.cache.__getitem__, chunks))
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        begin = np.cumsum(size) - size
+            low = pc.if_else(pc.string_is_ascii(chunks), pc.ascii_lower(chunks), chunks)
+            again = pc.if_else(self._has_special(low), chunks, low).dictionary_encode()
+            chunks, place = again.dictionary, again.indices.to_numpy(zero_copy_only=False)[place]
+        data, stops = utf8(chunks)
+        # no chunk holds a newline; far faster than one by one
+        ids, begin, size = self._chunk_ids(np.insert(data, stops[1:], 10).tobytes().decode().split("\n")[:-1])
         # a chunk's ids for each of its places, and where the texts end among them
-        out = np.frombuffer(b"".join(ids), "<u4")[ranges(begin[place], size[place])].tobytes()
+        out = ids[ranges(begin[place], size[place])].astype("<u4").tobytes()
         at = (4 * np.concatenate(([0], np.cumsum(size[place])))[first]).tolist()
         return [out[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
 
@@ -131,7 +165,7 @@ def cut(ids: bytes, end_id: int, max_length: int) -> list[tuple[int, bytes]]:
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, end_id: int, max_length: int, with_ids: bool):
     known = encoder(tokenizer_path(path))
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", SLICE):
         row, start, size, crc, total, ids = [], [], [], [], [], []
         for i, whole in enumerate(known.encode(batch.column("text"))):
             for at, piece in cut(whole, end_id, max_length):
