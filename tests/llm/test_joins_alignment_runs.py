@@ -154,6 +154,21 @@ def test_candidates_of_a_family_under_the_threshold_grow_in_proportion(spark, mo
     assert looked_at(200) <= 2 * max(looked_at(100), 50)
 
 
+def test_pairs_are_stored_before_their_fine_points_are_joined(spark, monkeypatch):
+    plans, write = {}, jaccard_join.write
+
+    def noted(df, name, *more):
+        plans.setdefault(name, df._jdf.queryExecution().analyzed().toString())
+        return write(df, name, *more)
+
+    monkeypatch.setattr(jaccard_join, "write", noted)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*words[:50], f"x{i}"])) for i in range(4)] + [(9, " ".join(words[::-1])), (10, None)]
+    got = {r.id: r.component_id for r in jaccard_join.linked_sets(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 0, 9: 9, 10: 10}
+    assert "Repartition" in plans["pairs"] and "Repartition" not in plans["candidates"]
+
+
 # --- token alignment --------------------------------------------------------------------------
 
 def aligned_by_brute_force(rows):

@@ -46,6 +46,7 @@ from .scratch import drop, tidy, write
 SHINGLE, PERCENT, GROUPS, LEAF = 5, 80, 64, 128
 MIX_ROUNDS = 2           # rounds, after that of the hubs, that make classes large before the rest of the pairs is looked at
 CHUNK = 1 << 18          # pairs compared at a time
+PACKED = "zstd"          # how the two large tables, of points, are stored
 PAIRS, TASKS = 500, 24   # pairs that a task tests, and tasks at least: fewer than the shuffle has if pairs are few
 
 
@@ -289,9 +290,12 @@ class _Join:
 
         First each node's pair with its least partner, then the pairs that are not in one class by these.
         """
-        pairs = write(self.within_bound(pairs), "candidates")
+        # the shuffles that find the pairs are given up before those that bring their fine points
+        met = write(pairs.distinct(), "pairs")
+        tidy(met.sparkSession)
+        pairs = write(self.within_bound(met), "candidates")
+        drop(met)
         most = pairs.count()
-        tidy(pairs.sparkSession)
         own = texts is None
         if own:
             texts = self.texts(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "texts")
@@ -506,10 +510,10 @@ def linked_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     signed = keyed.mapInArrow(lambda it: _sign(it, shingle, percent, groups),
                               f"id {kind}, tk struct<x:bigint,y:bigint>, fp binary, n bigint, head array<bigint>, "
                               "point binary, fine binary")
-    signed = write(signed.withColumn("row", F.monotonically_increasing_id()), "signed")
+    signed = write(signed.withColumn("row", F.monotonically_increasing_id()), "signed", PACKED)
     least = write(signed.filter("n > 0").groupBy("fp").agg(F.min("row").alias("row"), F.min("id").alias("id")), "sets")
     rows = write(signed.select("id", "fp", F.col("n").alias("n_shingles")), "rows")
-    nodes = write(signed.drop("fp").join(least.select("row").hint("merge"), "row").withColumnRenamed("row", "node"), "nodes")
+    nodes = write(signed.drop("fp").join(least.select("row").hint("merge"), "row").withColumnRenamed("row", "node"), "nodes", PACKED)
     drop(signed)
     classes = connected_components(_Join(keyed, nodes, shingle, percent, groups, leaf).links())
     of = write(least.withColumnRenamed("row", "node").join(classes, "node", "left")

@@ -33,11 +33,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def write(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to a fresh shared folder, read back with the same columns."""
+def write(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
+    """``df`` written as Parquet (``codec``: the session's by default) to a fresh shared folder, read back with the same columns."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 
